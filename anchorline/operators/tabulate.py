@@ -86,8 +86,12 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[s
         F.sum("n").alias("total"))
     bucket = F.aggregate("cuts", F.lit(0),
                          lambda acc, cut: acc + F.when(cut < F.col("v"), 1).otherwise(0))
-    placed = _join_groups(counts, cuts, keys).select(*keys, "v", "n", "total",
-                                                     bucket.alias("bucket"))
+    if keys:
+        cut = _join_groups(counts, cuts, keys)
+    else:
+        cut = counts.select("*", cuts.select("cuts").scalar().alias("cuts"),
+                            cuts.select("total").scalar().alias("total"))
+    placed = cut.select(*keys, "v", "n", "total", bucket.alias("bucket"))
     totals = placed.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
     before = Window.unboundedPreceding, -1
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(*before)
@@ -117,7 +121,7 @@ def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     side = right.select(*[F.col(k).alias(f"{k}_r") for k in keys],
                         *[c for c in right.columns if c not in keys])
     match = reduce(lambda a, b: a & b,
-                   [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys], F.lit(True))
+                   [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys])
     return left.join(side, match).drop(*[f"{k}_r" for k in keys])
 
 

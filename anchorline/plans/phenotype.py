@@ -90,15 +90,20 @@ def latest_category(cohort: DataFrame, events: DataFrame, labels: DataFrame,
 def event_within(cohort: DataFrame, episodes: DataFrame, diagnosis_cols: Sequence[str],
                  bounds: Bounds, codes: CodeList | None = None,
                  prefixes: Sequence[str] = (), prefix_len: int | None = None,
-                 filler: str | None = "X", flag_as: str = "had_event") -> DataFrame:
-    """Cohort with the earliest coded episode in a window, and a flag."""
+                 filler: str | None = "X", flag_as: str = "had_event",
+                 time: str = TIME, report: str | None = None) -> DataFrame:
+    """Cohort with the earliest coded episode in a window, and a flag.
+
+    ``time`` decides the window (say, the discharge); ``report`` names another
+    column whose minimum is returned as ``first_event``.
+    """
     coded = episodes
     if codes is not None:
         coded = any_code_in(coded, diagnosis_cols, codes, prefix_len, filler)
     if prefixes:
         coded = any_code_prefix(coded, diagnosis_cols, prefixes, filler)
-    first = (anchored_window(coded, cohort, bounds).groupBy(PERSON)
-             .agg(F.min(TIME).alias("first_event")))
+    first = (anchored_window(coded, cohort, bounds, time=time).groupBy(PERSON)
+             .agg(F.min(report or time).alias("first_event")))
     return (cohort.select(PERSON, INDEX).join(first, PERSON, "left")
             .withColumn(flag_as, F.col("first_event").isNotNull()))
 
