@@ -13,14 +13,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Tables:
-    """The driver's tables by name, read lazily."""
+    """The driver's tables by name, read lazily.
+
+    A table's schema is looked up in its files once per process; file listings
+    are not kept.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = tune_session(spark), root
 
     def __call__(self, name: str) -> DataFrame:
-        return load(self.spark, name, self.root)
+        path = f"{self.root}/{name}"
+        df = load(self.spark, name, self.root, _SCHEMAS.get(path))
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = df.schema
+        return df
 
     def codes(self, *values: str) -> DataFrame:
         """A literal code list (a study parameter) as a DataFrame."""

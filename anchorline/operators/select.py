@@ -59,6 +59,8 @@ def drop_exact_duplicates(df: DataFrame, keys: Sequence[str],
     order = list(keep) + [c for c in rest if c not in keep]
     if not order:
         return df.dropDuplicates(list(keys))
+    if len(order) == 1:
+        return df.groupBy(*keys).agg(F.min(order[0]).alias(order[0])).select(*df.columns)
     picked = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__row"))
     return picked.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c)
                            for c in df.columns])
@@ -68,14 +70,13 @@ def keep_unique(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Only keys that occur once (ambiguous keys are dropped, not deduplicated).
 
     An aggregate, not a window count: a key with many rows costs one counter.
+    Where a key is kept its group is one row, so any value of it is the value.
     """
     keys = _cols(key)
     rest = [c for c in df.columns if c not in keys]
-    row = F.first(F.struct(*rest)) if rest else F.lit(None)
-    single = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), row.alias("__row"))
-              .where(F.col("__n") == 1))
-    return single.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c)
-                           for c in df.columns])
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+                                    *[F.first(c).alias(c) for c in rest])
+    return counted.where(F.col("__n") == 1).select(*df.columns)
 
 
 def sample_one_per(df: DataFrame, key: str | Sequence[str], value: str, seed: int) -> DataFrame:

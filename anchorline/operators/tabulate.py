@@ -76,22 +76,27 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[s
     more than a ``1/buckets`` share of a group's distinct values.  The sketch
     only places the cuts; the ranks are exact whatever it returns.
     """
+    if buckets < 2 or buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two")
     keys = [f"__g{i}" for i in range(len(by))]
     base = df.where(F.col(column).isNotNull()).select(
         *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(column).cast("double").alias("v"))
     counts = base.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    fractions = [i / buckets for i in range(1, buckets)]
+    fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     cuts = counts.groupBy(*keys).agg(
-        F.array_sort(F.percentile_approx("v", fractions, 10 * buckets)).alias("cuts"),
+        F.expr(f"percentile_approx(v, array({fractions}), {10 * buckets})").alias("cuts"),
         F.sum("n").alias("total"))
-    bucket = F.aggregate("cuts", F.lit(0),
-                         lambda acc, cut: acc + F.when(cut < F.col("v"), 1).otherwise(0))
     if keys:
         cut = _join_groups(counts, cuts, keys)
     else:
-        cut = counts.select("*", cuts.select("cuts").scalar().alias("cuts"),
-                            cuts.select("total").scalar().alias("total"))
-    placed = cut.select(*keys, "v", "n", "total", bucket.alias("bucket"))
+        both = cuts.select(F.struct("cuts", "total")).scalar()
+        cut = counts.select("*", both.alias("c")).select("v", "n", "c.cuts", "c.total")
+    placed, half = cut.withColumn("bucket", F.lit(0)), buckets // 2
+    while half:  # binary search, one generated comparison per step
+        above = F.col("v") > F.get("cuts", F.col("bucket") + (half - 1))
+        placed = placed.withColumn("bucket", F.col("bucket") + F.when(above, half).otherwise(0))
+        half //= 2
+    placed = placed.drop("cuts")
     totals = placed.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
     before = Window.unboundedPreceding, -1
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(*before)

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from anchorline.functions.dates import Bounds
 from anchorline.functions.values import in_open_range
 from anchorline.operators.joins import anchored_window
-from anchorline.operators.select import drop_exact_duplicates
 from anchorline.schema import INDEX, PERSON, TIME
 
 Ranges = Mapping[str, tuple[float | None, float | None]]
@@ -40,11 +39,13 @@ def paired_reading(events: DataFrame, cohort: DataFrame, bounds: Bounds, ranges:
     if floor is not None:
         rows = plausible(rows, "value", floor)
     near = anchored_window(rows, cohort, bounds)
-    single = drop_exact_duplicates(near.select(PERSON, TIME, "value", "kind", INDEX),
-                                   [PERSON, TIME, "value"], keep=["kind"])
+    first_kind = min(kinds)
+    single = near.groupBy(PERSON, TIME, "value").agg(
+        F.max(F.col("kind") == first_kind).alias("is_first"), F.min(INDEX).alias(INDEX))
 
     def low(kind: str):
-        ok = (F.col("kind") == kind) & in_open_range(F.col("value"), *ranges[kind])
+        own = F.col("is_first") if kind == first_kind else ~F.col("is_first")
+        ok = own & in_open_range(F.col("value"), *ranges[kind])
         return F.min(F.when(ok, F.col("value"))).alias(kind)
 
     pairs = (single.groupBy(PERSON, TIME).agg(low(upper), low(lower), F.min(INDEX).alias(INDEX))

@@ -6,13 +6,19 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def load(spark: SparkSession, name: str, root: str | None = None) -> DataFrame:
-    """A catalog table (``db.t`` or ``catalog.db.t``), or ``root/name.parquet``."""
+def load(spark: SparkSession, name: str, root: str | None = None,
+         schema: StructType | None = None) -> DataFrame:
+    """A catalog table (``db.t`` or ``catalog.db.t``), or ``root/name.parquet``.
+
+    A ``schema`` spares files the look-up of their own.
+    """
     if root is None:
         return spark.table(name)
-    return spark.read.parquet(os.path.join(root, f"{name}.parquet"))
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(os.path.join(root, f"{name}.parquet"))
 
 
 def publish(df: DataFrame, name: str, root: str | None = None,
