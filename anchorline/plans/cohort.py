@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.functions.dates import days_between, months_between_calendar, years_between
 from anchorline.functions.values import level_or, recode
-from anchorline.operators.joins import attach, restrict_to
+from anchorline.operators.joins import attach
 from anchorline.operators.select import keep_unique
 from anchorline.operators.tabulate import attrition
 from anchorline.schema import INDEX, PERSON, require
@@ -88,9 +88,8 @@ def reconcile_death(cohort: DataFrame, registry: DataFrame,
     only stands in when no record has one.  Two maxima say exactly that, and
     unlike a ranking they combine before the shuffle.
     """
-    open_cases = cohort.where(F.col(recorded).isNull())
-    latest = (restrict_to(registry, open_cases).groupBy(PERSON)
-              .agg(F.coalesce(F.max("dod"), F.max("reg_date")).alias("__registry")))
+    latest = registry.groupBy(PERSON).agg(
+        F.coalesce(F.max("dod"), F.max("reg_date")).alias("__registry"))
     return (cohort.join(latest, PERSON, "left")
             .withColumn("dod", F.coalesce(recorded, "__registry")).drop("__registry"))
 

@@ -42,7 +42,13 @@ def first_event_after(episodes: DataFrame, cohort: DataFrame, diagnosis_cols: Se
     The date alone is the outcome, so a minimum replaces the ranking.
     """
     found = episodes_after(episodes, cohort, diagnosis_cols, **options)
-    return found.groupBy(PERSON, INDEX).agg(F.min(TIME).alias(TIME))
+    return _earliest(found)
+
+
+def _earliest(rows: DataFrame) -> DataFrame:
+    """First time per person; grouped by the person alone, so what follows on
+    the same key needs no second shuffle (a person has one index date)."""
+    return rows.groupBy(PERSON).agg(F.min(INDEX).alias(INDEX), F.min(TIME).alias(TIME))
 
 
 def events_after(events: DataFrame, cohort: DataFrame, codes: CodeList | None = None,
@@ -57,7 +63,7 @@ def first_across_sources(*sources: DataFrame) -> DataFrame:
     stacked = sources[0].select(PERSON, INDEX, TIME)
     for source in sources[1:]:
         stacked = stacked.unionByName(source.select(PERSON, INDEX, TIME))
-    return stacked.groupBy(PERSON, INDEX).agg(F.min(TIME).alias(TIME))
+    return _earliest(stacked)
 
 
 def cause_death(registry: DataFrame, cohort: DataFrame, is_cause: Column,
@@ -117,6 +123,7 @@ def first_of(events: DataFrame, cohort: DataFrame, types: Collection[str] | None
     """
     rows = events.where(F.col("event_type").isin(sorted(types))) if types else events
     later = anchored_window(rows, cohort, lambda t, i: days_between(i, t) >= min_days)
-    return (later.groupBy(PERSON, INDEX).agg(F.min(F.struct(TIME, "event_type")).alias("e"))
+    first = F.min(F.struct(TIME, "event_type")).alias("e")
+    return (later.groupBy(PERSON).agg(F.min(INDEX).alias(INDEX), first)
             .select(PERSON, INDEX, F.col(f"e.{TIME}").alias(TIME),
                     F.col("e.event_type").alias("event_type")))

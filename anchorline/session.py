@@ -52,6 +52,8 @@ def local_session(name: str = "anchorline", cpus: int | str = "*",
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        # no Python call-site lookup per column expression while building plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
