@@ -54,9 +54,9 @@ def top_two_per(t: Tables) -> DataFrame:
   FROM orders) WHERE rn <= 1""")
 def rank_with_ties(t: Tables) -> DataFrame:
     """All rows sharing the person's latest month."""
-    month = F.trunc("o_orderdate", "month")
-    ranked = s.rank_per(_orders(t), "person_id", [month.desc()], "date_rank", 1)
-    return ranked.select("person_id", "o_orderkey", "date_rank")
+    rows = _orders(t).withColumn("month", F.trunc("o_orderdate", "month"))
+    return s.rank_per(rows, "person_id", "month", "date_rank").select(
+        "person_id", "o_orderkey", "date_rank")
 
 
 @query("""SELECT o_custkey AS person_id, o_orderkey, o_orderdate FROM (
@@ -200,6 +200,85 @@ def summary_table(t: Tables) -> DataFrame:
                              na_include=True, totals=True)
 
 
+# --- relational basics -------------------------------------------------------
+
+@query("""SELECT o_orderkey AS key, o_custkey AS person_id, 'registry' AS source, CAST(NULL AS VARCHAR) AS note,
+       round(o_totalprice / 30.44, 6) AS per_month, c_name, c_nationkey, c_mktsegment AS segment
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def projection(t: Tables) -> DataFrame:
+    """Star minus columns, renames, constant and typed NULL columns, arithmetic."""
+    people = t("customer").drop("c_acctbal").withColumnRenamed("c_mktsegment", "segment")
+    rows = t("orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("person_id"),
+                              F.lit("registry").alias("source"), F.lit(None).cast("string").alias("note"),
+                              (F.col("o_totalprice") / 30.44).alias("per_month"))
+    return rows.join(people.withColumnRenamed("c_custkey", "person_id"), "person_id")
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderdate FROM orders
+WHERE o_orderdate BETWEEN TIMESTAMP '1996-04-04' AND TIMESTAMP '1999-12-31' AND o_orderstatus IN ('O', 'F')
+  AND (o_orderpriority LIKE '1-%' OR o_orderpriority LIKE '%HIGH%') AND o_totalprice > 1000
+  AND o_orderdate NOT IN (TIMESTAMP '1996-07-25', TIMESTAMP '1996-08-22') AND o_custkey <> o_orderkey
+  AND o_orderpriority <> '1-urgent' AND o_custkey IS NOT NULL""")
+def filters(t: Tables) -> DataFrame:
+    """Range, list, prefix, infix, negated, column-to-column, case-sensitive, not-null."""
+    when, level = F.col("o_orderdate"), F.col("o_orderpriority")
+
+    def at(day: str):
+        return F.lit(day).cast("timestamp_ntz")
+
+    kept = (when.between(at("1996-04-04"), at("1999-12-31")) & F.col("o_orderstatus").isin("O", "F")
+            & (level.startswith("1-") | level.contains("HIGH")) & (F.col("o_totalprice") > 1000)
+            & ~when.isin(at("1996-07-25"), at("1996-08-22")) & (F.col("o_custkey") != F.col("o_orderkey"))
+            & (level != "1-urgent") & F.col("o_custkey").isNotNull())
+    return t("orders").where(kept).select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+_SIDES = """early AS (SELECT o_custkey AS person_id, min(o_orderdate) AS first_o FROM orders
+  WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1),
+late AS (SELECT o_custkey AS person_id, max(o_orderdate) AS last_f FROM orders
+  WHERE o_orderstatus = 'F' AND o_orderdate > TIMESTAMP '2000-01-01' GROUP BY 1)"""
+
+
+def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows, when = _orders(t), F.col("o_orderdate")
+    early = rows.where((F.col("o_orderstatus") == "O") & (when < F.lit("1996-01-01").cast("timestamp_ntz")))
+    late = rows.where((F.col("o_orderstatus") == "F") & (when > F.lit("2000-01-01").cast("timestamp_ntz")))
+    return (early.groupBy("person_id").agg(F.min(when).alias("first_o")),
+            late.groupBy("person_id").agg(F.max(when).alias("last_f")))
+
+
+@query(with_(_SIDES) + """SELECT 'both' AS side, person_id, first_o, last_f FROM early JOIN late USING (person_id)
+UNION ALL SELECT 'left', person_id, first_o, last_f FROM early LEFT JOIN late USING (person_id)
+UNION ALL SELECT 'either', person_id, first_o, last_f FROM early FULL JOIN late USING (person_id)""")
+def inner_left_full(t: Tables) -> DataFrame:
+    """Inner, left and full outer join of two one-row-per-person tables."""
+    early, late = _sides(t)
+    frames = [early.join(late, "person_id", how).withColumn("side", F.lit(name))
+              for name, how in (("both", "inner"), ("left", "left"), ("either", "full"))]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query(with_(_SIDES) + """SELECT person_id FROM early UNION SELECT person_id FROM late""")
+def union_distinct(t: Tables) -> DataFrame:
+    early, late = _sides(t)
+    return early.select("person_id").union(late.select("person_id")).distinct()
+
+
+@query("""SELECT count(*) AS n, count(*) AS n_ids FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)""")
+def stable_ids(t: Tables) -> DataFrame:
+    """One surrogate id per (person, date), without a global ranking."""
+    keys = t("orders").select("o_custkey", "o_orderdate").distinct()
+    ids = keys.withColumn("id", val.stable_id(F.col("o_custkey"), F.col("o_orderdate")))
+    return ids.groupBy().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+@query("""SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, c_mktsegment FROM customer ORDER BY 2 DESC, 1""")
+def ordered(t: Tables) -> DataFrame:
+    """Presentation order over a whole table (range partitioned by Spark)."""
+    return t("customer").select("c_custkey", "c_acctbal", "c_mktsegment").orderBy(
+        F.col("c_acctbal").desc(), "c_custkey")
+
+
 # --- reshape -----------------------------------------------------------------
 
 @query(with_(_LONG) + " UNION ALL ".join(

@@ -45,11 +45,26 @@ def dedupe_latest(df: DataFrame, key: str | Sequence[str], dates: Sequence[str],
     return top_n_per(df, key, order, 1)
 
 
-def rank_per(df: DataFrame, key: str | Sequence[str], order: Sequence[Column],
-             rank_as: str, at_most: int) -> DataFrame:
-    """Rows ranked ``1..at_most`` per key, ties sharing a rank."""
-    window = Window.partitionBy(*_cols(key)).orderBy(*order)
-    return df.withColumn(rank_as, F.rank().over(window)).where(F.col(rank_as) <= at_most)
+def rank_per(df: DataFrame, key: str | Sequence[str], column: str, rank_as: str,
+             at_most: int = 1, descending: bool = True) -> DataFrame:
+    """Rows ranked ``1..at_most`` per key by ``column``, ties sharing a rank, NULLs last.
+
+    Ties are not limited in number, so they are never brought together: ranks
+    are worked out on (key, value, count) rows, of which at most ``at_most`` per
+    key matter, and joined back to the rows, a join adaptive execution can split.
+    """
+    keys = _cols(key)
+    order = F.col("__v").desc_nulls_last() if descending else F.col("__v").asc_nulls_last()
+    counts = df.groupBy(*keys, F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    best = top_n_per(counts, keys, [order], at_most)
+    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = best.withColumn(_RANK, (F.coalesce(F.sum("__n").over(ahead), F.lit(0)) + 1).cast("int"))
+    side = ranked.where(F.col(_RANK) <= at_most).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], "__v", F.col(_RANK).alias(rank_as))
+    match = F.col(column).eqNullSafe(F.col("__v"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(side, match).drop("__v", *[f"__{k}" for k in keys])
 
 
 def drop_exact_duplicates(df: DataFrame, keys: Sequence[str],

@@ -8,10 +8,10 @@ repeating the lineage above them.  Source tables, by key:
 ``spells person observation deaths``     social care, demographics, registry
 ``coded``         person_id, event_time, ctv3code, snomedcode, text, value (text)
 ``medications drug_lookup``              primary-care drugs and their chapter codes
-``inpatient_bradford ed_bradford inpatient_airedale ed_airedale
-inpatient_calderdale``                   episodes (Calderdale up to diagnosis_6)
-``inpatient_airedale_early``             Airedale episodes up to January 2019
-``ed_airedale_groups``                   ED visits with a '^'-delimited code group
+``inpatient_a ed_a inpatient_b ed_b
+inpatient_c``                   episodes of three hospital sites (C up to diagnosis_6)
+``inpatient_b_early``             earlier episodes of site B, kept in a table of their own
+``ed_b_groups``                   ED visits with a '^'-delimited code group
 ``person_area area_index``               small areas and deprivation deciles
 ``ethnicity_text ethnicity_group``       person_id, text / person_id, group
 
@@ -150,11 +150,11 @@ class CareHomeStudy:
     def previous_stroke(self) -> DataFrame:
         """Discharged with stroke in the 12 months before admission, either site.
 
-        One row per person; Bradford reports the discharge, Calderdale the start.
+        One row per person; site A reports the discharge, site C the start.
         """
         sites = stack_sources(
-            self.t["inpatient_bradford"].select(PERSON, "end_time", F.col("end_time").alias("at"), *THREE),
-            self.t["inpatient_calderdale"].where("episode_sequence = 1").select(
+            self.t["inpatient_a"].select(PERSON, "end_time", F.col("end_time").alias("at"), *THREE),
+            self.t["inpatient_c"].where("episode_sequence = 1").select(
                 PERSON, "end_time", F.col(TIME).alias("at"), *SIX))
         return p.event_within(self.cohort, sites, SIX, before(365), codes=self.codes["stroke"],
                               flag_as="previous_stroke", time="end_time", report="at")
@@ -250,7 +250,7 @@ class CareHomeStudy:
     def mi_events(self) -> DataFrame:
         """Both sites' first admissions and every primary-care code."""
         sites = [self._first(table, prefixes=k.MI_PREFIXES, first_in_spell=False)
-                 for table in ("inpatient_bradford", "inpatient_airedale")]
+                 for table in ("inpatient_a", "inpatient_b")]
         primary = o.events_after(self.t["coded"], self.cohort, self.codes["mi_ctv3"], "ctv3code")
         return stack_sources(*[e.select(PERSON, TIME) for e in (*sites, primary)])
 
@@ -258,8 +258,8 @@ class CareHomeStudy:
     def stroke_events(self) -> DataFrame:
         """First stroke discharge after admission per site; one row per person."""
         sites = stack_sources(
-            self.t["inpatient_bradford"].select(PERSON, "end_time", F.col("end_time").alias("at"), *THREE),
-            self.t["inpatient_calderdale"].where("episode_sequence = 1").select(
+            self.t["inpatient_a"].select(PERSON, "end_time", F.col("end_time").alias("at"), *THREE),
+            self.t["inpatient_c"].where("episode_sequence = 1").select(
                 PERSON, "end_time", F.col(TIME).alias("at"), *SIX))
         found = p.event_within(self.cohort, sites, SIX, after(365), codes=self.codes["stroke"],
                                time="end_time", report="at").where("had_event")
@@ -274,8 +274,8 @@ class CareHomeStudy:
 
     @cached_property
     def mace_extended(self) -> DataFrame:
-        """MACE with the earlier Airedale episodes, cut to three characters."""
-        early, people = self.t["inpatient_airedale_early"], self.cohort
+        """MACE with the earlier episodes of site B, cut to three characters."""
+        early, people = self.t["inpatient_b_early"], self.cohort
         mi = o.episodes_after(early, people, FOUR, codes=k.MI_THREE_CHAR, prefix_len=3)
         stroke = o.episodes_after(early, people, FOUR, codes=self.codes["stroke"], prefix_len=3)
         return o.composite_outcome(o.typed(mi, "myocardial infarction"),
@@ -291,7 +291,7 @@ class CareHomeStudy:
 
     def _admissions(self, code_list: str) -> DataFrame:
         firsts = [self._first(table, codes=self.codes[code_list], first_in_spell=False)
-                  for table in ("ed_bradford", "inpatient_airedale")]
+                  for table in ("ed_a", "inpatient_b")]
         return stack_sources(*[f.select(PERSON, INDEX, TIME) for f in firsts])
 
     @cached_property
@@ -323,13 +323,13 @@ class CareHomeStudy:
             return o.first_across_sources(icd, snomed)
 
         return self._keep("injurious_falls", self._three_site(
-            [self.t["inpatient_bradford"], self.t["inpatient_airedale"]],
-            [self.t["ed_bradford"], self.t["ed_airedale"]], find))
+            [self.t["inpatient_a"], self.t["inpatient_b"]],
+            [self.t["ed_a"], self.t["ed_b"]], find))
 
     @cached_property
-    def airedale_groups(self) -> DataFrame:
+    def site_b_groups(self) -> DataFrame:
         """ED visits whose codes come as one '^'-delimited text: the first code counts."""
-        return self.t["ed_airedale_groups"].select(
+        return self.t["ed_b_groups"].select(
             PERSON, TIME, "end_time", up_to_delimiter(F.col("diag_group"), "^").alias("diagnosis_1"),
             F.lit(None).cast("string").alias("diagnosis_2"),
             F.lit(None).cast("string").alias("diagnosis_3"))
@@ -340,11 +340,11 @@ class CareHomeStudy:
             return o.first_event_after(rows, self.cohort, THREE, codes=self.codes["syncope"],
                                        prefix_len=3, first_in_spell=inpatient)
 
-        calderdale = self.t["inpatient_calderdale"].withColumn("episode_sequence", F.lit(1))
+        third = self.t["inpatient_c"].withColumn("episode_sequence", F.lit(1))
         return self._keep("syncope", self._three_site(
-            [self.t["inpatient_bradford"], self.t["inpatient_airedale"],
-             self.t["inpatient_airedale_early"], calderdale],
-            [self.t["ed_bradford"], self.airedale_groups], find))
+            [self.t["inpatient_a"], self.t["inpatient_b"],
+             self.t["inpatient_b_early"], third],
+            [self.t["ed_a"], self.site_b_groups], find))
 
     @cached_property
     def falls_or_syncope(self) -> DataFrame:

@@ -32,8 +32,11 @@ def test_selection(frame):
     assert rows(s.dedupe_latest(df, "k", ["d"], ["v"])) == rows(s.last_per(df, "k", ["d", "v"]))
     top = s.top_n_per(df, "k", [F.col("v").desc()], 2, rank_as="nth")
     assert rows(top.select("k", "v", "nth")) == [(1, 6, 2), (1, 7, 1), (2, 1, 2), (2, 9, 1), (3, 4, 1)]
-    tied = s.rank_per(df, "k", [F.col("d").asc_nulls_last()], "r", 1)
-    assert rows(tied.select("k", "v")) == [(1, 6), (1, 7), (2, 1), (3, 4)]
+    tied = s.rank_per(df, "k", "d", "r", descending=False)
+    assert tied.columns == [*df.columns, "r"]
+    assert rows(tied.select("k", "v", "r")) == [(1, 6, 1), (1, 7, 1), (2, 1, 1), (3, 4, 1)]
+    second = s.rank_per(df, "k", "d", "r", 2, descending=False)
+    assert rows(second.select("k", "v", "r")) == [(1, 6, 1), (1, 7, 1), (2, 1, 1), (2, 9, 2), (3, 4, 1)]
     assert rows(s.keep_unique(df, "k")) == [(3, None, 4)]
     assert rows(s.keep_unique(df.select("k"), "k")) == [(3,)]
     assert rows(s.drop_exact_duplicates(df, ["k"], keep=["v"])) == [

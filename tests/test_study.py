@@ -77,22 +77,22 @@ def study(spark, frame, tmp_path_factory):
         "coded": frame("person_id long, event_time timestamp_ntz, ctv3code string, snomedcode string, text string, value string", *coded),
         "medications": frame("person_id long, event_time timestamp_ntz, drug_id string, is_repeat boolean", *med),
         "drug_lookup": frame("drug_code long, chapter_code string", (1, "0206020A0AA"), (2, "0205051R0AA"), (3, "0204000H0AA")),
-        "inpatient_bradford": frame(EP, (3, iso(INDEX, 100), iso(INDEX, 101), 1, "I214", None, None, None),
+        "inpatient_a": frame(EP, (3, iso(INDEX, 100), iso(INDEX, 101), 1, "I214", None, None, None),
                                     (5, iso(INDEX, -100), iso(INDEX, -90), 1, "I63X", None, None, None),
                                     (7, iso(INDEX, 80), iso(INDEX, 90), 1, "A09X", "S720", None, None),
                                     (13, iso(INDEX, 10), iso(INDEX, 12), 2, "W01", None, None, None),
                                     (15, iso(INDEX, 200), iso(INDEX, 203), 1, "I639", None, None, None)),
-        "ed_bradford": frame(EP, (7, iso(INDEX, 70), iso(INDEX, 70), None, "W190", None, None, None),
+        "ed_a": frame(EP, (7, iso(INDEX, 70), iso(INDEX, 70), None, "W190", None, None, None),
                              (17, iso(INDEX, 33), iso(INDEX, 33), None, "217082002", None, None, None),
                              (19, iso(INDEX, 44), iso(INDEX, 44), None, "I500", None, None, None)),
-        "inpatient_airedale": frame(EP, (21, iso(INDEX, 15), iso(INDEX, 16), 1, "I50X", "R55X", None, None),
+        "inpatient_b": frame(EP, (21, iso(INDEX, 15), iso(INDEX, 16), 1, "I50X", "R55X", None, None),
                                     (23, iso(INDEX, 366), iso(INDEX, 367), 1, "W01", None, None, None)),
-        "inpatient_airedale_early": frame(EP, (25, iso(INDEX, 18), iso(INDEX, 19), 1, "A", "A", "A", "I231"),
+        "inpatient_b_early": frame(EP, (25, iso(INDEX, 18), iso(INDEX, 19), 1, "A", "A", "A", "I231"),
                                           (25, iso(INDEX, 20), iso(INDEX, 21), 1, "I649", None, None, None)),
-        "ed_airedale": frame(EP, (27, iso(INDEX, 61), iso(INDEX, 61), 1, "M80X", None, None, None)),
-        "ed_airedale_groups": frame("person_id long, event_time timestamp_ntz, end_time timestamp_ntz, diag_group string",
+        "ed_b": frame(EP, (27, iso(INDEX, 61), iso(INDEX, 61), 1, "M80X", None, None, None)),
+        "ed_b_groups": frame("person_id long, event_time timestamp_ntz, end_time timestamp_ntz, diag_group string",
                                     (29, iso(INDEX, 9), iso(INDEX, 9), "R55^A09"), (7, iso(INDEX, 60), iso(INDEX, 60), "A09^R55")),
-        "inpatient_calderdale": frame(EP + ", diagnosis_5 string, diagnosis_6 string",
+        "inpatient_c": frame(EP + ", diagnosis_5 string, diagnosis_6 string",
                                       (15, iso(INDEX, 190), iso(INDEX, 250), 1, "A", "A", "A", "A", "A", "I63"),
                                       (29, iso(INDEX, 300), iso(INDEX, 301), 2, "R55", None, None, None, None, None)),
         "person_area": frame("person_id long, area string", *[(i, "E1") for i in PEOPLE if i > 2], (4, "E2")),
