@@ -8,7 +8,8 @@ from anchorline.catalogue import views as v
 from anchorline.catalogue.registry import Tables, query, with_
 from anchorline.functions.dates import after, around, before, ever_after, ever_before, month_range
 from anchorline.operators.codes import any_code_in, any_code_prefix, label_codes, map_codes
-from anchorline.operators.joins import normalise_event, pair_readings, stack_distinct, stack_sources
+from anchorline.operators.joins import (normalise_event, pair_readings, spread_join,
+                                        stack_distinct, stack_sources)
 from anchorline.plans import exposure as x, measure as m, outcome as o, phenotype as p
 
 THRESHOLDS = {"purchase": 40, "view": 35}
@@ -426,7 +427,7 @@ FROM events JOIN ei ON user_id = person_id GROUP BY 1""")
 def before_and_after_counts(t: Tables) -> DataFrame:
     """Events either side of the index moment (the index event itself in neither)."""
     people, rows = v.event_index(t), v.coded_events(t)
-    met = rows.join(people, "person_id")
+    met = spread_join(rows, people, ["person_id"])
     when, index = F.col("event_time"), F.col("index_date")
     return met.groupBy("person_id").agg(
         F.count(F.when(ever_before()(when, index), 1)).alias("n_before"),

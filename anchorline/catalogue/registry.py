@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from anchorline.session import tune_session
+from anchorline.sources.codelists import code_frame
 from anchorline.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ class Tables:
 
     def codes(self, *values: str) -> DataFrame:
         """A literal code list (a study parameter) as a DataFrame."""
-        return self.spark.createDataFrame([(v,) for v in values], "code string")
+        return code_frame(self.spark, values)
 
 
 def present(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.functions.text import code_prefix, strip_filler
+from anchorline.operators.joins import spread_join
 
 CodeList = Collection[str] | DataFrame
 """Literal codes, or a DataFrame whose first column holds them."""
@@ -40,9 +41,9 @@ def any_code_in(df: DataFrame, columns: Sequence[str], codes: CodeList,
     listed = listed.distinct().withColumn("__hit", F.lit(True))
     out, hits = df, []
     for i, column in enumerate(columns):
-        probe = listed.select(F.col("__code").alias(f"__code{i}"),
-                              F.col("__hit").alias(f"__hit{i}"))
-        out = out.join(probe, _prepared(column, prefix_len, filler) == F.col(f"__code{i}"), "left")
+        probed = out.withColumn("__code", _prepared(column, prefix_len, filler))
+        out = spread_join(probed, listed, ["__code"], "left").drop("__code")
+        out = out.withColumnRenamed("__hit", f"__hit{i}")
         hits.append(F.col(f"__hit{i}").isNotNull())
     return out.where(_any(hits)).select(*df.columns)
 
@@ -59,7 +60,7 @@ def code_in(df: DataFrame, column: str, codes: CodeList) -> DataFrame:
     if not isinstance(codes, DataFrame):
         return df.where(F.col(column).isin(sorted(set(codes))))
     listed = codes.select(F.col(codes.columns[0]).alias(column))
-    return df.join(listed, column, "left_semi").select(*df.columns)
+    return spread_join(df, listed, [column], "left_semi").select(*df.columns)
 
 
 def map_codes(df: DataFrame, lookup: DataFrame, column: str, lookup_code: str,
@@ -69,7 +70,7 @@ def map_codes(df: DataFrame, lookup: DataFrame, column: str, lookup_code: str,
     A code the lookup lists several times yields one row per listing.
     """
     side = lookup.select(F.col(lookup_code).cast("string").alias(column), *carry)
-    return df.join(side, column, "left")
+    return spread_join(df, side, [column], "left")
 
 
 def label_codes(lists: Mapping[str, DataFrame]) -> DataFrame:

@@ -3,7 +3,8 @@
 No broadcast hints: Catalyst broadcasts a side it measures under
 ``autoBroadcastJoinThreshold`` (again at run time with exact shuffle sizes), and
 otherwise sort-merges.  Event tables always sit on the side adaptive execution
-may split, so a person with a third of all events is spread over many tasks.
+may split, and join through :func:`spread_join`, so a person with a third of
+all events is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -16,14 +17,34 @@ from anchorline.functions.dates import Bounds
 from anchorline.schema import INDEX, PERSON, TIME, require
 
 
+_HASH = "__key_hash"
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str],
+                how: str = "inner") -> DataFrame:
+    """Join rows that may hold hot keys to a table with few rows per key.
+
+    Adaptive execution splits a hot key's partition only if both inputs of the
+    join are fresh shuffles and what follows does not rely on their layout.  A
+    lookup that is itself an aggregate, or a ``groupBy`` on the key above the
+    join, would take that away.  A hash of the key as an extra join key keeps
+    it: the layout (key, hash) satisfies neither, so the lookup gets a shuffle of
+    its own and the aggregate above combines partially, then shuffles its few
+    partial rows.  ``how`` must preserve the rows: inner, left, left_semi or left_anti.
+    """
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumn(_HASH, F.xxhash64(*on))
+    return hashed(rows).join(hashed(lookup), [*on, _HASH], how).drop(_HASH)
+
+
 def restrict_to(df: DataFrame, keep: DataFrame, key: str = PERSON) -> DataFrame:
     """Rows whose key occurs in ``keep`` (never multiplies rows)."""
-    return df.join(keep.select(key), key, "left_semi")
+    return spread_join(df, keep.select(key), [key], "left_semi")
 
 
 def exclude(df: DataFrame, drop: DataFrame, key: str = PERSON) -> DataFrame:
     """Rows whose key does not occur in ``drop``; safe when ``drop`` holds NULLs."""
-    return df.join(drop.select(key), key, "left_anti")
+    return spread_join(df, drop.select(key), [key], "left_anti")
 
 
 def anchored_window(events: DataFrame, cohort: DataFrame, bounds: Bounds,
@@ -36,7 +57,7 @@ def anchored_window(events: DataFrame, cohort: DataFrame, bounds: Bounds,
     require(events, PERSON, time)
     require(cohort, PERSON, INDEX, *carry)
     anchors = cohort.select(PERSON, INDEX, *carry)
-    return events.join(anchors, PERSON).where(bounds(F.col(time), F.col(INDEX)))
+    return spread_join(events, anchors, [PERSON]).where(bounds(F.col(time), F.col(INDEX)))
 
 
 def attach(cohort: DataFrame, facts: DataFrame, on: Sequence[str] = (PERSON,),

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from anchorline.functions.dates import Bounds, shift_months
 from anchorline.functions.values import cap_level
 from anchorline.operators.codes import map_codes
-from anchorline.operators.joins import attach, require
+from anchorline.operators.joins import attach, spread_join
 from anchorline.operators.reshape import classes_to_flags
 from anchorline.operators.tabulate import crosstab, pct_within
-from anchorline.schema import INDEX, PERSON, TIME
+from anchorline.schema import INDEX, PERSON, TIME, require
 
 
 def classify_drugs(meds: DataFrame, lookup: DataFrame, prefixes: Sequence[str] | None = None,
@@ -53,7 +53,7 @@ def drug_exposure(meds: DataFrame, cohort: DataFrame, windows: Mapping[str, Boun
                 allowed = allowed | F.col("chapter_code").startswith(prefix)
             hit = hit & allowed
         tags.append(F.when(hit, F.lit(status)))
-    met = meds.join(cohort.select(PERSON, INDEX), PERSON)
+    met = spread_join(meds, cohort.select(PERSON, INDEX), [PERSON])
     tagged = met.select(PERSON, drug_class, F.explode(F.array_compact(F.array(*tags)))
                         .alias("time_status"))
     return classes_to_flags(tagged, [PERSON, "time_status"], drug_class, flags)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from anchorline.functions.dates import Bounds, as_datetime, days_between, ever_before, years_before
 from anchorline.functions.values import bin_right_closed, null_outside
 from anchorline.operators.codes import CodeList, any_code_in, any_code_prefix, code_in
-from anchorline.operators.joins import anchored_window, attach
+from anchorline.operators.joins import anchored_window, attach, spread_join
 from anchorline.operators.select import top_n_per
 from anchorline.schema import INDEX, PERSON, TIME
 
@@ -78,7 +78,7 @@ def latest_category(cohort: DataFrame, events: DataFrame, labels: DataFrame,
     ``labels`` is (code, label) with one row per code.  Same-moment codes are
     settled by the greatest of ``ties``; persons without a code get ``missing``.
     """
-    coded = events.join(labels.select("code", "label"), "code")
+    coded = spread_join(events, labels.select("code", "label"), ["code"])
     prior = anchored_window(coded, cohort, ever_before())
     latest = prior.groupBy(PERSON).agg(F.max(F.struct(TIME, *ties, "label")).alias("last"))
     facts = latest.select(PERSON, F.col("last.code").alias("code"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.functions.dates import days_between
+from anchorline.operators.joins import spread_join
 from anchorline.schema import INDEX, PERSON, TIME, require
 
 
@@ -26,7 +27,7 @@ def exposure_days(cohort: DataFrame, events: DataFrame, cap: int = 365,
         # Inner join plus the event-free rest: unlike an outer join this lets
         # adaptive execution split a person with very many events.
         rows = events.select(PERSON, F.col(TIME).alias("event_at"))
-        hit = rows.join(cohort, PERSON).select(*cohort.columns, "event_at")
+        hit = spread_join(rows, cohort, [PERSON]).select(*cohort.columns, "event_at")
         rest = cohort.join(rows.select(PERSON).distinct(), PERSON, "left_anti")
         joined = hit.unionByName(rest, allowMissingColumns=True)
     to_event = days_between(F.col(INDEX), F.col("event_at"))

@@ -38,7 +38,7 @@ from anchorline.plans import cohort as c, constants as k, exposure as x, measure
 from anchorline.plans import outcome as o, phenotype as p, rates as r, stats as st
 from anchorline.plans import survival as sv
 from anchorline.schema import INDEX, PERSON, TIME
-from anchorline.sources.codelists import expand_ranges
+from anchorline.sources.codelists import code_frame, expand_ranges
 from anchorline.sources.tables import load, publish
 
 THREE = ["diagnosis_1", "diagnosis_2", "diagnosis_3"]
@@ -161,18 +161,13 @@ class CareHomeStudy:
 
     @cached_property
     def smoking(self) -> DataFrame:
-        labels = label_codes({"ex-smoker": self._code_frame("smoker_ex"),
-                              "current smoker": self._code_frame("smoker_current"),
-                              "non-smoker": self._code_frame("smoker_non")})
+        lists = {"ex-smoker": self.codes["smoker_ex"], "current smoker": self.codes["smoker_current"],
+                 "non-smoker": self.codes["smoker_non"]}
+        labels = label_codes({label: codes if isinstance(codes, DataFrame)
+                              else code_frame(self.spark, codes) for label, codes in lists.items()})
         events = self.t["coded"].select(PERSON, TIME, F.col("ctv3code").alias("code"), "text")
         return p.latest_category(self.cohort, events, labels, status_as="smoking_status")
 
-    def _code_frame(self, name: str) -> DataFrame:
-        codes = self.codes[name]
-        if isinstance(codes, DataFrame):
-            return codes
-        return self.spark.createDataFrame([(v,) for v in sorted(codes)], "code string")
-
     # --- drugs ----------------------------------------------------------------
 
     @cached_property

@@ -28,6 +28,16 @@ def load_codelist(spark: SparkSession, path: str, code_col: str,
     return typed.select(*wanted).where(F.col("code") != "")
 
 
+def code_frame(spark: SparkSession, codes: Collection[str]) -> DataFrame:
+    """Literal codes as a one-column table.
+
+    Built from literals, so Catalyst knows how small it is and broadcasts it; a
+    frame made from Python rows has no known size and would shuffle the events.
+    """
+    values = F.array(*[F.lit(c) for c in sorted(set(codes))])
+    return spark.range(1).select(F.explode(values).alias("code"))
+
+
 def clean_codelist(codes: DataFrame, system: str | None = None, exclude: Collection[str] = (),
                    strip_dots: bool = True) -> DataFrame:
     """One coding system, minus dropped codes, dots removed, distinct.

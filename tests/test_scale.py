@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from anchorline.functions.dates import after
+from anchorline.operators.codes import any_code_in, code_in
 from anchorline.operators import joins as j, select as s, tabulate as t
 from anchorline.plans import outcome as o
+from anchorline.sources.codelists import code_frame
 from conftest import SF, rows
 
 
@@ -76,6 +78,25 @@ def test_hot_person_is_split_in_the_anchored_join(spark, skewed, tight):
     assert "skew=true" in final_plan(kept.groupBy("person_id").agg(F.max("payload")))
 
 
+def test_hot_person_is_split_when_the_cohort_is_an_aggregate(spark, skewed, tight):
+    """Neither a cohort laid out by person nor an aggregate above stops the split."""
+    events, _ = skewed
+    events = events.repartition(8)
+    cohort = events.groupBy("person_id").agg(F.to_date(F.min("event_time")).alias("index_date"))
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    try:
+        met = j.anchored_window(events, cohort, after(365))
+        per_person = met.groupBy("person_id").agg(F.max("payload").alias("p"))
+        assert "skew=true" in final_plan(per_person)
+        plain = events.join(cohort, "person_id").groupBy("person_id").agg(F.max("payload").alias("p"))
+        assert "skew=true" not in final_plan(plain)
+        coded = events.withColumn("code", F.when(F.col("code") < "c5", "c1").otherwise(F.col("code")))
+        listed = spark.createDataFrame([("c1",), ("c6",)], "code string")
+        assert "skew=true" in final_plan(code_in(coded, "code", listed))
+    finally:
+        spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+
+
 def test_hot_person_results_are_whole(spark, skewed):
     events, cohort = skewed
     met = j.anchored_window(events, cohort, after(365))
@@ -117,10 +138,10 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_code_list_is_shared_between_columns(spark, skewed):
-    from anchorline.operators.codes import any_code_in
     events, _ = skewed
-    listed = spark.createDataFrame([("c1",), ("c2",)], "code string")
+    listed = code_frame(spark, ["c1", "c2"])
     wide = events.withColumn("code2", F.reverse("code"))
     got = any_code_in(wide, ["code", "code2"], listed)
     plan = final_plan(got)
     assert plan.count("BroadcastHashJoin") == 2 and "ReusedExchange" in plan and "SortMergeJoin" not in plan
+    assert "BroadcastHashJoin" in plan_of(got).split("== Initial Plan ==")[-1]  # known small from the start
