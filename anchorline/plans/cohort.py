@@ -71,8 +71,9 @@ def entry_rules(excluded_dates: Collection[str], min_age: int, min_days: int,
     stay = days_between(F.col(INDEX), F.col("last_stop")) > min_days
     if open_stay == "keep":
         stay = stay | F.col("last_stop").isNull()
+    unknown = [F.lit(d).cast("date") for d in sorted(excluded_dates)]
     return [
-        ("known index date", ~F.col(INDEX).cast("date").cast("string").isin(sorted(excluded_dates))),
+        ("known index date", ~F.to_date(INDEX).isin(unknown)),
         (f"aged {min_age} or over", F.col("age_at_index") >= min_age),
         (f"alive after {min_days} days",
          F.col("dod").isNull() | (days_between(F.col(INDEX), F.col("dod")) > min_days)),

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.functions.dates import after, around, before, month_range
 from anchorline.functions.text import up_to_delimiter
-from anchorline.functions.values import safe_cast
+from anchorline.functions.values import recode, safe_cast
 from anchorline.operators.codes import code_in, label_by_values, label_codes
 from anchorline.operators.joins import assemble_master, restrict_to, stack_sources
 from anchorline.operators.select import sample_one_per
@@ -395,7 +395,9 @@ class CareHomeStudy:
         return sv.cox_ph(rows, "survival_days", "died", {name: None for name in covariates})
 
     def follow_up_quantiles(self) -> DataFrame:
-        return quantiles(self.cohort, "fu_days", [0.25, 0.5, 0.75])
+        """Quartiles of follow-up in months."""
+        months = self.cohort.withColumn("fu_months", F.col("fu_days") / k.DAYS_PER_MONTH)
+        return quantiles(months, "fu_months", [0.25, 0.5, 0.75])
 
     @cached_property
     def master(self) -> DataFrame:
@@ -409,12 +411,35 @@ class CareHomeStudy:
             self.bp_pre.select(PERSON, F.col("systolic").alias("pre_systolic")),
             self.bp_post.select(PERSON, "systolic", "reading_date")])
 
+    def clinical(self, breaks: Sequence[float] = k.FRAILTY_BREAKS) -> DataFrame:
+        """Master with frailty band, cleaned body mass index and control target.
+
+        Needs two more sources: ``frailty`` (person_id, efi2) and ``bmi`` (person_id, bmi).
+        """
+        measured = assemble_master(self.master, [self.t["frailty"], self.t["bmi"]])
+        target = (k.TARGET_AGE, k.TARGET_OLD, k.TARGET_YOUNG)
+        return p.derive_clinical_labels(
+            measured.where("hypertension"), "efi2", breaks, k.FRAILTY_LABELS, "bmi", k.BMI_RANGE,
+            "systolic", "age_at_index", target)
+
+    def missingness(self, value: str) -> DataFrame:
+        """Does a measure differ between persons with and without a reading?"""
+        return st.welch_t(self.clinical(), value, "reading_present", ("missing", "yes"))
+
+    def control_by_drugs(self, cap: int = 3, excluding: Sequence[str] = ("beta_blocker",)) -> DataFrame:
+        """Control after admission by number of classes at admission."""
+        counts = x.class_counts(self.drugs_kept.where(F.col("time_status") == "admission"),
+                                excluding, list(k.DRUG_CLASSES))
+        return x.count_by_control(counts, self.clinical(), cap)
+
     def hypertension_prevalence(self) -> DataFrame:
         counts = prevalence(self.hypertension, F.col("hypertension"))
         return st.binomial_ci(counts, "n_flagged", "n")
 
     def demographics(self) -> DataFrame:
-        return summary_table(self.master.where("hypertension"), ["age_at_index", "mortality_days"],
+        people = self.master.where("hypertension").withColumn(
+            "ethnicity", recode(F.col("ethnicity"), k.ETHNICITY_COLLAPSE))
+        return summary_table(people, ["age_at_index", "mortality_days"],
                              ["admission_service", "gender", "imd", "ethnicity"], na_include=True)
 
     def pressure_change(self, near_death_days: int | None = None) -> DataFrame:

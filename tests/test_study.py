@@ -99,6 +99,8 @@ def study(spark, frame, tmp_path_factory):
         "area_index": frame("area string, decile int", ("E1", 2), ("E2", 9)),
         "ethnicity_text": frame("person_id long, text string", (1, "White British"), (1, "White Irish"), (3, "Not specified - JDB"),
                                 (5, "Indian")),
+        "frailty": frame("person_id long, efi2 double", *[(i, 0.02 * i) for i in PEOPLE if i < 30]),
+        "bmi": frame("person_id long, bmi double", *[(i, 5.0 * i) for i in PEOPLE]),
         "ethnicity_group": frame("person_id long, group string", (1, "Missing"), (3, "Missing"), (5, "Missing"), (7, "Asian")),
     }
     codes = {"hypertension": ["38341003"], "chd": ["22298006"], "ckd": ["K05.."], "diabetes": ["C10.."],
@@ -193,12 +195,19 @@ def test_rates_and_survival(study):
     assert study.survival_by_year().count() == 2
     hazard = study.hazards(["year_of_admission"], horizon=k.CENSOR_DAYS).first()
     assert hazard["term"] == "year_of_admission=2018" and hazard["hazard_ratio"] > 0
-    assert study.follow_up_quantiles().first()["n"] == 34
+    months = study.follow_up_quantiles().first()
+    assert months["n"] == 34 and 0 < months["q25"] < months["q50"] < months["q75"] < 40
 
 
 def test_tables(study):
     master = study.master
     assert master.count() == 38 and master.select("person_id").distinct().count() == 38
+    labels = {r["person_id"]: r for r in study.clinical().collect()}
+    assert len(labels) == 34 and labels[1]["frailty_band"] == "fit" and labels[5]["frailty_band"] == "mild frailty"
+    assert labels[34]["frailty_band"] is None and labels[1]["bmi"] is None and labels[2]["bmi"] == 10
+    assert {r["control"] for r in labels.values()} == {"below"}
+    assert study.missingness("age_at_index").first()["n_b"] == 34
+    assert sum(r["below"] for r in study.control_by_drugs().collect()) == 34
     prev = study.hypertension_prevalence().first()
     assert (prev["n_flagged"], prev["n"]) == (34, 38) and prev["lower"] < 34 / 38 < prev["upper"]
     table = {(r["variable"], r["level"]): r for r in study.demographics().collect()}
