@@ -130,6 +130,18 @@ def sample_one_per_person(t: Tables) -> DataFrame:
     return sample_one_per(rows, "person_id", "o_orderpriority", seed=7)
 
 
+@query("""SELECT count(DISTINCT o_custkey) AS n_picked, count(DISTINCT o_custkey) AS n_valid FROM orders""")
+def sample_is_valid(t: Tables) -> DataFrame:
+    """One pick per person, and every pick is one of the person's own values."""
+    rows = t("orders").select(F.col("o_custkey").alias("person_id"), "o_orderpriority")
+    picked = sample_one_per(rows, "person_id", "o_orderpriority", seed=7)
+    own = picked.join(rows.distinct(), ["person_id", "o_orderpriority"], "left_semi")
+    return (picked.select("person_id", F.lit(0).alias("valid"))
+            .unionByName(own.select("person_id", F.lit(1).alias("valid")))
+            .agg(F.count(F.when(F.col("valid") == 0, 1)).alias("n_picked"),
+                 F.sum("valid").alias("n_valid")))
+
+
 @query(with_(v.COHORT) + """
 SELECT CASE WHEN index_date < DATE '1996-01-01' THEN 'before' ELSE 'after' END AS period,
        CAST(year(index_date) AS INTEGER) AS index_year, count(*) AS n

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from anchorline.catalogue import views as v
 from anchorline.catalogue.events import (CLASSES, CODED, PAIR, _AFTER, _CODED, _LONG, _POST, _PRE,
-                                         _SITE, _composite, _long, _pairs, _TYPED, _CAUSE)
+                                         _composite, _long, _pairs, _TYPED, _CAUSE)
 from anchorline.catalogue.registry import Tables, query, with_
 from anchorline.functions.dates import after, before
 from anchorline.plans import cohort as c, measure as m, outcome as o, rates as r, stats as st
@@ -247,6 +247,32 @@ def censor_two_years(t: Tables) -> DataFrame:
         "person_id", time.alias("time"), event.alias("event"))
 
 
+_NEWTON = """newton AS (
+  WITH RECURSIVE b(k, beta, info) AS (
+    SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+    UNION ALL
+    SELECT k + 1, beta + (sum(x) - sum(p)) / sum(p * (1 - p)), sum(p * (1 - p))
+    FROM (SELECT k, beta, d1 / d AS x, s1 / s0 AS p
+          FROM (SELECT b.k, b.beta, e.d, e.d1, (n1 - f * d1) * exp(beta) AS s1,
+                       (n0 - f * d0) + (n1 - f * d1) * exp(beta) AS s0 FROM b CROSS JOIN e WHERE k < 12))
+    GROUP BY k, beta)
+  SELECT beta, info FROM b WHERE k = 12)"""
+
+
+@query(with_(v.SURV, """ct AS (SELECT fu_days AS time, admission_service = 'O' AS x, died FROM followed WHERE fu_days >= 0),
+dt AS (SELECT time, count(*) AS d, count(*) FILTER (WHERE x) AS d1 FROM ct WHERE died GROUP BY 1),
+rt AS (SELECT dt.*, (SELECT count(*) FROM ct c WHERE c.time >= dt.time) AS n,
+              (SELECT count(*) FROM ct c WHERE c.time >= dt.time AND x) AS n1 FROM dt),
+e AS (SELECT n1, n - n1 AS n0, d1, d - d1 AS d0, d, unnest(range(0, d)) / d AS f FROM rt)""", _NEWTON) + """
+SELECT 'admission_service=O' AS term, round(beta, 5) AS coef, round(exp(beta), 5) AS hazard_ratio,
+       round(1 / sqrt(info), 5) AS std_err FROM newton""")
+def cox_one_term(t: Tables) -> DataFrame:
+    """Hazard ratio of one two-level covariate, against Newton steps in SQL."""
+    rows = followed(t).where(F.col("fu_days") >= 0)
+    out = sv.cox_ph(rows, "fu_days", "died", {"admission_service": ["F", "O"]})
+    return out.select("term", *[F.round(c, 5).alias(c) for c in ("coef", "hazard_ratio", "std_err")])
+
+
 @query()
 def cox_ph(t: Tables) -> DataFrame:
     """Hazard ratios by service and year of admission (iterative: no SQL twin)."""

@@ -25,7 +25,7 @@ def final_plan(df):
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_no_cross_join_and_no_unbounded_single_task(spark, name):
-    if name == "cox_ph":
+    if name.startswith("cox_"):
         pytest.skip("builds its result on the driver from p x p sums")
     plan = plan_of(entry.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

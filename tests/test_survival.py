@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorline.plans import stats as st, survival as sv
-from conftest import rows
 
 # Acute myelogenous leukaemia, maintained / non-maintained arms (Miller 1981).
 MAINTAINED = [(9, 1), (13, 1), (13, 0), (18, 1), (23, 1), (28, 0), (31, 1), (34, 1), (45, 0), (48, 1), (161, 0)]
