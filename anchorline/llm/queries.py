@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anchorline.llm import minhash_join, substring_dedup
+from anchorline.llm import bpe_automaton, decontamination, minhash_join, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def _query(function):
     QUERIES[function.__name__] = function
     return function
@@ -30,3 +35,25 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes over 4-word shingles at a similarity of 0.8."""
     return minhash_join.near_duplicate_classes(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@_query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words of a benchmark item."""
+    out = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@_query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, the last of its prefix counts."""
+    out = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (out.n_tokens > 1024).alias("over_limit"))
+
+
+@_query
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded."""
+    out = bpe_automaton.encode_and_decode(_table(spark, sf_dir, "documents"),
+                                          _vocabulary("word_bpe_49k.json"))
+    return bpe_automaton.digests(out)

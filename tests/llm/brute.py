@@ -68,3 +68,30 @@ def near_duplicates(docs, k=4, percent=80):
              if 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c)]
     comp = components(docs, links)
     return {i: (len(sets[i]), comp[i]) for i in docs}
+
+
+def decontamination(docs, items, n=10):
+    """{doc_id: (n_words, n_hit, n_items, items sha)}"""
+    pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+    def split(text):
+        return pattern.findall((text or "").translate(ASCII_LOWER))
+    windows = {}
+    for item_id, text in items:
+        w = split(text)
+        k = min(n, len(w))
+        for i in range(len(w) - k + 1 if w else 0):
+            windows.setdefault(tuple(w[i:i + k]), set()).add(str(item_id))
+    lengths = {len(w) for w in windows}
+    out = {}
+    for doc_id, text in docs.items():
+        w = split(text)
+        hit, found = [False] * len(w), set()
+        for k in lengths:
+            for i in range(len(w) - k + 1):
+                who = windows.get(tuple(w[i:i + k]))
+                if who:
+                    hit[i:i + k] = [True] * k
+                    found |= who
+        out[doc_id] = (len(w), sum(hit), len(found), sha(",".join(sorted(found))))
+    return out
