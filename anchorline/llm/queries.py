@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, minhash_join, substring_dedup, token_counts
+from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, html_text, minhash_join, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_automaton.encode_and_decode(_table(spark, sf_dir, "documents"),
                                           _vocabulary("word_bpe_49k.json"))
     return bpe_automaton.digests(out)
+
+
+@_query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
