@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -50,21 +51,32 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value) with one row per key: of rows that share a key, the least value.
+def one_row_per_id(df: DataFrame, key: str, value: str, others: Sequence[str] = ()) -> DataFrame:
+    """(key, value, *others) with one row per key: of rows that share a key, the least.
 
-    Rows without a key are left out, as nothing can be said about them by key.
-    Repeated keys are looked for among the keys alone; only if there are any does
-    the value column meet a shuffle, and then only rows of repeated keys.
+    Rows are ordered by value, then by the other columns.  Rows without a key are left
+    out, as nothing can be said about them by key.  Repeated keys are looked for among
+    the keys alone; only if there are any do the other columns meet a shuffle.
     """
-    base = df.select(F.col(key), F.col(value)).where(F.col(key).isNotNull())
+    columns = [key, value, *others]
+    base = df.select(*[F.col(f"`{c}`") for c in columns]).where(F.col(key).isNotNull())
     repeated = base.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
     if repeated.isEmpty():
         return base
-    again = base.join(repeated, key, "left_semi").groupBy(key).agg(F.min(value).alias(value))
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in columns[1:]])).alias("_row")
+    again = (base.join(repeated, key, "left_semi").groupBy(key).agg(row)
+             .select(key, *[F.col("_row").getField(c).alias(c) for c in columns[1:]]))
     return base.join(repeated, key, "left_anti").unionByName(again)
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and first_id, the least doc_id with the same text; nulls are like empty texts."""
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.select("doc_id", F.md5(text).alias("text_key"), F.octet_length(text).alias("size"))
+    least = marked.groupBy("text_key", "size").agg(F.min("doc_id").alias("first_id"))
+    return marked.join(least, ["text_key", "size"]).select("doc_id", "first_id")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over ``edges`` (a, b).
 

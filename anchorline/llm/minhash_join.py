@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from anchorline.llm.common import connected_components, one_row_per_id, written
-from anchorline.llm.words import Words, mix, powers, text_slices, window_hashes, windows_inside
+from anchorline.llm.words import PACKED, Words, mix, pack, powers, text_slices, unpack, window_hashes, windows_inside
 
 COORDINATES = 64
 #: A node is compared exhaustively if at most so many documents lie outside its largest class.
@@ -92,22 +92,9 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype("int32"))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstd bytes, which halves what the comparison shuffles."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in texts], pa.binary())],
-                names=["doc", "size", "packed"])
-
-
 def _compare(k: int, percent: int):
     def run(group: pa.Table) -> pa.Table:
-        texts = [pa.decompress(p, s, codec="zstd", asbytes=True) if s else b""
-                 for p, s in zip(group["packed"].to_pylist(), group["size"].to_pylist())]
+        texts = unpack(group["size"].to_pylist(), group["packed"].to_pylist())
         docs = group["doc"].to_pylist()
         hub = group["a"][0].as_py()
         sets = {}
@@ -232,7 +219,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
              .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
              .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     stars = written(_with_mins(stars, one, percent))
-    packed = docs.mapInArrow(_pack, "doc long, size long, packed binary")
+    packed = docs.mapInArrow(pack, PACKED).withColumnRenamed("doc_id", "doc")
     # each document with its closest hub first; what that leaves apart comes after
     tried = written(stars.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best"))
                     .select(F.col("best.a").alias("a"), "b"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, html_text, minhash_join, substring_dedup, token_counts
+from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, html_text, line_dedup, minhash_join, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines left after later copies of runs of two or more lines are deleted."""
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
+
+
 @_query
 def op7_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes over 4-word shingles at a similarity of 0.8."""
@@ -69,3 +77,26 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_line_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS num
+  FROM documents),
+solid AS (
+  SELECT doc_id, num, line, row_number() OVER (PARTITION BY doc_id ORDER BY num) AS pos
+  FROM raw WHERE translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '') <> ''),
+runs AS (
+  SELECT a.doc_id, a.pos, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.pos) AS copy
+  FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
+gone AS (
+  SELECT doc_id, pos FROM runs WHERE copy > 1
+  UNION SELECT doc_id, pos + 1 FROM runs WHERE copy > 1),
+marked AS (
+  SELECT r.doc_id, r.num, r.line, s.pos IS NOT NULL AS solid, g.pos IS NOT NULL AS gone
+  FROM raw r LEFT JOIN solid s ON s.doc_id = r.doc_id AND s.num = r.num
+  LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.pos = s.pos)
+SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY num) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""

@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from anchorline.llm.common import one_row_per_id, written
-from anchorline.llm.words import Words, text_slices, window_hashes, windows_inside
+from anchorline.llm.common import first_copies, one_row_per_id, written
+from anchorline.llm.words import PACKED, Words, pack, packed_slices, text_slices, window_hashes, windows_inside
 
 _SPOTS = "key long, doc_id long, start int"
 
@@ -68,8 +68,8 @@ def _grown_spots(words: int, seed: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            live_all = batch.column(2)
-            for row, offsets, data in text_slices(batch.column(1)):
+            live_all = batch.column(3)
+            for row, offsets, data in packed_slices(batch):
                 w = Words(offsets, data)
                 hashes, starts, least, _ = _anchors(w, words, seed)
                 n_texts = len(offsets) - 1
@@ -95,17 +95,10 @@ def _survivors(spots: DataFrame) -> DataFrame:
     return (spots.join(again, "key").groupBy("doc_id").agg(F.collect_list("start").alias("live")))
 
 
-def _first_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and the least doc_id with the same text."""
-    marked = docs.select("doc_id", F.md5("text").alias("text_key"), F.octet_length("text").alias("size"))
-    least = marked.groupBy("text_key", "size").agg(F.min("doc_id").alias("first_id"))
-    return marked.join(least, ["text_key", "size"]).select("doc_id", "first_id")
-
-
-def repeated_windows(docs: DataFrame, copies: DataFrame, words: int = 20, seed: int = 10) -> DataFrame:
+def repeated_windows(docs: DataFrame, packed: DataFrame, copies: DataFrame, words: int = 20, seed: int = 10) -> DataFrame:
     """(doc_id, starts): word starts of windows of ``words`` words that also start earlier.
 
-    ``docs`` holds (doc_id long, text string) with one row per doc_id, ``copies``
+    ``docs`` holds (doc_id long, text string) with one row per doc_id, ``packed`` the same packed, ``copies``
     (doc_id, first_id) the least doc_id with the same text.  ``words`` must be ``seed``
     times a power of two.  Texts equal to an earlier document's are not listed: each of
     their windows starts earlier.
@@ -121,7 +114,7 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, words: int = 20, seed:
     while length < words:
         length *= 2
         live = _survivors(spots).join(firsts, "doc_id")
-        spots = docs.join(live, "doc_id").select("doc_id", "text", "live").mapInArrow(
+        spots = packed.join(live, "doc_id").select("doc_id", "size", "packed", "live").mapInArrow(
             _grown_spots(words, seed, length), _SPOTS)
     first = spots.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     later = spots.join(first, "key").where(F.struct("doc_id", "start") > F.col("first"))
@@ -135,9 +128,9 @@ def _cut(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            whole = batch.column(3).to_numpy(zero_copy_only=False)
-            starts_all = batch.column(2)
-            for row, offsets, data in text_slices(batch.column(1)):
+            whole = batch.column(4).to_numpy(zero_copy_only=False)
+            starts_all = batch.column(3)
+            for row, offsets, data in packed_slices(batch):
                 w = Words(offsets, data)
                 n_texts = len(offsets) - 1
                 lists = starts_all.slice(row, n_texts)
@@ -181,11 +174,12 @@ def remove_repeated_windows(docs: DataFrame, words: int = 20, seed: int = 10) ->
     columns of ``docs`` are not read.  An empty table gives an empty result.
     """
     docs = one_row_per_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    copies = written(_first_copies(docs))
+    copies = written(first_copies(docs))
     whole = copies.where("doc_id <> first_id").select("doc_id", F.lit(True).alias("whole"))
-    marks = (repeated_windows(docs, copies, words, seed).join(whole, "doc_id", "full")
+    packed = docs.mapInArrow(pack, PACKED)
+    marks = (repeated_windows(docs, packed, copies, words, seed).join(whole, "doc_id", "full")
              .select("doc_id", "starts", F.coalesce("whole", F.lit(False)).alias("whole")))
-    joined = (docs.join(marks, "doc_id", "left")
-              .select("doc_id", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole")))
+    joined = (packed.join(marks, "doc_id", "left")
+              .select("doc_id", "size", "packed", "starts", F.coalesce("whole", F.lit(False)).alias("whole")))
     return joined.mapInArrow(_cut(words), "doc_id long, n_words long, n_removed long, "
                                           "kept_text string, kept_sha256 string")
