@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, html_text, line_dedup, minhash_join, substring_dedup, token_counts
+from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, html_text, language_model, line_dedup, minhash_join, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,12 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(out)
 
 
+@_query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under word counts and under the neural model."""
+    return language_model.score_texts(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""

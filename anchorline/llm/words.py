@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def text_slices(column: pa.Array):
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES):
     """(first row, offsets from 0, bytes) for slices of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -46,7 +46,7 @@ def text_slices(column: pa.Array):
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     start = 0
     while start < n:
-        stop = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1
         stop = min(max(stop, start + 1), n)
         yield start, offsets[start:stop + 1] - offsets[start], data[offsets[start]:offsets[stop]]
         start = stop
