@@ -101,7 +101,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = written(small)
         seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if seen == before:
-            return (now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-                    .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
-                    .groupBy("node").agg(F.min("component").alias("component")))
+            return written(now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+                           .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
+                           .groupBy("node").agg(F.min("component").alias("component")))
         before = seen

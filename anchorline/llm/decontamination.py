@@ -65,7 +65,7 @@ def _windows(words: Column, k: Column | int) -> Column:
     return _let(words, build)
 
 
-def _checked(side: DataFrame) -> DataFrame:
+def checked(side: DataFrame) -> DataFrame:
     """``side`` marked for broadcast if it is counted to be small."""
     return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
 
@@ -98,19 +98,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tests = written(own.select(F.posexplode("f").alias("at", "key")).where("at > 0").select("key").distinct())
     prints = docs.select("doc_id", F.posexplode(_fingerprints(words_of(F.col("text")), short)).alias("at", "value"))
     found = (prints.withColumn("key", F.when(F.col("at") > 0, F.col("value")))
-             .join(_checked(tests.withColumn("hit", F.lit(True))), "key", "left")
+             .join(checked(tests.withColumn("hit", F.lit(True))), "key", "left")
              .groupBy("doc_id").agg(F.max(F.when(F.col("at") == 0, F.col("value"))).alias("n_words"),
                                     F.max("hit").alias("hit")))
     found = written(found)
 
-    suspects = docs.join(_checked(found.where("hit").select("doc_id")), "doc_id", "left_semi")
+    suspects = docs.join(checked(found.where("hit").select("doc_id")), "doc_id", "left_semi")
     suspects = suspects.select("doc_id", words_of(F.col("text")).alias("words"))
     sizes = F.array(*[F.lit(k) for k in lengths]).cast("array<int>")
     windows = (suspects.withColumn("k", F.explode(sizes))
                .select("doc_id", "k", F.posexplode(_windows(F.col("words"), F.col("k"))).alias("start", "window")))
     wanted = items.select("item", F.least(F.size("words"), F.lit(WINDOW)).alias("k"), "words").select(
         "item", "k", F.explode(_windows(F.col("words"), F.col("k"))).alias("window")).distinct()
-    hits = windows.join(_checked(written(wanted)), ["k", "window"]).select("doc_id", "start", "k", "item")
+    hits = windows.join(checked(written(wanted)), ["k", "window"]).select("doc_id", "start", "k", "item")
     per = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "k"))).alias("at"),
                                      F.array_sort(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<struct<start:int,length:int>>")

@@ -31,7 +31,7 @@ from anchorline.llm.words import PACKED, Words, mix, pack, powers, text_slices,
 
 COORDINATES = 64
 #: A node is compared exhaustively if at most so many documents lie outside its largest class.
-OUTSIDE = 16
+OUTSIDE = 64
 #: Documents a hub is compared with in one task step.
 BLOCK = 64
 
@@ -163,10 +163,9 @@ def _leaf_pairs(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame,
         x = leaf.where("label <> main").select("node", F.col("doc").alias("x"), F.col("label").alias("lx"),
                                                F.col("n").alias("nx"))
         y = leaf.select("node", F.col("doc").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-        found.append(written(
-            x.join(y, "node").where("lx <> ly")
-            .where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+        found.append(x.join(y, "node").where("lx <> ly")
+                     .where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+                     .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         wide = mixed.where(F.col("outside") > OUTSIDE)
         if level == COORDINATES or wide.isEmpty():
             break
@@ -220,24 +219,22 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
              .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     stars = written(_with_mins(stars, one, percent))
     packed = docs.mapInArrow(pack, PACKED).withColumnRenamed("doc_id", "doc")
-    # each document with its closest hub first; what that leaves apart comes after
+    # each document with its closest hub first; only what that leaves apart is compared further
     tried = written(stars.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best"))
                     .select(F.col("best.a").alias("a"), "b"))
     links = written(_confirmed(tried, packed, shingle, percent))
-    while True:
-        labels = None if links.isEmpty() else written(connected_components(links))
-        both = lambda rows: _labelled(_labelled(rows.withColumn("doc", F.col("a")), labels)
-                                      .withColumnRenamed("label", "la").withColumn("doc", F.col("b")), labels)
-        leaves = _with_mins(_leaf_pairs(nodes, labels, one, percent), one, percent)
-        apart = both(stars.select("a", "b")).where("la <> label").select("a", "b")
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = written(leaves.select("a", "b")
-                        .unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-                        .distinct().join(known, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        tried = known.unionByName(fresh)
-        links = links.unionByName(written(_confirmed(fresh, packed, shingle, percent)))
+    labels = None if links.isEmpty() else connected_components(links)
+    both = lambda rows: _labelled(_labelled(rows.withColumn("doc", F.col("a")), labels)
+                                  .withColumnRenamed("label", "la").withColumn("doc", F.col("b")), labels)
+    apart = both(stars.select("a", "b")).where("la <> label")
+    untried = lambda pairs: (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                             .distinct().join(known, ["a", "b"], "left_anti"))
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    leaves = _with_mins(untried(_leaf_pairs(nodes, labels, one, percent)), one, percent)
+    fresh = written(untried(leaves.select("a", "b").unionByName(apart.select("a", "b"))))
+    more = written(_confirmed(fresh, packed, shingle, percent))
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more))
     member = (sketches.join(classes.select(*key, "first_id"), key, "left")
               .select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id")))
     if labels is None:

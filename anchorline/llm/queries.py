@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, html_text, language_model, line_dedup, minhash_join, substring_dedup, token_counts
+from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, html_text, language_model, line_dedup, minhash_join, substring_dedup, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,16 @@ def _query(function):
     return function
 
 
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories for every text, and which texts it rejects."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").withColumn("junk", 1 - F.col("quality"))
+    chain = toxicity.train(docs, labels, ["junk", "toxic"])
+    out = toxicity.score(docs.select("doc_id", "text"), chain)
+    return out.select("doc_id", "p_junk", "p_toxic", (out.p_toxic >= 0.5).alias("toxic"))
+
+
 @_query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after 20-word windows that also start earlier are cut."""

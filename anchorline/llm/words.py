@@ -7,6 +7,9 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer single text is handled whole.
 SLICE_BYTES = 2 << 20
+NOT_SPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+#: ASCII letters and all bytes of other characters.
+LETTERS = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -87,15 +90,14 @@ def packed_slices(batch: pa.RecordBatch):
 class Words:
     """Words of consecutive texts: byte starts and ends, and the first word of each text.
 
-    Words are runs of bytes other than space and \\x09-\\x0D.  ``first`` has one
-    entry more than there are texts.
+    Words are runs of bytes other than space and \\x09-\\x0D, or of the bytes that
+    ``member`` (256 booleans) names.  ``first`` has one entry more than there are texts.
     """
 
-    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+    def __init__(self, offsets: np.ndarray, data: np.ndarray, member: np.ndarray = NOT_SPACE):
         self.data = data
-        space = (data == 32) | ((data >= 9) & (data <= 13))
         inside = np.zeros(len(data) + 1, bool)
-        inside[:-1] = ~space
+        inside[:-1] = member[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.zeros(len(data) + 1, bool)
@@ -104,15 +106,16 @@ class Words:
         self.ends = np.flatnonzero(before & (~inside | edge))
         self.first = np.searchsorted(self.starts, offsets, side="left")
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (``lower``: A-Z as a-z)."""
+    def hashes(self, lower: bool = False, bytes_: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or its first ``bytes_`` (``lower``: A-Z as a-z)."""
         values = _byte_values()
         if lower:
             values[65:91] = values[97:123]
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(values[self.data] * powers(_ODD, len(self.data)), out=total[1:])
         back = powers(_INVERSE, len(self.data) + 1)[self.starts]
-        return mix((total[self.ends] - total[self.starts]) * back + (self.ends - self.starts).astype(np.uint64))
+        ends = self.ends if bytes_ is None else np.minimum(self.ends, self.starts + bytes_)
+        return mix((total[ends] - total[self.starts]) * back + (ends - self.starts).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
