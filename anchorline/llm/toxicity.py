@@ -16,7 +16,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from anchorline.llm.common import written
 from anchorline.llm.words import LETTERS, NOT_SPACE, Words, text_slices
@@ -40,7 +40,7 @@ def _features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(found), np.concatenate(of)
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _distinct_features(texts: pd.Series) -> pd.Series:
     out: list[np.ndarray] = []
     for _, offsets, data in text_slices(pa.array(texts, pa.large_string())):
