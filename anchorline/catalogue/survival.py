@@ -64,10 +64,13 @@ def exposure_days(t: Tables) -> DataFrame:
 @query(with_(v.COHORT, v.IDX, v.EP, _CAUSE, _TYPED) + """
 SELECT person_id, event_time AS event_at, date_diff('day', index_date, event_time)::INTEGER AS exposure_days
 FROM typed JOIN idx USING (person_id)
-UNION ALL SELECT person_id, NULL, 365 FROM idx WHERE person_id NOT IN (SELECT person_id FROM typed)""")
+UNION ALL SELECT person_id, NULL, CAST(CASE WHEN date_diff('day', i.index_date, dod) < 365
+                                            THEN date_diff('day', i.index_date, dod) ELSE 365 END AS INTEGER)
+FROM idx i LEFT JOIN (SELECT person_id, dod FROM cohort) USING (person_id)
+WHERE person_id NOT IN (SELECT person_id FROM typed)""")
 def exposure_per_event(t: Tables) -> DataFrame:
     """Exposure with one row per event, as the composite analysis counts it."""
-    people = v.index_people(t).withColumn("dod", F.lit(None).cast("date"))
+    people = v.index_people(t).join(v.cohort(t).select("person_id", "dod"), "person_id", "left")
     rows = r.exposure_days(people, _composite(t), first_only=False)
     return rows.select("person_id", "event_at", "exposure_days")
 
@@ -108,7 +111,12 @@ def rate_ci(t: Tables) -> DataFrame:
                       F.round("upper", 4).alias("upper"))
 
 
-_LCHOOSE = "lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1)"
+_BIN = ("list_sum(list_transform(range(0, {k}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) "
+        "+ i * ln(m) + (n - i) * ln(1 - m))))")
+_BIN_BIS = _BISECT.format(
+    grp="c_mktsegment", k="n_flagged, n", top="1 - 1e-9", src="counts",
+    cdf_below=_BIN.format(k="k"), cdf_to=_BIN.format(k="k + 1")
+).replace("b(grp, k, side", "b(grp, k, n, side").replace("SELECT grp, k, side, CASE", "SELECT grp, k, n, side, CASE")
 
 
 @query(with_(v.COHORT, v.IDX, v.EP, _EXPOSED, _RATES, """two AS (
@@ -119,33 +127,32 @@ _LCHOOSE = "lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1)"
 mass AS (
   SELECT events_a, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)) AS pr
   FROM (SELECT events_a, events_a + events_b AS n, exposure_a / (exposure_a + exposure_b) AS p,
-               unnest(range(0, events_a + events_b + 1)) AS i FROM two))""") + """
+               unnest(range(0, events_a + events_b + 1)) AS i FROM two))""",
+             "tally AS (SELECT 'all' AS grp_all, events_a AS n_flagged, events_a + events_b AS n FROM two)",
+             _BIN_BIS.replace("c_mktsegment", "grp_all").replace("FROM counts", "FROM tally")) + """
 SELECT events_a, round(exposure_a, 6) AS exposure_a, events_b, round(exposure_b, 6) AS exposure_b,
        round((events_a / exposure_a) / (events_b / exposure_b), 6) AS rate_ratio,
+       round(lower / (1 - lower) * exposure_b / exposure_a, 4) AS lower,
+       round(upper / (1 - upper) * exposure_b / exposure_a, 4) AS upper,
        round((SELECT sum(pr) FROM mass WHERE pr <= (SELECT pr FROM mass WHERE i = events_a) * 1.0000001), 6) AS p_value
-FROM two""")
+FROM two, bis""")
 def rate_compare(t: Tables) -> DataFrame:
     """Exact comparison of the two periods' rates."""
     out = st.poisson_compare(_rates(t), "period", ("before", "after"))
-    return out.drop("lower", "upper")
-
-
-_BIN = ("list_sum(list_transform(range(0, {k}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) "
-        "+ i * ln(m) + (n - i) * ln(1 - m))))")
-_BIN_BIS = _BISECT.format(
-    grp="c_mktsegment", k="n_flagged, n", top="1 - 1e-9", src="counts",
-    cdf_below=_BIN.format(k="k"), cdf_to=_BIN.format(k="k + 1")
-).replace("b(grp, k, side", "b(grp, k, n, side").replace("SELECT grp, k, side, CASE", "SELECT grp, k, n, side, CASE")
+    return out.withColumns({c: F.round(c, 4) for c in ("lower", "upper")})
 
 
 @query(with_("""counts AS (SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS n_flagged
   FROM customer GROUP BY 1)""", _BIN_BIS) + """
 SELECT c_mktsegment, n, n_flagged, round(n_flagged / n, 6) AS proportion, round(lower, 6) AS lower,
-       round(upper, 6) AS upper FROM counts JOIN bis ON c_mktsegment = grp""")
+       round(upper, 6) AS upper, round(list_sum(list_filter(mass, lambda m: m <= mass[n_flagged + 1] * 1.0000001)), 6) AS p_value
+FROM counts JOIN bis ON c_mktsegment = grp
+JOIN (SELECT c_mktsegment, list_transform(range(0, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+        + n * ln(0.5))) AS mass FROM counts) USING (c_mktsegment)""")
 def proportion_ci(t: Tables) -> DataFrame:
     """Exact limits of a proportion per segment."""
     counts = prevalence(t("customer"), F.col("c_acctbal") < 0, ["c_mktsegment"])
-    return st.binomial_ci(counts, "n_flagged", "n").drop("percent", "p_value")
+    return st.binomial_ci(counts, "n_flagged", "n").drop("percent")
 
 
 # --- survival ----------------------------------------------------------------
@@ -183,34 +190,60 @@ def kaplan_meier(t: Tables) -> DataFrame:
 grp AS (SELECT DISTINCT gender FROM curve)
 SELECT g.gender, CAST(t AS DOUBLE) AS time,
   (SELECT count(*) FROM obs_time o WHERE o.gender = g.gender AND o.time >= t) AS at_risk,
-  round(coalesce((SELECT survival FROM curve c WHERE c.gender = g.gender AND c.time <= t
-                  ORDER BY c.time DESC LIMIT 1), 1.0), 6) AS survival FROM grp g, moments""")
+  round(CASE WHEN s.survival IS NULL THEN 1.0 ELSE s.survival END, 6) AS survival,
+  round(CASE WHEN s.survival IS NULL THEN 1.0 ELSE s.lower END, 6) AS lower,
+  round(CASE WHEN s.survival IS NULL THEN 1.0 ELSE s.upper END, 6) AS upper
+FROM (SELECT * FROM grp, moments) g ASOF LEFT JOIN curve s ON s.gender = g.gender AND g.t >= s.time""")
 def km_at(t: Tables) -> DataFrame:
     """Survival and number at risk at fixed times."""
-    return sv.km_at(_curve(t), [0, 500, 1000, 1500, 2000], ["gender"]).drop("lower", "upper")
+    return sv.km_at(_curve(t), [0, 500, 1000, 1500, 2000], ["gender"])
 
 
-@query(with_(_KM) + """SELECT gender, max(at_risk) AS persons, CAST(sum(events) AS BIGINT) AS events,
-  CAST(CASE WHEN min(CASE WHEN survival < 0.5 - 1.5e-8 THEN time END) IS NULL
-       THEN min(CASE WHEN survival < 0.5 + 1.5e-8 THEN time END)
-       ELSE (min(CASE WHEN survival < 0.5 + 1.5e-8 THEN time END)
-             + min(CASE WHEN survival < 0.5 - 1.5e-8 THEN time END)) / 2.0 END AS DOUBLE) AS median
+_CROSSING = """CAST(CASE WHEN min(CASE WHEN {c} < 0.5 - 1.5e-8 THEN time END) IS NULL
+       THEN min(CASE WHEN {c} < 0.5 + 1.5e-8 THEN time END)
+       ELSE (min(CASE WHEN {c} < 0.5 + 1.5e-8 THEN time END)
+             + min(CASE WHEN {c} < 0.5 - 1.5e-8 THEN time END)) / 2.0 END AS DOUBLE)"""
+
+
+@query(with_(_KM) + f"""SELECT gender, max(at_risk) AS persons, CAST(sum(events) AS BIGINT) AS events,
+  {_CROSSING.format(c="survival")} AS median, {_CROSSING.format(c="lower")} AS median_lower,
+  {_CROSSING.format(c="upper")} AS median_upper
 FROM curve GROUP BY 1""")
 def km_median(t: Tables) -> DataFrame:
     """Persons, events and median survival by segment."""
-    return sv.median_survival(_curve(t), ["gender"]).drop("median_lower", "median_upper")
+    return sv.median_survival(_curve(t), ["gender"])
+
+
+# Gaussian elimination of the four-group covariance with the gap as last column;
+# the chi-square is the sum of squared gaps over pivots.  Four degrees of freedom have a closed tail.
+_ELIMINATE = ",\n".join(
+    f"""m{k} AS (SELECT list_transform(m, lambda r, i: CASE WHEN i <= {k} THEN r ELSE
+      list_transform(r, lambda x, j: x - r[{k}] / m[{k}][{k}] * m[{k}][j]) END) AS m FROM m{k - 1})""" for k in (1, 2, 3))
 
 
 @query(with_(_KM, """pooled AS (SELECT time, sum(events) AS d FROM steps GROUP BY 1),
 pooled_risk AS (SELECT p.time, d, (SELECT count(*) FROM obs_time o WHERE o.time >= p.time) AS n
-                FROM pooled p WHERE d > 0)""") + """
-SELECT gender, CAST(count(*) FILTER (WHERE died) AS DOUBLE) AS observed,
-  round(sum((SELECT sum(d / n) FROM pooled_risk p WHERE p.time <= o.time)), 6) AS expected
-FROM obs_time o GROUP BY 1""")
+                FROM pooled p WHERE d > 0),
+shares AS (SELECT g.gender, p.time, d, n,
+                  (SELECT count(*) FROM obs_time o WHERE o.time >= p.time AND o.gender = g.gender) / n AS share
+           FROM pooled_risk p, (SELECT DISTINCT gender FROM obs_time) g),
+per_group AS (SELECT gender, sum(d * share) AS expected FROM shares GROUP BY 1),
+seen AS (SELECT gender, count(*) AS persons, CAST(count(*) FILTER (WHERE died) AS DOUBLE) AS observed
+         FROM obs_time GROUP BY 1),
+numbered AS (SELECT *, row_number() OVER (ORDER BY gender) AS g FROM per_group JOIN seen USING (gender)),
+cov AS (SELECT a.gender AS ga, b.gender AS gb,
+               sum(CASE WHEN a.n > 1 THEN a.d * (a.n - a.d) / (a.n - 1) ELSE 0 END
+                   * a.share * ((a.gender = b.gender)::INTEGER - b.share)) AS v
+        FROM shares a JOIN shares b ON a.time = b.time GROUP BY 1, 2),
+m0 AS (SELECT list(cells ORDER BY g) AS m FROM (
+  SELECT x.g, list_append(list(v ORDER BY y.g), any_value(x.observed - x.expected)) AS cells
+  FROM cov JOIN numbered x ON ga = x.gender JOIN numbered y ON gb = y.gender WHERE x.g <= 4 AND y.g <= 4 GROUP BY 1))""",
+             _ELIMINATE, """chi AS (SELECT list_sum(list_transform(m, lambda r, i: r[5] * r[5] / r[i])) AS chi FROM m3)""") + """
+SELECT gender, persons, observed, round(expected, 6) AS expected, round(chi, 6) AS chi_square, 4.0::DOUBLE AS df,
+       round(exp(-chi / 2) * (1 + chi / 2), 6) AS p_value FROM numbered, chi""")
 def log_rank_segments(t: Tables) -> DataFrame:
-    """Observed and expected deaths over five strata."""
-    return sv.log_rank(followed(t), "fu_days", "died", "gender").select(
-        F.col("gender"), "observed", "expected")
+    """Log-rank test over five strata."""
+    return sv.log_rank(followed(t), "fu_days", "died", "gender")
 
 
 _PERIOD = v.SURV + """,
@@ -228,9 +261,9 @@ _NORMAL_P = """1 - 2 * (sqrt({x}) / 3000) / 3 / sqrt(2 * pi()) * list_sum(list_t
 
 
 @query(with_(_PERIOD) + f""", r AS (SELECT *, pow(o1 - e1, 2) / var AS chi FROM z)
-SELECT 'before' AS period, CAST(o1 AS DOUBLE) AS observed, round(e1, 6) AS expected,
+SELECT 'before' AS period, (SELECT count(*) FROM two WHERE period = 'before') AS persons, CAST(o1 AS DOUBLE) AS observed, round(e1, 6) AS expected,
   round(chi, 6) AS chi_square, 1.0::DOUBLE AS df, round({_NORMAL_P.format(x="chi")}, 6) AS p_value FROM r
-UNION ALL SELECT 'after', CAST(dd - o1 AS DOUBLE), round(dd - e1, 6), round(chi, 6), 1.0,
+UNION ALL SELECT 'after', (SELECT count(*) FROM two WHERE period = 'after'), CAST(dd - o1 AS DOUBLE), round(dd - e1, 6), round(chi, 6), 1.0,
   round({_NORMAL_P.format(x="chi")}, 6) FROM r""")
 def log_rank_periods(t: Tables) -> DataFrame:
     """Log-rank test between two periods of admission."""
@@ -263,22 +296,25 @@ _NEWTON = """newton AS (
 dt AS (SELECT time, count(*) AS d, count(*) FILTER (WHERE x) AS d1 FROM ct WHERE died GROUP BY 1),
 rt AS (SELECT dt.*, (SELECT count(*) FROM ct c WHERE c.time >= dt.time) AS n,
               (SELECT count(*) FROM ct c WHERE c.time >= dt.time AND x) AS n1 FROM dt),
-e AS (SELECT n1, n - n1 AS n0, d1, d - d1 AS d0, d, unnest(range(0, d)) / d AS f FROM rt)""", _NEWTON) + """
+e AS (SELECT n1, n - n1 AS n0, d1, d - d1 AS d0, d, unnest(range(0, d)) / d AS f FROM rt)""", _NEWTON) + f"""
 SELECT 'admission_service=O' AS term, round(beta, 5) AS coef, round(exp(beta), 5) AS hazard_ratio,
-       round(1 / sqrt(info), 5) AS std_err FROM newton""")
+       round(1 / sqrt(info), 5) AS std_err, round(z, 4) AS z, round({_NORMAL_P.format(x="z * z")}, 5) AS p_value,
+       round(exp(beta - 1.959963984540054 / sqrt(info)), 4) AS lower,
+       round(exp(beta + 1.959963984540054 / sqrt(info)), 4) AS upper, TRUE AS converged
+FROM (SELECT *, beta * sqrt(info) AS z FROM newton)""")
 def cox_one_term(t: Tables) -> DataFrame:
     """Hazard ratio of one two-level covariate, against Newton steps in SQL."""
     rows = followed(t).where(F.col("fu_days") >= 0)
     out = sv.cox_ph(rows, "fu_days", "died", {"admission_service": ["F", "O"]})
-    return out.select("term", *[F.round(c, 5).alias(c) for c in ("coef", "hazard_ratio", "std_err")])
+    return out.select("term", *[F.round(c, 5).alias(c) for c in ("coef", "hazard_ratio", "std_err", "p_value")],
+                      *[F.round(c, 4).alias(c) for c in ("z", "lower", "upper")], "converged")
 
 
 @query()
 def cox_ph(t: Tables) -> DataFrame:
     """Hazard ratios by service and year of admission (iterative: no SQL twin)."""
     rows = followed(t).where(F.col("fu_days") >= 0).withColumn(
-        "year_of_admission", F.when(F.year("index_date") >= 1997, "1997+").otherwise(
-            F.year("index_date").cast("string")))
+        "year_of_admission", F.year("index_date").cast("string"))
     return sv.cox_ph(rows, "fu_days", "died",
                      {"admission_service": ["F", "O"], "year_of_admission": None})
 

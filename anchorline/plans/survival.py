@@ -2,14 +2,14 @@
 
 Persons are collapsed to counts per (stratum, time) before anything is ordered,
 with map-side combine, so the ordered windows run over at most (distinct days x
-strata) rows however many persons there are.  Times must therefore be at day
-(or coarser) resolution; rescale to months or years afterwards.
+strata) rows however many persons there are.  Curves order one stratum at a time;
+the tests split the running sums by ranges of time, so finer times only mean more ranges.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorline.functions import special
 from anchorline.plans.stats import chi2_p
-from anchorline.session import ensure_checkpoint_dir
+from anchorline.session import written_folder
 
-MAX_LEVELS = 200
+#: Collapsed rows that one task orders.
+ROWS_PER_RANGE = 200_000
 
 
 def _collapse(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFrame:
@@ -98,13 +99,25 @@ def km_at(curve: DataFrame, times: Sequence[float], by: Sequence[str] = ()) -> D
                         for c in ("survival", "lower", "upper")])
 
 
-def levels_of(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
-    """Sorted distinct levels of a grouping column, with a checked bound."""
-    found = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct()
-             .limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} levels")
-    return sorted(found)
+def levels_of(df: DataFrame, column: str) -> list:
+    """Sorted distinct levels of a grouping column; a model has a term for each."""
+    return sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
+
+
+def _time_ranges(steps: DataFrame) -> DataFrame:
+    """``steps`` with ``part``: consecutive ranges of time, about ``ROWS_PER_RANGE`` rows each.
+
+    Equal times share a range.  A sketch places the cuts, so the number of ranges
+    grows with the rows and no task orders more than its range.
+    """
+    rows = steps.count()
+    parts = max(1, -(-rows // ROWS_PER_RANGE))
+    if parts == 1:
+        return steps.withColumn("part", F.lit(0))
+    wanted = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = sorted(set(steps.agg(F.percentile_approx("time", wanted, 100 * parts)).first()[0]))
+    return steps.withColumn("part", F.size(F.filter(
+        F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("time"))))
 
 
 def log_rank(df: DataFrame, time: str, event: str, group: str,
@@ -112,167 +125,214 @@ def log_rank(df: DataFrame, time: str, event: str, group: str,
     """Observed and expected events per group, with the chi-square test.
 
     One row per group: persons, observed, expected, chi_square, df, p_value
-    (the last three repeat on every row).
+    (the last three repeat on every row).  Groups are rows throughout; only the sums per
+    pair of groups meet in one place.
     """
-    levels = list(levels) if levels is not None else levels_of(df, group)
-    k = len(levels)
-    if k < 2:
+    if levels is not None and len(set(levels)) < 2:
         raise ValueError("need at least two groups")
-    steps = _collapse(df.where(F.col(group).isin(levels)), time, event, [group])
-    cells = []
-    for i, level in enumerate(levels):
-        own = F.col(group) == level
-        cells += [F.sum(F.when(own, F.col("exits")).otherwise(0)).alias(f"x{i}"),
-                  F.sum(F.when(own, F.col("events")).otherwise(0)).alias(f"d{i}")]
-    wide = steps.groupBy("time").agg(*cells)
-    later = Window.orderBy(F.col("time").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    risk = wide.select("*", *[F.sum(f"x{i}").over(later).alias(f"n{i}") for i in range(k)])
-    n = reduce(lambda a, b: a + b, [F.col(f"n{i}") for i in range(k)])
-    d = reduce(lambda a, b: a + b, [F.col(f"d{i}") for i in range(k)])
-    risk = risk.withColumns({"n": n.cast("double"), "d": d.cast("double")}).where("d > 0")
-    share = [F.col(f"n{i}") / F.col("n") for i in range(k)]
-    spread = F.when(F.col("n") > 1,
-                    F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
-    sums = [F.sum(F.col("d") * share[i]).alias(f"e{i}") for i in range(k)]
-    sums += [F.sum(f"d{i}").cast("double").alias(f"o{i}") for i in range(k)]
-    sums += [F.sum(spread * share[i] * ((1.0 if i == j else 0.0) - share[j])).alias(f"v{i}_{j}")
-             for i in range(k) for j in range(i, k)]
-    totals = risk.agg(*sums)
-    names = [str(v) for v in levels]
-
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                o = np.array([row[f"o{i}"] for i in range(k)])
-                e = np.array([row[f"e{i}"] for i in range(k)])
-                v = np.array([[row[f"v{min(i, j)}_{max(i, j)}"] for j in range(k)]
-                              for i in range(k)])
-                used = np.flatnonzero(e > 0)[:-1]
-                gap = (o - e)[used]
-                chi = float(gap @ np.linalg.solve(v[np.ix_(used, used)], gap)) if len(used) else None
-                yield pd.DataFrame({group: names, "observed": o, "expected": e,
-                                    "chi_square": chi, "df": float(len(used))})
-
-    rows = totals.mapInPandas(close, f"`{group}` string, observed double, expected double, "
-                                     "chi_square double, df double")
-    return rows.withColumn("p_value", chi2_p("chi_square", "df"))
-
-
-def _dummies(covariates: Mapping[str, Sequence]) -> list[tuple[str, str, object]]:
-    """(term, column, level) for every level after a covariate's first."""
-    return [(f"{column}={level}", column, level)
-            for column, levels in covariates.items() for level in levels[1:]]
-
-
-def _efron(p: int):
-    """Per-time contributions to log likelihood, score and information.
-
-    Deaths tied at a time leave the risk set in equal fractions.
+    kept = df.where(F.col(group).isin(list(levels)) if levels is not None else F.col(group).isNotNull())
+    steps = _time_ranges(_collapse(kept.withColumn("__group", F.col(group).cast("string")), time, event, ["__group"]))
+    totals = steps.groupBy("part", "__group").agg(F.sum("exits").alias("exits"))
+    parts = steps.select("part").distinct()
+    # of every range and group: who leaves after the range
+    later = (totals.withColumnRenamed("part", "from").join(parts, F.col("from") > F.col("part"))
+             .groupBy("part", "__group").agg(F.sum("exits").alias("exits")))
+    rows = steps.select("part", "__group", F.col("time").cast("double").alias("time"), "events", "exits").unionByName(
+        later.select("part", "__group", F.lit(float("inf")).alias("time"), F.lit(0).cast("long").alias("events"), "exits"))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, g = np.unique(pdf["__group"].to_numpy(dtype=object).astype(str), return_inverse=True)
+        times, t = np.unique(pdf["time"].to_numpy(), return_inverse=True)
+        exits, events = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
+        np.add.at(exits, (t, g), pdf["exits"].to_numpy())
+        np.add.at(events, (t, g), pdf["events"].to_numpy())
+        risk = exits[::-1].cumsum(0)[::-1]
+        d = events.sum(1)
+        risk, events, d = risk[d > 0], events[d > 0], d[d > 0]
+        n = risk.sum(1)
+        share = risk / n[:, None]
+        spread = d * (n - d) / np.maximum(n - 1, 1)
+        v = np.diag((share * spread[:, None]).sum(0)) - share.T @ (share * spread[:, None])
+        a, b = np.nonzero(v)
+        out = pd.DataFrame({"a": names[a], "b": names[b], "v": v[a, b]})
+        return pd.concat([out, pd.DataFrame({"a": names, "observed": events.sum(0),
+                                             "expected": (share * d[:, None]).sum(0)})])
+
+    cells = (rows.groupBy("part").applyInPandas(sums, "a string, b string, v double, observed double, expected double")
+             .groupBy("a", "b").agg(F.sum("v").alias("v"), F.sum("observed").alias("observed"),
+                                    F.sum("expected").alias("expected")))
+    persons = totals.groupBy(F.col("__group").alias("a")).agg(F.sum("exits").alias("persons"))
+    cells = cells.join(persons, "a")
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["b"].isna()].sort_values("a")
+        names = {name: i for i, name in enumerate(own["a"])}
+        v = np.zeros((len(names), len(names)))
+        pairs = pdf[pdf["b"].notna()]
+        v[pairs["a"].map(names), pairs["b"].map(names)] = pairs["v"]
+        gap = (own["observed"] - own["expected"]).to_numpy()
+        used = np.flatnonzero(own["expected"].to_numpy() > 0)[:-1]
+        chi = float(gap[used] @ np.linalg.pinv(v[np.ix_(used, used)]) @ gap[used]) if len(used) else None
+        return own[["a", "persons", "observed", "expected"]].assign(chi_square=chi, df=float(len(used)))
+
+    rows = cells.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(
+        close, "a string, persons long, observed double, expected double, chi_square double, df double")
+    return rows.withColumnRenamed("a", group).withColumn("p_value", chi2_p("chi_square", "df"))
+
+
+def _tied(d: np.ndarray, s0: np.ndarray, t0: np.ndarray):
+    """Sums over l = 0 .. d-1 of log(u), 1/u, f/u, 1/u^2, f/u^2, f^2/u^2 with f = l/d, u = s0 - f t0.
+
+    Few deaths are summed; for many at one time the sum is an integral with end
+    corrections (a constant amount of work), or, where u nearly vanishes at the end, summed
+    there and integrated before.
     """
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    names = (["loglik"] + [f"g{i}" for i in range(p)] + [f"h{i}_{j}" for i, j in pairs])
-
-    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros(len(names))
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                d = int(row["d"])
-                s0, t0 = row["s0"], row["t0"]
-                sums = np.zeros(6)
-                for start in range(0, d, 1 << 20):
-                    f = np.arange(start, min(d, start + (1 << 20))) / d
-                    inv = 1.0 / (s0 - f * t0)
-                    sums += [-np.log(inv).sum(), inv.sum(), (f * inv).sum(),
-                             (inv * inv).sum(), (f * inv * inv).sum(), (f * f * inv * inv).sum()]
-                logs, a1, a2, b1, b2, b3 = sums
-                s1 = np.array([row[f"s1_{i}"] for i in range(p)])
-                t1 = np.array([row[f"t1_{i}"] for i in range(p)])
-                x = np.array([row[f"x_{i}"] for i in range(p)])
-                s2 = np.array([row[f"s2_{i}_{j}"] for i, j in pairs])
-                t2 = np.array([row[f"t2_{i}_{j}"] for i, j in pairs])
-                grad = x - (s1 * a1 - t1 * a2)
-                outer = (np.outer(s1, s1) * b1 - (np.outer(s1, t1) + np.outer(t1, s1)) * b2
-                         + np.outer(t1, t1) * b3)
-                info = s2 * a1 - t2 * a2 - np.array([outer[i, j] for i, j in pairs])
-                acc += np.concatenate([[row["xb"] - logs], grad, info])
-        yield pd.DataFrame([acc], columns=names)
-
-    return totals, names
+    def terms(f, s, t):
+        u = s - f * t
+        return np.stack([np.log(u), 1 / u, f / u, 1 / u ** 2, f / u ** 2, f * f / u ** 2])
+
+    out = np.zeros((6, len(d)))
+    nodes, weights = np.polynomial.legendre.leggauss(32)
+    for i, (n, s, t) in enumerate(zip(d.astype(int).tolist(), s0.tolist(), t0.tolist())):
+        if n <= 2048:
+            out[:, i] = terms(np.arange(n) / n, s, t).sum(1)
+            continue
+        # the last 1024 terms one by one, the others on pieces that shrink towards the end
+        out[:, i] = terms(np.arange(n - 1024, n) / n, s, t).sum(1)
+        low = 0.0
+        while low < n - 1024:
+            high = min(low + (n - low) / 2, n - 1024.0)
+            x = (low + high) / 2 + (high - low) / 2 * nodes
+            # the integral from l - 1/2 to l + 1/2 is the term at l up to its second derivative / 24
+            out[:, i] += (terms((x - 0.5) / n, s, t) * weights).sum(1) * (high - low) / 2
+            low = high
+    return out
+
+
+def _cox_part(terms: int, betas: np.ndarray, later: dict):
+    """Log likelihood, score and information of one time range at each of ``betas``."""
+    upper = np.triu_indices(terms)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("time", ascending=False)
+        x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), terms)
+        times, t = np.unique(-pdf["time"].to_numpy(float), return_inverse=True)
+        exits, events = pdf["exits"].to_numpy(float), pdf["events"].to_numpy(float)
+        square = x[:, upper[0]] * x[:, upper[1]]
+        rows = []
+        for k, beta in enumerate(betas):
+            xb = x @ beta
+            w = np.exp(xb)
+            each = np.concatenate([np.ones((len(x), 1)), x, square], axis=1) * w[:, None]
+            risk, dead = np.zeros((len(times), each.shape[1])), np.zeros((len(times), each.shape[1]))
+            np.add.at(risk, t, each * exits[:, None])
+            np.add.at(dead, t, each * events[:, None])
+            risk = risk.cumsum(0) + later.get((int(pdf["part"].iloc[0]), k), 0.0)
+            d = np.bincount(t, events, len(times))
+            some = d > 0
+            d, risk, dead = d[some], risk[some], dead[some]
+            s1, t1, s2, t2 = (m[:, c] for c in (slice(1, 1 + terms), slice(1 + terms, None)) for m in (risk, dead))
+            logs, a1, a2, b1, b2, b3 = _tied(d, risk[:, 0], dead[:, 0])
+            score = (x * events[:, None]).sum(0) - (s1 * a1[:, None] - t1 * a2[:, None]).sum(0)
+            cross = s1.T @ (t1 * b2[:, None])
+            outer = s1.T @ (s1 * b1[:, None]) - cross - cross.T + t1.T @ (t1 * b3[:, None])
+            info = (s2 * a1[:, None] - t2 * a2[:, None]).sum(0) - outer[upper]
+            rows.append((k, [float((xb * events).sum() - logs.sum()), *score.tolist(), *info.tolist()]))
+        return pd.DataFrame(rows, columns=["k", "sums"])
+    return run
+
+
+def _cox_totals(terms: int, betas: np.ndarray):
+    """Weighted sums over everybody of one time range, at each of ``betas``."""
+    upper = np.triu_indices(terms)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), terms)
+        each = np.concatenate([np.ones((len(x), 1)), x, x[:, upper[0]] * x[:, upper[1]]], axis=1)
+        weight = np.exp(x @ betas.T) * pdf["exits"].to_numpy(float)[:, None]
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "k": range(len(betas)),
+                             "sums": [(each.T @ weight[:, k]).tolist() for k in range(len(betas))]})
+    return run
 
 
 def cox_ph(df: DataFrame, time: str, event: str, covariates: Mapping[str, Sequence | None],
-           max_iter: int = 25, tol: float = 1e-9, conf: float = 0.95) -> DataFrame:
+           tol: float = 1e-9, conf: float = 0.95, store: str | None = None) -> DataFrame:
     """Proportional hazards on categorical covariates, Efron ties.
 
     ``covariates`` maps a column to its levels, reference first (``None``: found,
-    in sorted order).  Persons collapse to (time, covariate pattern, counts),
-    which is written to the checkpoint folder once; every Newton step is an
-    aggregate over it and only the p x p sums come to the driver.  One row per
-    term: coefficient, hazard ratio, standard error, z, p_value and limits.
+    in sorted order); a covariate with one level has no term.  Persons collapse to (time, covariate
+    pattern, counts), written once to ``store`` (a folder; by default one below the
+    shared checkpoint folder).  A Newton step is two passes over its time ranges that
+    try the whole step and its halves together; only p x p sums come to the driver.
+
+    One row per term: coefficient, hazard ratio, standard error, z, p_value, limits, iterations
+    and converged.  A level that no finite coefficient fits (none of its persons has the
+    event, or all others lack it) is reported at the value where the likelihood stopped
+    rising, with infinite limits and converged = false.  Without terms there are no rows.
     """
     spark = df.sparkSession
     found = {c: list(v) if v is not None else levels_of(df, c) for c, v in covariates.items()}
-    terms = _dummies(found)
+    terms = [(f"{column}={level}", column, level) for column, levels in found.items() for level in levels[1:]]
+    schema = ("term string, coef double, hazard_ratio double, std_err double, z double, p_value double, "
+              "lower double, upper double, iterations int, converged boolean")
+    if not terms:
+        return spark.createDataFrame([], schema)
     p = len(terms)
     known = reduce(lambda a, b: a & b, [F.col(c).isin(v) for c, v in found.items()])
-    ensure_checkpoint_dir(spark)
-    patterns = _collapse(df.where(known), time, event, list(found)).select(
-        "time", "events", "exits",
-        *[(F.col(c) == level).cast("double").alias(f"x{i}")
-          for i, (_, c, level) in enumerate(terms)]).checkpoint()
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    efron, names = _efron(p)
-    later = Window.orderBy(F.col("time").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-
-    def newton_sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        xb = reduce(lambda a, b: a + b,
-                    [F.col(f"x{i}") * F.lit(float(beta[i])) for i in range(p)])
-        w = F.exp(xb)
-        all_w, dead_w = F.col("exits") * w, F.col("events") * w
-        cells = [F.sum("events").alias("d"), F.sum(F.col("events") * xb).alias("xb"),
-                 F.sum(all_w).alias("r0"), F.sum(dead_w).alias("t0")]
-        for i in range(p):
-            xi = F.col(f"x{i}")
-            cells += [F.sum(all_w * xi).alias(f"r1_{i}"), F.sum(dead_w * xi).alias(f"t1_{i}"),
-                      F.sum(F.col("events") * xi).alias(f"x_{i}")]
-        for i, j in pairs:
-            xij = F.col(f"x{i}") * F.col(f"x{j}")
-            cells += [F.sum(all_w * xij).alias(f"r2_{i}_{j}"),
-                      F.sum(dead_w * xij).alias(f"t2_{i}_{j}")]
-        per_time = patterns.groupBy("time").agg(*cells)
-        running = [F.sum(c).over(later).alias("s" + c[1:])
-                   for c in per_time.columns if c.startswith("r")]
-        kept = [c for c in per_time.columns if not c.startswith("r")]
-        risk = per_time.select(*kept, *running).where("d > 0")
-        schema = ", ".join(f"{n} double" for n in names)
-        row = (risk.mapInPandas(efron, schema)
-               .agg(*[F.sum(n).alias(n) for n in names]).collect()[0])
-        grad = np.array([row[f"g{i}"] for i in range(p)])
-        info = np.zeros((p, p))
-        for i, j in pairs:
-            info[i, j] = info[j, i] = row[f"h{i}_{j}"]
-        return row["loglik"], grad, info
-
-    beta = np.zeros(p)
-    loglik, grad, info = newton_sums(beta)
-    for _ in range(max_iter):
-        step = np.linalg.solve(info, grad)
-        while True:
-            new_loglik, new_grad, new_info = newton_sums(beta + step)
-            if new_loglik >= loglik - 1e-9 * abs(loglik) or np.abs(step).max() < 1e-8:
-                break
-            step = step / 2
-        gained = abs(new_loglik - loglik)
-        beta, loglik, grad, info = beta + step, new_loglik, new_grad, new_info
+    dummies = F.array(*[(F.col(c) == level).cast("double") for _, c, level in terms])
+    steps = _collapse(df.where(known), time, event, list(found)).select(
+        F.col("time").cast("double").alias("time"), dummies.alias("x"), "events", "exits")
+    folder = written_folder(spark, store)
+    steps.write.parquet(folder)
+    patterns = _time_ranges(spark.read.schema(steps.schema).parquet(folder))
+    upper = np.triu_indices(p)
+
+    def sums(betas: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        totals = patterns.groupBy("part").applyInPandas(_cox_totals(p, betas), "part int, k int, sums array<double>")
+        by_part: dict[int, np.ndarray] = {}
+        for r in totals.collect():      # per range, not per time
+            by_part.setdefault(r["part"], np.zeros((len(betas), len(r["sums"]))))[r["k"]] = r["sums"]
+        later, running = {}, 0.0
+        for part in sorted(by_part, reverse=True):
+            later |= {(part, k): running if np.isscalar(running) else running[k] for k in range(len(betas))}
+            running = running + by_part[part]
+        parts = patterns.groupBy("part").applyInPandas(_cox_part(p, betas, later), "k int, sums array<double>")
+        width = 1 + p + len(upper[0])
+        rows = {r["k"]: np.array(r[1:]) for r in parts.groupBy("k").agg(
+            *[F.sum(F.col("sums")[i]) for i in range(width)]).collect()}
+        out = []
+        for k in range(len(betas)):
+            row = rows.get(k, np.zeros(width))
+            info = np.zeros((p, p))
+            info[upper] = row[1 + p:]
+            out.append((row[0], row[1:1 + p], info + np.triu(info, 1).T))
+        return out
+
+    beta, iterations = np.zeros(p), 0
+    loglik, score, info = sums(beta[None, :])[0]
+    while True:
+        step = np.linalg.pinv(info, rcond=1e-13, hermitian=True) @ score
+        size = np.abs(step).max()
+        step = step * min(1.0, 4.0 / size) if size > 0 else step    # a runaway level moves in bounded steps
+        tries = [step / 2 ** k for k in range(4)]
+        results = sums(np.array([beta + t for t in tries]))
+        best = max(range(4), key=lambda k: (results[k][0], -k) if np.isfinite(results[k][0]) else (-np.inf, -k))
+        iterations += 1
+        gained = results[best][0] - loglik
+        if gained > 0:
+            beta, (loglik, score, info) = beta + tries[best], results[best]
         if gained <= tol * abs(loglik):
             break
-    se = np.sqrt(np.diag(np.linalg.inv(info)))
+    diagonal = np.diag(info)
+    settled = (diagonal > 1e-5 * max(1.0, diagonal.max())) | ((diagonal > 1e-9) & (np.abs(beta) < 8))
+    covariance = np.linalg.pinv(info, rcond=1e-13, hermitian=True)
     z = special.normal_quantile(0.5 + conf / 2)
-    rows = [(name, float(b), math.exp(b), float(s), float(b / s),
-             special.normal_two_sided(b / s), math.exp(b - z * s), math.exp(b + z * s))
-            for (name, _, _), b, s in zip(terms, beta, se)]
-    return spark.createDataFrame(
-        rows, "term string, coef double, hazard_ratio double, std_err double, z double, "
-              "p_value double, lower double, upper double")
+    rows = []
+    for (name, _, _), b, var, ok in zip(terms, beta.tolist(), np.diag(covariance).tolist(), settled.tolist()):
+        se = var ** 0.5 if ok and var > 0 else None
+        if se is None:
+            rows.append((name, b, math.exp(b), None, None, None, 0.0, float("inf"), iterations, False))
+        else:
+            rows.append((name, b, math.exp(b), se, b / se, special.normal_two_sided(b / se),
+                         math.exp(b - z * se), math.exp(b + z * se), iterations, True))
+    return spark.createDataFrame(rows, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,21 +26,16 @@ def tune_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+def written_folder(spark: SparkSession, store: str | None = None) -> str:
+    """A new folder below ``store``, or below the shared folder ``spark.checkpoint.dir`` names.
 
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local folder would be lost with its executor.
+    Where neither is given (a notebook, tests) a temporary one is set for the session.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        shared = tempfile.mkdtemp(prefix="anchorline-checkpoint-")
-    context.setCheckpointDir(shared)
+    shared = store or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="anchorline-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def local_session(name: str = "anchorline", cpus: int | str = "*",

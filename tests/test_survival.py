@@ -129,9 +129,55 @@ def test_cox_published(aml):
     assert (r["coef"], r["std_err"], r["p_value"]) == pytest.approx((0.9155, 0.5119, 0.0737), abs=2e-4)
 
 
-def test_levels_are_bounded(spark):
-    with pytest.raises(ValueError):
-        sv.levels_of(spark.range(50).select(F.col("id").cast("string").alias("g")), "g", limit=10)
+def test_cox_covariate_with_one_level_has_no_term(spark):
+    df = spark.createDataFrame([("a", "x", 1, True), ("a", "y", 2, False), ("a", "x", 3, True), ("a", "y", 4, True)],
+                               "g string, h string, t int, e boolean")
+    assert sv.cox_ph(df, "t", "e", {"g": None}).count() == 0
+    assert [r["term"] for r in sv.cox_ph(df, "t", "e", {"g": None, "h": None}).collect()] == ["h=y"]
+
+
+def test_cox_level_without_events_has_infinite_limits(spark):
+    rows = [("a", t, t % 2 == 0) for t in range(1, 30)] + [("b", t, t % 3 == 0) for t in range(1, 30)]
+    rows += [("c", t, False) for t in range(1, 30)]
+    got = {r["term"]: r for r in sv.cox_ph(spark.createDataFrame(rows, "g string, t int, e boolean"), "t", "e", {"g": None}).collect()}
+    assert got["g=b"]["converged"] and 0 < got["g=b"]["lower"] < got["g=b"]["upper"] < 10
+    assert not got["g=c"]["converged"] and (got["g=c"]["lower"], got["g=c"]["upper"]) == (0.0, math.inf)
+    two = {r["term"]: r for r in sv.cox_ph(spark.createDataFrame([r for r in rows if r[0] != "c"], "g string, t int, e boolean"),
+                                           "t", "e", {"g": None}).collect()}
+    assert got["g=b"]["coef"] == pytest.approx(two["g=b"]["coef"], abs=1e-3)
+
+
+def test_many_deaths_at_one_time_are_summed_exactly():
+    d, s0, t0 = np.array([5000, 3000, 4000]), np.array([9000.0, 3000.0, 1e7]), np.array([5000.0, 3000.0, 4000.0])
+    got = sv._tied(d, s0, t0)
+    for i in range(3):
+        f = np.arange(d[i]) / d[i]
+        u = s0[i] - f * t0[i]
+        want = [np.log(u), 1 / u, f / u, 1 / u ** 2, f / u ** 2, f * f / u ** 2]
+        assert list(got[:, i]) == pytest.approx([w.sum() for w in want], rel=1e-7)
+
+
+def test_log_rank_many_groups_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sv, "ROWS_PER_RANGE", 400)
+    data = [(f"g{i % 300:03d}", (i * 7919) % 5003, i % 3 == 0) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, t int, e boolean")
+    assert sv._time_ranges(sv._collapse(df, "t", "e", ["g"])).select("part").distinct().count() > 5
+    got = {r["g"]: r for r in sv.log_rank(df, "t", "e", "g").collect()}
+    want, chi = _log_rank_brute(data)
+    assert len(got) == 300 and sum(r["persons"] for r in got.values()) == 3000
+    for g, (o, e) in want.items():
+        assert (got[g]["observed"], got[g]["expected"]) == pytest.approx((o, e))
+    assert got["g000"]["chi_square"] == pytest.approx(chi, rel=1e-6)
+
+
+def test_cox_over_several_ranges(spark, monkeypatch):
+    people = _random_people(11)
+    df = spark.createDataFrame(people, "g string, sex string, t int, e boolean")
+    whole = [tuple(r) for r in sv.cox_ph(df, "t", "e", {"g": None, "sex": None}).collect()]
+    monkeypatch.setattr(sv, "ROWS_PER_RANGE", 10)
+    parts = [tuple(r) for r in sv.cox_ph(df, "t", "e", {"g": None, "sex": None}).collect()]
+    for a, b in zip(whole, parts):
+        assert a[0] == b[0] and a[1:8] == pytest.approx(b[1:8], rel=1e-6)
 
 
 # --- tests -------------------------------------------------------------------
