@@ -153,14 +153,14 @@ FROM followed WHERE fu_days IS NOT NULL GROUP BY 1""")
 def quantiles_by(t: Tables) -> DataFrame:
     """Quartiles of follow-up by stratum."""
     from anchorline.catalogue.survival import followed
-    return tab.quantiles(followed(t), "fu_days", [0.25, 0.5, 0.75], ["gender"], buckets=16)
+    return tab.quantiles(followed(t), "fu_days", [0.25, 0.5, 0.75], ["gender"])
 
 
 @query(f"""SELECT count(*) AS n, {_Q.format(c="l_extendedprice")},
        round(quantile_cont(l_extendedprice, 0.975), 6) AS q97_5 FROM lineitem""")
 def quantiles_overall(t: Tables) -> DataFrame:
     """Exact quartiles of a continuous measure."""
-    return tab.quantiles(t("lineitem"), "l_extendedprice", [0.25, 0.5, 0.75, 0.975], buckets=64)
+    return tab.quantiles(t("lineitem"), "l_extendedprice", [0.25, 0.5, 0.75, 0.975])
 
 
 @query("""SELECT CAST(CASE WHEN c_acctbal < -1000 THEN 0 WHEN c_acctbal >= 10000 THEN 21

@@ -66,22 +66,27 @@ def describe_by(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
         F.min(v).alias("min"), F.max(v).alias("max"))
 
 
+#: Distinct values of all groups together that one sorting task should get.
+VALUES_PER_BUCKET = 100_000
+
+
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = (),
-              buckets: int = 256) -> DataFrame:
+              per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
     """Exact quantiles by linear interpolation between order statistics.
 
-    Values are first collapsed to (group, value, n), then cut into buckets of
-    about equal numbers of distinct values by a mergeable sketch.  Sorting only
-    happens inside a bucket and offsets come from bucket totals, so no task sees
-    more than a ``1/buckets`` share of a group's distinct values.  The sketch
-    only places the cuts; the ranks are exact whatever it returns.
+    Values are first collapsed to (group, value, n); how many there are sets the number of
+    buckets, into which a mergeable sketch cuts each group evenly.  Sorting only
+    happens inside a bucket and offsets come from bucket totals, so a sorting task sees about
+    ``per_bucket`` values however large a group is.  The sketch only places the
+    cuts; the ranks are exact whatever it returns.
     """
-    if buckets < 2 or buckets & (buckets - 1):
-        raise ValueError("buckets must be a power of two")
     keys = [f"__g{i}" for i in range(len(by))]
     base = df.where(F.col(column).isNotNull()).select(
         *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(column).cast("double").alias("v"))
     counts = base.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    values, buckets = base.agg(F.approx_count_distinct(F.struct(*keys, "v"))).first()[0], 2
+    while buckets * per_bucket < values:
+        buckets *= 2
     fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
     cuts = counts.groupBy(*keys).agg(
         F.expr(f"percentile_approx(v, array({fractions}), {10 * buckets})").alias("cuts"),
