@@ -87,22 +87,23 @@ def presumed_exit(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH placed AS (SELECT n_nationkey AS nation, s_suppkey AS area FROM nation
-                LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 17 = 0)
-SELECT c_custkey AS person_id, coalesce(CAST(CAST(floor(s_acctbal / 1000) AS INTEGER) AS VARCHAR),
-                                        'missing') AS decile
-FROM customer JOIN (SELECT nation, max(area) AS area FROM placed GROUP BY 1 HAVING count(*) = 1) p
-  ON c_nationkey = nation
-LEFT JOIN supplier ON s_suppkey = area""")
+SELECT c_custkey AS person_id,
+       coalesce((SELECT CAST(CAST(floor(avg(s_acctbal) / 1000) AS INTEGER) AS VARCHAR) FROM supplier
+                 WHERE s_nationkey = c_nationkey), 'missing') AS decile
+FROM customer WHERE (SELECT count(DISTINCT o_orderpriority) FROM orders
+                     WHERE o_custkey = c_custkey AND o_orderstatus = 'P') <= 1""")
 def area_index(t: Tables) -> DataFrame:
-    """Nation's one supplier as the person's area; several areas: person dropped."""
-    people = t("customer").select(F.col("c_custkey").alias("person_id"), "c_nationkey")
-    local = t("supplier").where(F.col("s_suppkey") % 17 == 0)
-    areas = people.join(local, F.col("c_nationkey") == F.col("s_nationkey")).select(
-        "person_id", F.col("s_suppkey").cast("string").alias("area"))
-    index = t("supplier").select(F.col("s_suppkey").cast("string").alias("area"),
-                                 F.floor(F.col("s_acctbal") / 1000).cast("int").alias("decile"))
-    return c.attach_area_index(people, areas, index).select("person_id", "decile")
+    """Persons' areas by their P orders, scored by all suppliers of the nation; several areas: person dropped."""
+    people = t("customer").select(F.col("c_custkey").alias("person_id"),
+                                  F.col("c_nationkey").cast("string").alias("nation"))
+    moves = (t("orders").where(F.col("o_orderstatus") == "P")
+             .select(F.col("o_custkey").alias("person_id"), "o_orderpriority").distinct())
+    areas = people.join(moves, "person_id", "left").select(
+        "person_id", F.concat_ws(" ", "nation", "o_orderpriority").alias("area"), "nation")
+    scores = t("supplier").groupBy(F.col("s_nationkey").cast("string").alias("nation")).agg(
+        F.floor(F.avg("s_acctbal") / 1000).cast("int").alias("decile"))
+    index = areas.select("area", "nation").distinct().join(scores, "nation").select("area", "decile")
+    return c.attach_area_index(people.select("person_id"), areas, index).select("person_id", "decile")
 
 
 @query("""

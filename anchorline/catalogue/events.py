@@ -34,21 +34,16 @@ def diagnosis_before(t: Tables) -> DataFrame:
 
 
 _TWO = v.EI + """,
-daily AS (
-  SELECT person_id, event_type AS kind, CAST(ts AS DATE) AS day, min(value) AS low
-  FROM events JOIN ei ON user_id = person_id
-  WHERE event_type IN ('purchase', 'view') AND value > 1 AND ts < index_date
-    AND date_diff('year', ts, index_date) <= 2 GROUP BY 1, 2, 3),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY person_id, kind ORDER BY low DESC, day) AS nth
-  FROM daily),
-pairs AS (
-  SELECT a.person_id, a.kind, a.low AS first_reading, b.low AS second_reading
-  FROM ranked a JOIN ranked b ON a.person_id = b.person_id AND a.kind = b.kind
-  WHERE a.nth = 1 AND b.nth = 2),
+lows AS (
+  SELECT user_id AS person_id, event_type AS kind, list_reverse_sort(list(low)) AS low
+  FROM (SELECT user_id, event_type, index_date, min(value) AS low FROM events JOIN ei ON user_id = person_id
+        WHERE event_type IN ('purchase', 'view') AND value > 1 AND ts < index_date
+          AND date_diff('year', ts, index_date) <= 2
+        GROUP BY user_id, event_type, index_date, CAST(ts AS DATE)) GROUP BY 1, 2),
 rule AS (
-  SELECT *, CASE WHEN kind = 'purchase' THEN first_reading > 40 AND second_reading > 40
-                 ELSE first_reading > 35 AND second_reading > 35 END AS meets_rule FROM pairs)"""
+  SELECT person_id, kind, low[1] AS first_reading, low[2] AS second_reading,
+         low[2] > CASE kind WHEN 'purchase' THEN 40 ELSE 35 END AS meets_rule
+  FROM lows WHERE len(low) >= 2)"""
 
 
 @query(with_(_TWO) + """
@@ -232,26 +227,29 @@ def _moments(t: Tables) -> DataFrame:
 
 
 def _pair_ctes(tag: str, side: str) -> str:
-    """The pairing as the study wrote it: deduplicate, join the kinds, rank."""
-    return f"""near_{tag} AS (
-  SELECT person_id, index_date, event_type AS kind, CAST(floor(value) AS INTEGER) AS value,
-         CAST(CAST(ts AS DATE) AS TIMESTAMP)
-           + CASE WHEN hour(ts) >= 12 THEN INTERVAL 12 HOUR ELSE INTERVAL 0 HOUR END AS moment
-  FROM events JOIN ei ON user_id = person_id
-  WHERE event_type IN ('purchase', 'view') AND floor(value) > 1),
-single_{tag} AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id, moment, value ORDER BY kind) AS dup
-                 FROM near_{tag} WHERE {side}) WHERE dup = 1),
-joined_{tag} AS (
-  SELECT a.person_id, a.moment, a.value AS purchase, b.value AS view
-  FROM single_{tag} a JOIN single_{tag} b ON a.person_id = b.person_id AND a.moment = b.moment
-  WHERE a.kind = 'purchase' AND b.kind = 'view' AND a.value > 10 AND a.value < 400
-    AND b.value > 2 AND b.value < 200),
-ranked_{tag} AS (
-  SELECT *, rank() OVER (PARTITION BY person_id ORDER BY moment) AS seq,
-         row_number() OVER (PARTITION BY person_id, CAST(moment AS DATE)
-                            ORDER BY purchase, moment, view) AS daily FROM joined_{tag}),
-pair_{tag} AS (SELECT * FROM ranked_{tag} WHERE seq = 1 AND daily = 1)"""
+    """By definition: a person's earliest moment with both readings in range, if the
+    first reading there is also its day's lowest.
+
+    A value that both kinds hold at one moment counts for the kind that sorts first.
+    """
+    return f"""held_{tag} AS (
+  SELECT person_id, moment, value, min(kind) AS kind
+  FROM (SELECT person_id, index_date, event_type AS kind, CAST(floor(value) AS INTEGER) AS value,
+               time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2000-01-01') AS moment
+        FROM events JOIN ei ON user_id = person_id
+        WHERE event_type IN ('purchase', 'view') AND floor(value) > 1)
+  WHERE {side} GROUP BY 1, 2, 3),
+moments_{tag} AS (
+  SELECT person_id, moment, list(value ORDER BY value) FILTER (kind = 'purchase' AND value > 10 AND value < 400) AS high,
+         list(value ORDER BY value) FILTER (kind = 'view' AND value > 2 AND value < 200) AS low
+  FROM held_{tag} GROUP BY 1, 2 HAVING len(high) > 0 AND len(low) > 0),
+days_{tag} AS (
+  SELECT person_id, CAST(moment AS DATE) AS day,
+         min(struct_pack(a := high[1], b := moment, c := low[1])) AS lowest FROM moments_{tag} GROUP BY 1, 2),
+pair_{tag} AS (
+  SELECT person_id, lowest.b AS moment, lowest.a AS purchase, lowest.c AS view
+  FROM days_{tag} JOIN (SELECT person_id, min(moment) AS earliest FROM moments_{tag} GROUP BY 1) USING (person_id)
+  WHERE lowest.b = earliest)"""
 
 
 _PRE = _pair_ctes("pre", "moment < index_date AND date_diff('day', moment, index_date) <= 365")
@@ -438,12 +436,12 @@ def before_and_after_counts(t: Tables) -> DataFrame:
 
 @query(with_(v.EP) + """
 SELECT person_id, event_time, diagnosis_1, diagnosis_2, count(*) AS n FROM ep
-WHERE diagnosis_1 IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_partkey % 10 = 0 UNION SELECT 'PROMO')
-   OR diagnosis_2 IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_partkey % 10 = 0 UNION SELECT 'PROMO')
+WHERE diagnosis_1 IN (SELECT p_brand FROM part WHERE p_brand LIKE 'Brand#1%' UNION SELECT 'PROMO')
+   OR diagnosis_2 IN (SELECT p_brand FROM part WHERE p_brand LIKE 'Brand#1%' UNION SELECT 'PROMO')
 GROUP BY 1, 2, 3, 4""")
 def any_code_in_list(t: Tables) -> DataFrame:
-    """Any positional code in a list that comes as a table (with repeats)."""
-    listed = t("part").where("p_size = 50 AND p_partkey % 10 = 0").select(
+    """Any positional code among one maker's brands, a list that comes as a table (with repeats)."""
+    listed = t("part").where(F.col("p_brand").startswith("Brand#1")).select(
         F.col("p_brand").alias("code")).unionByName(t.codes("PROMO"))
     hits = any_code_in(v.episodes(t), v.DIAGNOSES, listed)
     return (hits.groupBy("person_id", "event_time", *v.DIAGNOSES)

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from anchorline.session import tune_session
 from anchorline.sources.codelists import code_frame
 from anchorline.sources.tables import load
 
@@ -14,25 +13,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 class Tables:
-    """The driver's tables by name, read lazily.
-
-    A table's schema is looked up in its files once per process; file listings
-    are not kept.
-    """
+    """The driver's tables by name, read lazily."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = tune_session(spark), root
+        self.spark, self.root = spark, root
 
     def __call__(self, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df = load(self.spark, name, self.root, _SCHEMAS.get(path))
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = df.schema
-        return df
+        return load(self.spark, name, self.root)
 
     def codes(self, *values: str) -> DataFrame:
         """A literal code list (a study parameter) as a DataFrame."""

@@ -29,7 +29,7 @@ EP = """ep AS (
 
 EI = """ei AS (
   SELECT user_id AS person_id, min(ts) AS index_date FROM events
-  WHERE event_type = 'signup' AND ts >= TIMESTAMP '2024-01-15' GROUP BY 1)"""
+  WHERE event_type = 'signup' GROUP BY 1)"""
 
 SPELLS = """spells AS (
   SELECT o_custkey AS person_id, CAST(o_orderdate AS DATE) AS start_date,
@@ -121,8 +121,7 @@ def drug_lookup(t: Tables) -> DataFrame:
 
 
 def event_index(t: Tables) -> DataFrame:
-    signups = t("events").where((F.col("event_type") == "signup") & (
-        F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")))
+    signups = t("events").where(F.col("event_type") == "signup")
     return signups.groupBy(F.col("user_id").alias("person_id")).agg(F.min("ts").alias("index_date"))
 
 

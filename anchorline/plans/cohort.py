@@ -130,11 +130,17 @@ def presumed_exit(cohort: DataFrame, observation: DataFrame, months: int = 2) ->
 
 def attach_area_index(cohort: DataFrame, person_area: DataFrame, area_index: DataFrame,
                       missing: str = "missing") -> DataFrame:
-    """Person's area and its decile as text; persons with several areas drop out."""
-    areas = cohort.select(PERSON).join(person_area.select(PERSON, "area"), PERSON, "left")
-    placed = areas.join(area_index.select("area", "decile"), "area", "left")
-    return keep_unique(placed.select(PERSON, "area", "decile"), PERSON).withColumn(
-        "decile", level_or(F.col("decile").cast("string"), missing))
+    """Person's area and its decile as text; persons with several areas drop out.
+
+    Areas are reduced to one row per person before the index is met, and persons
+    without an area do not meet it at all, so no area holds more than its residents.
+    """
+    residents = keep_unique(person_area.select(PERSON, "area").distinct(), PERSON)
+    several = person_area.select(PERSON).distinct().join(residents, PERSON, "left_anti")
+    placed = residents.where("area IS NOT NULL").join(
+        area_index.select("area", "decile").dropDuplicates(["area"]), "area", "left")
+    return (cohort.select(PERSON).join(several, PERSON, "left_anti").join(placed, PERSON, "left")
+            .select(PERSON, "area", level_or(F.col("decile").cast("string"), missing).alias("decile")))
 
 
 def resolve_category(cohort: DataFrame, primary: DataFrame, secondary: DataFrame,

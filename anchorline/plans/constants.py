@@ -49,10 +49,20 @@ MI_PREFIXES = ["I21", "I22"]
 MI_THREE_CHAR = ["I21", "I22", "I23"]
 MI_EXCLUDED_CODE = "I252"
 
-# ICD-10 falls and fragility fractures, and stroke (ranges expand).
-FALL_CODES = "W00-W19 M80 S22 S32 S42 S52 S72 S82 T08 T10 T12 T14.2"
-STROKE_CODES = ("I60 I600-I609 I61 I610-I616 I618 I619 I62 I620 I621 I629 "
-                "I63 I630-I636 I638 I639 I64")
+# ICD-10 falls and fragility fractures.
+FALL_CODES = [
+    "W00", "W01", "W02", "W03", "W04", "W05", "W06", "W07", "W08", "W09",
+    "W10", "W11", "W12", "W13", "W14", "W15", "W16", "W17", "W18", "W19",
+    "M80", "S22", "S32", "S42", "S52", "S72", "S82", "T08", "T10", "T12", "T14.2",
+]
+# ICD-10 stroke.
+STROKE_CODES = [
+    "I60", "I600", "I601", "I602", "I603", "I604", "I605", "I606", "I607", "I608", "I609",
+    "I61", "I610", "I611", "I612", "I613", "I614", "I615", "I616", "I618", "I619",
+    "I62", "I620", "I621", "I629",
+    "I63", "I630", "I631", "I632", "I633", "I634", "I635", "I636", "I638", "I639",
+    "I64",
+]
 
 # Ethnicity texts that carry no information.
 ETHNICITY_UNKNOWN = [

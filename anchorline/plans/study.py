@@ -38,7 +38,7 @@ from anchorline.plans import cohort as c, constants as k, exposure as x, measure
 from anchorline.plans import outcome as o, phenotype as p, rates as r, stats as st
 from anchorline.plans import survival as sv
 from anchorline.schema import INDEX, PERSON, TIME
-from anchorline.sources.codelists import code_frame, expand_ranges
+from anchorline.sources.codelists import code_frame
 from anchorline.sources.tables import load, publish
 
 THREE = ["diagnosis_1", "diagnosis_2", "diagnosis_3"]
@@ -50,8 +50,8 @@ class CareHomeStudy:
     def __init__(self, tables: Mapping[str, DataFrame], codes: Mapping[str, object],
                  store: str | None = None):
         self.t, self.store = dict(tables), store
-        self.codes = {"falls": expand_ranges(k.FALL_CODES),
-                      "stroke": expand_ranges(k.STROKE_CODES), **codes}
+        self.codes = {"falls": k.FALL_CODES,
+                      "stroke": k.STROKE_CODES, **codes}
         self.spark = next(iter(self.t.values())).sparkSession
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:

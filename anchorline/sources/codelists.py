@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -57,16 +56,3 @@ def clean_codelist(codes: DataFrame, system: str | None = None, exclude: Collect
 def damaged_codes(codes: DataFrame) -> DataFrame:
     """Codes in scientific notation: they can match no real id."""
     return codes.where(F.col("code").rlike(r"^[0-9](\.[0-9]+)?[Ee]\+?[0-9]+$"))
-
-
-def expand_ranges(spec: str) -> list[str]:
-    """'W00-W03 R55' -> ['W00', 'W01', 'W02', 'W03', 'R55']."""
-    out: list[str] = []
-    for part in spec.split():
-        match = re.fullmatch(r"([A-Z])(\d+)-\1(\d+)", part)
-        if match:
-            letter, low, high = match.groups()
-            out += [f"{letter}{i:0{len(low)}d}" for i in range(int(low), int(high) + 1)]
-        else:
-            out.append(part)
-    return out
