@@ -116,3 +116,69 @@ marked AS (
 SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (gone) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY num) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+ORACLES["op2_substring_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, start, row_number() OVER (PARTITION BY array_to_string(words[start:start + 19], ' ')
+                                           ORDER BY doc_id, start) AS copy
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM split)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS pos FROM windows WHERE copy > 1),
+each_word AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM each_word ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)"""
+
+ORACLES["op3_decontamination"] = r"""
+WITH split AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+lists AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM split),
+wanted AS (
+  SELECT DISTINCT id AS item, k, array_to_string(words[start:start + k - 1], ' ') AS win
+  FROM (SELECT id, words, k, unnest(range(1, len(words) - k + 2)) AS start
+        FROM (SELECT *, least(len(words), 10) AS k FROM lists WHERE kind = 'i' AND len(words) > 0))),
+hits AS (
+  SELECT id, start, k, item
+  FROM (SELECT id, k, start, array_to_string(words[start:start + k - 1], ' ') AS win
+        FROM (SELECT id, words, k, unnest(range(1, len(words) - k + 2)) AS start
+              FROM lists, (SELECT DISTINCT k FROM wanted) WHERE kind = 'd')) JOIN wanted USING (k, win)),
+covered AS (SELECT id, count(DISTINCT pos) AS n FROM (SELECT id, unnest(range(start, start + k)) AS pos FROM hits) GROUP BY 1),
+found AS (SELECT id, list_sort(list(DISTINCT CAST(item AS VARCHAR))) AS items FROM hits GROUP BY 1)
+SELECT id AS doc_id, len(words) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM lists LEFT JOIN covered USING (id) LEFT JOIN found USING (id) WHERE kind = 'd'"""
+
+_REACH = """reach AS (
+  SELECT id AS a, id AS b FROM ids UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"""
+
+ORACLES["op4_embedding_dedup"] = f"""
+WITH RECURSIVE ids AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS MATERIALIZED (
+  SELECT x.id AS a, y.id AS b FROM ids x JOIN ids y ON x.id <> y.id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+{_REACH}
+SELECT a AS vec_id, (SELECT count(*) FROM links WHERE links.a = reach.a) AS n_links, min(b) AS component_id,
+       a = min(b) AS kept FROM reach GROUP BY a"""
+
+ORACLES["op7_minhash_join"] = rf"""
+WITH RECURSIVE ids AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT id, array_to_string(words[start:start + 3], ' ') AS shingle
+  FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS start FROM ids WHERE len(words) > 0)),
+sizes AS MATERIALIZED (SELECT id, count(*) AS n FROM shingles GROUP BY 1),
+links AS MATERIALIZED (
+  SELECT c.a, c.b FROM (SELECT x.id AS a, y.id AS b, count(*) AS n FROM shingles x JOIN shingles y USING (shingle)
+                        WHERE x.id <> y.id GROUP BY 1, 2) c
+  JOIN sizes s ON s.id = c.a JOIN sizes t ON t.id = c.b WHERE 100 * c.n >= 80 * (s.n + t.n - c.n)),
+{_REACH}
+SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+FROM reach LEFT JOIN sizes ON id = a GROUP BY a"""

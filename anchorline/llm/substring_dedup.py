@@ -9,7 +9,8 @@ at what the level before left over:
   it.  Equal full-length windows choose the same one, so no repeat is lost, and
   about 2 in (words - seed + 2) positions are shuffled;
 * positions whose class has one member only are dropped, the rest are extended to
-  twice the length, until the full length is reached or nothing survives.
+  twice the length inside the full windows they stand for, until the full length
+  is reached or nothing survives.
 
 At the full length the first occurrence (least doc_id, then least start) of every
 window is kept and the words under all later ones are removed.
@@ -22,12 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from anchorline.llm.common import first_copies, one_row_per_id, written
-from anchorline.llm.words import PACKED, Words, pack, packed_slices, text_slices, window_hashes, windows_inside
+from anchorline.llm.words import Words, text_slices, window_hashes, windows_inside
 
-_SPOTS = "key long, doc_id long, start int"
+_SPOTS = "key long, doc_id long, start int, hot boolean"
+#: A seed window that occurs more often makes the windows on it hot: these are reduced
+#: to their first occurrence before they are joined, all others are ranked in one shuffle.
+HOT = 1_000
 
 
 def _anchors(w: Words, words: int, seed: int):
@@ -43,10 +47,10 @@ def _anchors(w: Words, words: int, seed: int):
     return hashes, starts, least[starts], seeds
 
 
-def _spots(keys, doc_ids, starts) -> pa.RecordBatch:
+def _spots(keys, doc_ids, starts, hot) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64)), pa.array(doc_ids), pa.array(starts.astype(np.int32))],
-        names=["key", "doc_id", "start"])
+        [pa.array(keys.view(np.int64)), pa.array(doc_ids), pa.array(starts.astype(np.int32)), pa.array(hot)],
+        names=["key", "doc_id", "start", "hot"])
 
 
 def _seed_spots(words: int, seed: int):
@@ -59,46 +63,66 @@ def _seed_spots(words: int, seed: int):
                 chosen = np.unique(least)
                 text = np.searchsorted(w.first, chosen, side="right") - 1
                 if len(chosen):
-                    yield _spots(seeds[chosen], ids[row + text], chosen - w.first[text])
+                    yield _spots(seeds[chosen], ids[row + text], chosen - w.first[text], np.zeros(len(chosen), bool))
     return run
 
 
-def _grown_spots(words: int, seed: int, length: int):
-    """Windows of ``length`` words standing on a surviving seed position."""
+def _flags(lists: pa.Array, first: np.ndarray, n: int) -> np.ndarray:
+    """Which words of a slice are listed, by their place in their text."""
+    out = np.zeros(n + 1, bool)
+    counts = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
+    out[lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(first[:-1], counts)] = True
+    return out
+
+
+def _part(starts: np.ndarray, least: np.ndarray, words: int, length: int) -> np.ndarray:
+    """Where the ``length`` words that stand for a full window begin: at its seed window, or
+    as far before that as they need to stay inside."""
+    return starts + np.minimum(least - starts, words - length)
+
+
+def _grown_spots(words: int, seed: int, before: int, length: int):
+    """Parts of ``length`` words of full windows whose part of ``before`` words survived."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            live_all = batch.column(3)
-            for row, offsets, data in packed_slices(batch):
+            for row, offsets, data in text_slices(batch.column(1)):
                 w = Words(offsets, data)
                 hashes, starts, least, _ = _anchors(w, words, seed)
                 n_texts = len(offsets) - 1
-                lists = live_all.slice(row, n_texts)
-                counts = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
-                alive = np.zeros(len(hashes) + 1, bool)
-                alive[lists.flatten().to_numpy(zero_copy_only=False)
-                      + np.repeat(w.first[:-1], counts)] = True
-                keep = starts[alive[least]] if len(starts) else starts
+                alive, hot = (_flags(batch.column(c).slice(row, n_texts), w.first, len(hashes)) for c in (2, 3))
+                old = _part(starts, least, words, before)
+                keep = np.flatnonzero(alive[old])
                 if not len(keep):
                     continue
-                if length < words:      # the part of the window that starts at its seed position
-                    keep = np.unique(least[alive[least]])
-                    keep = keep[windows_inside(w.first, length, len(hashes))[keep]]
-                text = np.searchsorted(w.first, keep, side="right") - 1
-                yield _spots(window_hashes(hashes, length)[keep], ids[row + text], keep - w.first[text])
+                at, where = np.unique(_part(starts[keep], least[keep], words, length), return_index=True)
+                by = old[keep][where]
+                text = np.searchsorted(w.first, at, side="right") - 1
+                yield _spots(window_hashes(hashes, length)[at], ids[row + text], at - w.first[text], hot[by])
     return run
 
 
 def _survivors(spots: DataFrame) -> DataFrame:
-    """Spots whose key occurs more than once, one row per document: (doc_id, live)."""
-    again = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return (spots.join(again, "key").groupBy("doc_id").agg(F.collect_list("start").alias("live")))
+    """Spots whose key occurs more than once, one row per document: (doc_id, live, hot)."""
+    again = spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "n")
+    return (spots.drop("hot").join(again, "key").groupBy("doc_id")
+            .agg(F.collect_list("start").alias("live"), F.collect_list(F.when(F.col("n") > HOT, F.col("start"))).alias("hot")))
 
 
-def repeated_windows(docs: DataFrame, packed: DataFrame, copies: DataFrame, words: int = 20, seed: int = 10) -> DataFrame:
+def _later(spots: DataFrame) -> DataFrame:
+    """Spots whose key occurs earlier too."""
+    hot = spots.where("hot")
+    first = hot.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    hot = hot.join(first, "key").where(F.struct("doc_id", "start") > F.col("first"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "start"))
+    cold = spots.where("not hot").withColumn("turn", turn).where("turn > 1")
+    return cold.select("doc_id", "start").unionByName(hot.select("doc_id", "start"))
+
+
+def repeated_windows(docs: DataFrame, copies: DataFrame, words: int = 20, seed: int = 10) -> DataFrame:
     """(doc_id, starts): word starts of windows of ``words`` words that also start earlier.
 
-    ``docs`` holds (doc_id long, text string) with one row per doc_id, ``packed`` the same packed, ``copies``
+    ``docs`` holds (doc_id long, text string) with one row per doc_id, ``copies``
     (doc_id, first_id) the least doc_id with the same text.  ``words`` must be ``seed``
     times a power of two.  Texts equal to an earlier document's are not listed: each of
     their windows starts earlier.
@@ -112,13 +136,11 @@ def repeated_windows(docs: DataFrame, packed: DataFrame, copies: DataFrame, word
     spots = docs.mapInArrow(_seed_spots(words, seed), _SPOTS)
     length = seed
     while length < words:
-        length *= 2
+        before, length = length, 2 * length
         live = _survivors(spots).join(firsts, "doc_id")
-        spots = packed.join(live, "doc_id").select("doc_id", "size", "packed", "live").mapInArrow(
-            _grown_spots(words, seed, length), _SPOTS)
-    first = spots.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = spots.join(first, "key").where(F.struct("doc_id", "start") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+        spots = docs.join(live, "doc_id").select("doc_id", "text", "live", "hot").mapInArrow(
+            _grown_spots(words, seed, before, length), _SPOTS)
+    return _later(spots).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
 
 
 def _cut(words: int):
@@ -128,9 +150,9 @@ def _cut(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            whole = batch.column(4).to_numpy(zero_copy_only=False)
-            starts_all = batch.column(3)
-            for row, offsets, data in packed_slices(batch):
+            whole = batch.column(3).to_numpy(zero_copy_only=False)
+            starts_all = batch.column(2)
+            for row, offsets, data in text_slices(batch.column(1)):
                 w = Words(offsets, data)
                 n_texts = len(offsets) - 1
                 lists = starts_all.slice(row, n_texts)
@@ -176,10 +198,9 @@ def remove_repeated_windows(docs: DataFrame, words: int = 20, seed: int = 10) ->
     docs = one_row_per_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     copies = written(first_copies(docs))
     whole = copies.where("doc_id <> first_id").select("doc_id", F.lit(True).alias("whole"))
-    packed = docs.mapInArrow(pack, PACKED)
-    marks = (repeated_windows(docs, packed, copies, words, seed).join(whole, "doc_id", "full")
+    marks = (repeated_windows(docs, copies, words, seed).join(whole, "doc_id", "full")
              .select("doc_id", "starts", F.coalesce("whole", F.lit(False)).alias("whole")))
-    joined = (packed.join(marks, "doc_id", "left")
-              .select("doc_id", "size", "packed", "starts", F.coalesce("whole", F.lit(False)).alias("whole")))
+    joined = (docs.join(marks, "doc_id", "left")
+              .select("doc_id", "text", "starts", F.coalesce("whole", F.lit(False)).alias("whole")))
     return joined.mapInArrow(_cut(words), "doc_id long, n_words long, n_removed long, "
                                           "kept_text string, kept_sha256 string")

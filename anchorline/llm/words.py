@@ -74,19 +74,6 @@ def unpack(sizes, packed) -> list[bytes]:
     return [pa.decompress(p, n, codec="zstd", asbytes=True) if n else b"" for n, p in zip(sizes, packed)]
 
 
-def packed_slices(batch: pa.RecordBatch):
-    """(first row, offsets, bytes) for slices of a batch whose columns 1 and 2 are size and packed."""
-    sizes = batch.column(1).to_numpy(zero_copy_only=False)
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    start = 0
-    while start < len(sizes):
-        stop = int(np.searchsorted(total, total[start] + SLICE_BYTES, side="right")) - 1
-        stop = min(max(stop, start + 1), len(sizes))
-        data = b"".join(unpack(sizes[start:stop].tolist(), batch.column(2).slice(start, stop - start).to_pylist()))
-        yield start, total[start:stop + 1] - total[start], np.frombuffer(data, np.uint8)
-        start = stop
-
-
 class Words:
     """Words of consecutive texts: byte starts and ends, and the first word of each text.
 
