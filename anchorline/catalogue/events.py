@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from anchorline.catalogue import views as v
 from anchorline.catalogue.registry import Tables, query, with_
 from anchorline.functions.dates import after, around, before, ever_after, ever_before, month_range
-from anchorline.operators.codes import any_code_in, any_code_prefix, label_codes, map_codes
+from anchorline.operators.codes import any_code_in, any_code_joined, any_code_prefix, label_codes, map_codes
 from anchorline.operators.joins import (normalise_event, pair_readings, spread_join,
-                                        stack_distinct, stack_sources)
+                                        stack_distinct)
 from anchorline.plans import exposure as x, measure as m, outcome as o, phenotype as p
 
 THRESHOLDS = {"purchase": 40, "view": 35}
@@ -92,10 +92,8 @@ FROM idx i LEFT JOIN ep ON ep.person_id = i.person_id AND event_time < index_dat
   AND (diagnosis_1 IN ('PROMO', 'Brand#7') OR diagnosis_2 IN ('PROMO', 'Brand#7'))
 GROUP BY 1""")
 def prior_event_12m(t: Tables) -> DataFrame:
-    """Coded episode in the 12 months before index, two sites stacked."""
-    rows = v.episodes(t)
-    stacked = stack_sources(*[rows.where(F.col("site") == s) for s in v.SITES])
-    out = p.event_within(v.index_people(t), stacked, v.DIAGNOSES, before(365),
+    """Coded episode in the 12 months before index, at either of two sites (one table, read once)."""
+    out = p.event_within(v.index_people(t), v.episodes(t).where(F.col("site").isin(v.SITES)), v.DIAGNOSES, before(365),
                          codes={"PROMO", "Brand#7"}, filler=None)
     return out.select("person_id", "first_event", "had_event")
 
@@ -169,6 +167,16 @@ def exposure_long(t: Tables) -> DataFrame:
     return _long(t)
 
 
+@query(with_(_LONG) + " UNION ALL ".join(
+    f"""SELECT '{c}' AS drug_class, time_status, count(*) AS n, count(*) FILTER ({c}) AS n_flagged,
+  round(avg({c}::INTEGER) * 100, 6) AS percent FROM long
+  WHERE NOT (time_status = 'post_admission' AND early_death) GROUP BY 2""" for c in CLASSES))
+def share_prescribed(t: Tables) -> DataFrame:
+    """Share of persons on each class at each time point, without those who died early after."""
+    kept = _long(t).where(~((F.col("time_status") == "post_admission") & F.col("early_death")))
+    return x.share_prescribed(kept, list(CLASSES))
+
+
 @query(with_(_LONG, """labelled AS (
   SELECT time_status, CASE WHEN n_classes >= 3 THEN '3+' ELSE CAST(n_classes AS VARCHAR) END AS n_label
   FROM long WHERE NOT (time_status = 'post_admission' AND early_death))""") + """
@@ -352,11 +360,9 @@ _SITE = """site_{s} AS (
 SELECT person_id, index_date, min(event_time) AS event_time
 FROM (SELECT * FROM site_A UNION ALL SELECT * FROM site_N UNION ALL SELECT * FROM site_R) GROUP BY 1, 2""")
 def first_across_sources(t: Tables) -> DataFrame:
-    """First event per site, then first overall."""
-    rows, people = v.episodes(t), v.index_people(t)
-    return o.first_across_sources(*[
-        o.first_event_after(rows.where(F.col("site") == s), people, v.DIAGNOSES, **CODED)
-        for s in "ANR"])
+    """First event over three sites of one table: first per person and site, then overall, in one pass."""
+    rows = v.episodes(t).where(F.col("site").isin("A", "N", "R"))
+    return o.first_across_sources(o.first_event_after(rows, v.index_people(t), v.DIAGNOSES, **CODED))
 
 
 _TYPED = """typed AS (
@@ -448,6 +454,20 @@ def any_code_in_list(t: Tables) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("""
+SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber, count(*) AS n FROM lineitem
+WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25)
+   OR l_suppkey IN (SELECT p_partkey FROM part WHERE p_size <= 25)
+   OR l_orderkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) GROUP BY 1, 2""")
+def any_code_in_long_list(t: Tables) -> DataFrame:
+    """Any of three ids in a list as long as half the part table, joined whatever its size."""
+    listed = t("part").where("p_size <= 25").select(F.col("p_partkey").cast("string").alias("code")).distinct()
+    rows = t("lineitem").select(F.col("l_orderkey").cast("string").alias("order_id"), "l_linenumber",
+                                F.col("l_partkey").cast("string").alias("part"), F.col("l_suppkey").cast("string").alias("supplier"))
+    hits = any_code_joined(rows, ["part", "supplier", "order_id"], listed)
+    return hits.groupBy("order_id", "l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(with_(v.EP) + """
 SELECT diagnosis_1, diagnosis_2, count(*) AS n FROM ep
 WHERE substring(rtrim(diagnosis_1, 'Y'), 1, 3) IN ('ECO', 'SMA')

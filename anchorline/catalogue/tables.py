@@ -10,7 +10,9 @@ from anchorline.catalogue.registry import Tables, query, with_
 from anchorline.functions import dates as d, text as x, values as val
 from anchorline.operators import select as s, tabulate as tab
 from anchorline.operators.reshape import collect_classes, to_long
-from anchorline.sources.codelists import clean_codelist
+from anchorline.session import written_folder
+from anchorline.sources.codelists import clean_codelist, load_codelist
+from anchorline.sources.tables import load, publish
 
 
 def _orders(t: Tables) -> DataFrame:
@@ -200,6 +202,48 @@ def summary_table(t: Tables) -> DataFrame:
                              na_include=True, totals=True)
 
 
+@query("""WITH base AS (
+  SELECT c_mktsegment AS dep, CASE WHEN c_nationkey < 20 THEN n_name END AS nation
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT dep, nation, count(*) AS n FROM base GROUP BY ALL),
+t AS (SELECT dep, count(*) AS n FROM base GROUP BY 1)
+SELECT CAST(-1 AS INTEGER) AS position, 'total' AS variable, dep AS dependent, 'n' AS level, n,
+       round(n * 100.0 / sum(n) OVER (), 6) AS percent FROM t
+UNION ALL SELECT 0, 'nation', dep, coalesce(nation, 'missing'), n,
+       CASE WHEN nation IS NOT NULL THEN round(n * 100.0 / sum(CASE WHEN nation IS NOT NULL THEN n END)
+                                               OVER (PARTITION BY dep), 6) END FROM g""")
+def summary_without_missing(t: Tables) -> DataFrame:
+    """Shares among the known levels, and columns' shares of all rows."""
+    base = (t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .withColumn("nation", F.when(F.col("c_nationkey") < 20, F.col("n_name"))))
+    out = tab.summary_table(base, [], ["nation"], "c_mktsegment", na_include=True, totals=True,
+                            na_to_p=False, column_totals=True)
+    return out.drop("mean", "sd")
+
+
+# --- sources and sinks -------------------------------------------------------
+
+@query("SELECT o_orderstatus, o_orderkey, o_custkey, o_totalprice FROM orders")
+def publish_and_load(t: Tables) -> DataFrame:
+    """A table published twice (the second replaces the first), partitioned, and loaded again."""
+    root = written_folder(t.spark)
+    rows = t("orders").select("o_orderstatus", "o_orderkey", "o_custkey", "o_totalprice")
+    publish(rows.where("o_orderstatus = 'O'"), "copied_orders", root)
+    publish(rows, "copied_orders", root, partition_by=["o_orderstatus"])
+    return load(t.spark, "copied_orders", root)
+
+
+@query("""SELECT p_partkey::VARCHAR AS code, p_type AS coding_system, p_name AS term FROM part WHERE p_brand = 'Brand#1'""")
+def codelist_from_csv(t: Tables) -> DataFrame:
+    """A code list written as CSV and read back: codes stay text, quoted text stays whole."""
+    path = written_folder(t.spark)
+    (t("part").where("p_brand = 'Brand#1'")
+     .select(F.concat(F.lit(" "), F.col("p_partkey").cast("string")).alias("Code"), F.col("p_type").alias("System"),
+             F.col("p_name").alias("Term"))
+     .write.option("header", True).option("quoteAll", True).csv(path))
+    return load_codelist(t.spark, path, "Code", "System", ["Term"]).withColumnRenamed("Term", "term")
+
+
 # --- relational basics -------------------------------------------------------
 
 @query("""SELECT o_orderkey AS key, o_custkey AS person_id, 'registry' AS source, CAST(NULL AS VARCHAR) AS note,

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from anchorline.functions.text import code_prefix, strip_filler
 from anchorline.operators.joins import spread_join
 
+#: A list of at most so many codes becomes a literal set.
+LITERAL_CODES = 10_000
+
 CodeList = Collection[str] | DataFrame
 """Literal codes, or a DataFrame whose first column holds them."""
 
@@ -29,23 +32,32 @@ def any_code_in(df: DataFrame, columns: Sequence[str], codes: CodeList,
                 prefix_len: int | None = None, filler: str | None = None) -> DataFrame:
     """Rows where any of the positional code columns is in the list.
 
-    Literal codes compile to hashed set probes, with no join.  A DataFrame list
-    is joined once per column against the same distinct codes: one-to-one, so
-    rows never multiply, and the broadcast (or, for a list past the broadcast
-    limit, the shuffle) is Catalyst's choice by measured size.
+    Literal codes compile to hashed set probes, with no join, and so does a DataFrame list counted
+    to hold at most ``LITERAL_CODES``.  A longer one meets the rows in one semi join:
+    each row is laid out once per distinct code it holds (NULLs aside), and
+    rows that hit by several codes are brought back to one.
     """
-    if not isinstance(codes, DataFrame):
-        values = sorted(set(codes))
-        return df.where(_any([_prepared(c, prefix_len, filler).isin(values) for c in columns]))
-    listed = codes.select(F.col(codes.columns[0]).alias("__code")).where("__code IS NOT NULL")
-    listed = listed.distinct().withColumn("__hit", F.lit(True))
-    out, hits = df, []
-    for i, column in enumerate(columns):
-        probed = out.withColumn("__code", _prepared(column, prefix_len, filler))
-        out = spread_join(probed, listed, ["__code"], "left").drop("__code")
-        out = out.withColumnRenamed("__hit", f"__hit{i}")
-        hits.append(F.col(f"__hit{i}").isNotNull())
-    return out.where(_any(hits)).select(*df.columns)
+    if isinstance(codes, DataFrame):
+        listed = codes.select(F.col(codes.columns[0]).alias("__code")).where("__code IS NOT NULL").distinct()
+        found = listed.limit(LITERAL_CODES + 1).collect()
+        if len(found) > LITERAL_CODES:
+            return any_code_joined(df, columns, codes, prefix_len, filler)
+        codes = [r[0] for r in found]
+        if not codes:
+            return df.where(F.lit(False))
+    values = sorted(set(codes))
+    return df.where(_any([_prepared(c, prefix_len, filler).isin(values) for c in columns]))
+
+
+def any_code_joined(df: DataFrame, columns: Sequence[str], listed: DataFrame,
+                    prefix_len: int | None = None, filler: str | None = None) -> DataFrame:
+    """:func:`any_code_in` for a list of any length, by one semi join."""
+    listed = listed.select(F.col(listed.columns[0]).alias("__code")).where("__code IS NOT NULL").distinct()
+    held = F.array_distinct(F.array_compact(F.array(*[_prepared(c, prefix_len, filler) for c in columns])))
+    laid_out = df.withColumns({"__row": F.monotonically_increasing_id(), "__held": held}).select(
+        "*", F.explode("__held").alias("__code")).drop("__held")
+    hits = spread_join(laid_out, listed, ["__code"], "left_semi")
+    return hits.dropDuplicates(["__row"]).select(*df.columns)
 
 
 def any_code_prefix(df: DataFrame, columns: Sequence[str], prefixes: Sequence[str],

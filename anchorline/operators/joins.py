@@ -20,6 +20,19 @@ from anchorline.schema import INDEX, PERSON, TIME, require
 _HASH = "__key_hash"
 
 
+def bucketed_on(df: DataFrame, on: Sequence[str]) -> bool:
+    """Whether a catalog table under ``df`` is bucketed by exactly the key's columns."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName() != "LogicalRelation" or leaf.catalogTable().isEmpty():
+            continue
+        spec = leaf.catalogTable().get().bucketSpec()
+        if spec.isDefined() and spec.get().bucketColumnNames().mkString(",") == ",".join(on):
+            return True
+    return False
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str],
                 how: str = "inner") -> DataFrame:
     """Join rows that may hold hot keys to a table with few rows per key.
@@ -31,7 +44,13 @@ def spread_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str],
     it: the layout (key, hash) satisfies neither, so the lookup gets a shuffle of
     its own and the aggregate above combines partially, then shuffles its few
     partial rows.  ``how`` must preserve the rows: inner, left, left_semi or left_anti.
+
+    Rows read from a table bucketed on the key keep their layout instead: such a
+    join, and aggregates on the key above it, need no shuffle of them.
     """
+    if bucketed_on(rows, on):
+        return rows.join(lookup, list(on), how)
+
     def hashed(df: DataFrame) -> DataFrame:
         return df.withColumn(_HASH, F.xxhash64(*on))
     return hashed(rows).join(hashed(lookup), [*on, _HASH], how).drop(_HASH)
@@ -71,12 +90,21 @@ def attach(cohort: DataFrame, facts: DataFrame, on: Sequence[str] = (PERSON,),
 def assemble_master(cohort: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
     """Person star: the cohort left-joined to covariate tables, one row per person.
 
-    Columns a later table shares with earlier ones are taken from the earlier.
+    A column that two tables share is an error.  So is a person with two rows in a covariate
+    table, found while the plan runs: the table is grouped by person for the join anyway.
     """
     out = cohort
     for table in tables:
-        fresh = [c for c in table.columns if c == PERSON or c not in out.columns]
-        out = out.join(table.select(*fresh), PERSON, "left")
+        facts = [c for c in table.columns if c != PERSON]
+        clash = sorted(set(facts) & set(out.columns))
+        if clash:
+            raise ValueError(f"covariate columns already present: {', '.join(clash)}")
+        row = F.first(F.struct(*[F.col(f"`{c}`") for c in facts])).alias("__row")
+        once = table.groupBy(PERSON).agg(row, F.count(F.lit(1)).alias("__n"))
+        checked = F.when(F.col("__n") == 1, F.col("__row")).otherwise(
+            F.raise_error(F.concat(F.lit("more than one covariate row for person "), F.col(PERSON).cast("string"))))
+        once = once.select(PERSON, checked.alias("__row")).select(PERSON, "__row.*")
+        out = out.join(once, PERSON, "left")
     return out
 
 

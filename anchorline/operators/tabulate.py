@@ -150,12 +150,14 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 def summary_table(df: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (),
                   dependent: str | None = None, na_include: bool = False,
-                  totals: bool = False) -> DataFrame:
+                  totals: bool = False, na_to_p: bool = True, column_totals: bool = False) -> DataFrame:
     """Descriptive table, long form: one row per (variable, level[, dependent]).
 
     Numeric variables give n, mean and sd under the level 'mean'; categories
     give n and the percentage within (variable, dependent level).  ``na_include``
-    adds a 'missing' level, ``totals`` a row with every column's n.  One
+    adds a 'missing' level, ``totals`` a row with every column's n.  Without ``na_to_p`` the
+    missing level has no percentage and is not in the others' denominator; ``column_totals`` gives
+    the total row each dependent level's percentage of all rows.  One
     unpivot and one aggregate whatever the number of variables.
     """
     split = [F.col(dependent).cast("string").alias("dependent")] if dependent else []
@@ -180,7 +182,10 @@ def summary_table(df: DataFrame, numeric: Sequence[str] = (), categorical: Seque
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"))
     in_variable = Window.partitionBy("position", "variable", *keep)
-    percent = F.col("n") / F.sum("n").over(in_variable) * 100
-    is_category = F.col("position") >= len(numeric)
+    counted = F.col("n") if na_to_p else F.when(F.col("level") != "missing", F.col("n"))
+    percent = F.when(F.col("position") >= len(numeric), counted / F.sum(counted).over(in_variable) * 100)
+    if column_totals:
+        of_all = F.col("n") / F.sum("n").over(Window.partitionBy("position", "variable")) * 100
+        percent = F.when(F.col("position") == -1, of_all).otherwise(percent)
     return grouped.select("position", "variable", *keep, "level", "n", "mean", "sd",
-                          F.when(is_category, percent).alias("percent"))
+                          percent.alias("percent"))

@@ -10,8 +10,8 @@ from anchorline.functions.dates import Bounds, shift_months
 from anchorline.functions.values import cap_level
 from anchorline.operators.codes import map_codes
 from anchorline.operators.joins import attach, spread_join
-from anchorline.operators.reshape import classes_to_flags
-from anchorline.operators.tabulate import crosstab, pct_within
+from anchorline.operators.reshape import classes_to_flags, to_long
+from anchorline.operators.tabulate import crosstab, pct_within, prevalence
 from anchorline.schema import INDEX, PERSON, TIME, require
 
 
@@ -86,6 +86,15 @@ def class_counts(long: DataFrame, excluding: Collection[str] = (),
     return long.select(PERSON, "time_status", total.alias("n_classes"))
 
 
+def share_prescribed(long: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """Persons, persons on the class and percent, per class and time point.
+
+    ``long`` has a row per person and time point with a boolean per class.
+    """
+    taken = to_long(long, [PERSON, "time_status"], list(classes), "drug_class", "taken")
+    return prevalence(taken, F.col("taken"), ["drug_class", "time_status"])
+
+
 def count_distribution(counts: DataFrame, cap: int) -> DataFrame:
     """Persons and percent per capped class count within each time point."""
     labelled = counts.withColumn("n_label", cap_level(F.col("n_classes"), cap))

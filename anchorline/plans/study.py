@@ -199,6 +199,27 @@ class CareHomeStudy:
         counts = x.class_counts(self.drugs_kept, excluding, list(k.DRUG_CLASSES))
         return x.count_distribution(counts, cap)
 
+    def share_prescribed(self) -> DataFrame:
+        """Share of persons on each class at each time point."""
+        return x.share_prescribed(self.drugs_kept, list(k.DRUG_CLASSES))
+
+    def risk_factors(self) -> DataFrame:
+        """Body mass index and the share with each cardiovascular risk factor, by hypertension.
+
+        Needs ``bmi`` (person_id, bmi); conditions beyond those the study derives come as further
+        columns of a ``conditions`` source (one row per person).
+        """
+        tables = [self.t["bmi"], *([self.t["conditions"]] if "conditions" in self.t else [])]
+        people = assemble_master(self.master, tables)
+        extra = [c for c in self.t["conditions"].columns if c != PERSON] if "conditions" in self.t else []
+        return summary_table(people, ["bmi"], ["ckd_diagnosis", "chd_diagnosis", "dm_diagnosis", "previous_stroke",
+                                               "smoking_status", *extra], "hypertension", na_include=True, na_to_p=False)
+
+    def months_to_death(self) -> DataFrame:
+        """Quartiles of the time to death in months, of those who died."""
+        died = self.cohort.where(F.col("dod").isNotNull())
+        return quantiles(died.withColumn("months", F.col("fu_days") / k.DAYS_PER_MONTH), "months", [0.25, 0.5, 0.75])
+
     def prescribing_change(self, flag: str) -> DataFrame:
         """McNemar, six months before against admission, paired by person."""
         at = F.col("time_status")
@@ -403,7 +424,7 @@ class CareHomeStudy:
     def master(self) -> DataFrame:
         """One row per person of the base cohort with every covariate."""
         return assemble_master(self.cohort_base, [
-            self.hypertension, self.ckd, self.chd, self.diabetes,
+            *[t.drop(INDEX) for t in (self.hypertension, self.ckd, self.chd, self.diabetes)],
             self.previous_stroke.select(PERSON, "previous_stroke"),
             self.smoking.select(PERSON, "smoking_status"),
             self.deprivation.select(PERSON, F.col("decile").alias("imd")),

@@ -133,9 +133,9 @@ def log_rank(df: DataFrame, time: str, event: str, group: str,
     kept = df.where(F.col(group).isin(list(levels)) if levels is not None else F.col(group).isNotNull())
     steps = _time_ranges(_collapse(kept.withColumn("__group", F.col(group).cast("string")), time, event, ["__group"]))
     totals = steps.groupBy("part", "__group").agg(F.sum("exits").alias("exits"))
-    parts = steps.select("part").distinct()
     # of every range and group: who leaves after the range
-    later = (totals.withColumnRenamed("part", "from").join(parts, F.col("from") > F.col("part"))
+    earlier = F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part")
+    later = (totals.where("part > 0").select("__group", "exits", earlier)
              .groupBy("part", "__group").agg(F.sum("exits").alias("exits")))
     rows = steps.select("part", "__group", F.col("time").cast("double").alias("time"), "events", "exits").unionByName(
         later.select("part", "__group", F.lit(float("inf")).alias("time"), F.lit(0).cast("long").alias("events"), "exits"))

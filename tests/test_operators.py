@@ -75,8 +75,12 @@ def test_joins(frame):
     assert rows(j.exclude(events, drop).select("person_id")) == [(None,), (2,)]
     facts = frame("person_id long, flag boolean, n long", (1, None, 4))
     assert rows(j.attach(cohort.select("person_id"), facts, flag=False, n=0)) == [(1, False, 4), (3, False, 0)]
-    star = j.assemble_master(cohort, [facts, cohort.select("person_id", "arm")])
-    assert star.columns == ["person_id", "index_date", "arm", "flag", "n"] and star.count() == 2
+    star = j.assemble_master(cohort, [facts, facts.select("person_id", F.col("n").alias("m"))])
+    assert star.columns == ["person_id", "index_date", "arm", "flag", "n", "m"] and star.count() == 2
+    with pytest.raises(ValueError, match="arm"):
+        j.assemble_master(cohort, [facts, cohort.select("person_id", "arm")])
+    with pytest.raises(Exception, match="more than one covariate row for person 1"):
+        j.assemble_master(cohort, [facts.unionByName(facts)]).collect()
     assert rows(j.one_row_per(events)) == [(1, 2)]
     stacked = j.stack_sources(facts, cohort.select("person_id", "arm"))
     assert stacked.columns == ["person_id", "flag", "n", "arm"] and stacked.count() == 3
