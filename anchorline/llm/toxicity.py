@@ -59,18 +59,22 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     weights = np.zeros(x.shape[1])
     rate = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     weights[-1] = np.log(rate / (1 - rate))
-    loss = np.inf
+
+    def value(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (ridge * w ** 2).sum() / 2)
+    loss = value(weights)
     while True:
-        z = x @ weights
-        now = np.logaddexp(0, z).sum() - y @ z + (ridge * weights ** 2).sum() / 2
-        if loss - now <= 1e-6 * (1 + abs(now)):
-            return weights
-        loss, p = now, 1 / (1 + np.exp(-z))
+        p = 1 / (1 + np.exp(-(x @ weights)))
         spread = np.maximum(p * (1 - p), 1e-6).astype(x.dtype)
         hessian = (x.T @ (x * spread[:, None])).astype(float)
         hessian[np.diag_indices_from(hessian)] += ridge
         step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * weights)
-        weights = weights + step
+        while (now := value(weights + step)) > loss and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if loss - now <= 1e-7 * (1 + abs(loss)):
+            return weights
+        weights, loss = weights + step, now
 
 
 def _logit(z: np.ndarray) -> np.ndarray:
@@ -138,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
     chosen = written(part.select("doc_id", *categories).limit(2 * sample)   # the bound on what is broadcast
                      .groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in categories]))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = written(texts.select("doc_id", *categories, _distinct_features("text").alias("features"))
-                   .withColumn("same", F.xxhash64("features")).dropDuplicates(["same"]).drop("same"))
+    rows = written(texts.withColumn("same", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["same"])
+                   .select("doc_id", *categories, _distinct_features("text").alias("features")))
     total, *positive = rows.agg(F.count(F.lit(1)), *[F.sum(c) for c in categories]).first()
     if not total:
         return Chain(categories, np.zeros(0, np.uint64))
