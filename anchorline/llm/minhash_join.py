@@ -20,11 +20,12 @@ deviations) are left aside; all others are confirmed on the full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from anchorline.llm.common import connected_components, one_row_per_id, written
 from anchorline.llm.words import PACKED, Words, mix, pack, powers, text_slices, unpack, window_hashes, windows_inside
@@ -34,6 +35,8 @@ COORDINATES = 64
 OUTSIDE = 64
 #: Documents a hub is compared with in one task step.
 BLOCK = 64
+#: Members of a large node's main class that those outside it are held against in one turn.
+HUBS = 8
 
 
 def _sets(offsets, data, k: int) -> list[np.ndarray]:
@@ -53,11 +56,13 @@ def _sets(offsets, data, k: int) -> list[np.ndarray]:
     return out
 
 
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def _sketch(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key_a", pa.int64()),
                         ("key_b", pa.int64()), ("mins", pa.binary())])
-    odd = np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, offsets, data in text_slices(batch.column(1)):
@@ -66,11 +71,9 @@ def _sketch(k: int):
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 full = np.flatnonzero(sizes)
                 at = (np.cumsum(sizes) - sizes)[full]
-                mins = np.zeros((len(sets), COORDINATES), np.uint32)
+                mins = _mins(sets)
                 keys = np.zeros((2, len(sets)), np.uint64)
                 if len(full):
-                    for c in range(COORDINATES):
-                        mins[full, c] = np.minimum.reduceat(flat * odd[c], at) >> np.uint64(32)
                     within = np.arange(len(flat)) - np.repeat(at, sizes[full])
                     for j, base in enumerate((0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)):
                         keys[j, full] = np.add.reduceat(flat * powers(base, int(sizes.max()))[within], at)
@@ -92,36 +95,80 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype("int32"))
 
 
+def _mins(sets: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(sets), COORDINATES), np.uint32)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        flat, at = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
+        for c, odd in enumerate(_multipliers()):
+            out[full, c] = np.minimum.reduceat(flat * odd, at) >> np.uint64(32)
+    return out
+
+
+def _least_agreeing(percent: int) -> int:
+    """Coordinates that a pair at the threshold agrees on but for five standard deviations."""
+    expected = COORDINATES * percent / 100
+    return int(expected - 5 * (expected * (1 - percent / 100)) ** 0.5)
+
+
 def _compare(k: int, percent: int):
-    def run(group: pa.Table) -> pa.Table:
-        texts = unpack(group["size"].to_pylist(), group["packed"].to_pylist())
-        docs = group["doc"].to_pylist()
-        hub = group["a"][0].as_py()
-        sets = {}
-        for i, text in enumerate(texts):
-            sets[docs[i]] = _sets(np.array([0, len(text)]), np.frombuffer(text, np.uint8), k)[0]
-        left, linked = sets[hub], []
-        for doc, right in sets.items():
-            if doc != hub:
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                if 100 * common >= percent * (len(left) + len(right) - common):
-                    linked.append(doc)
-        return pa.table({"a": pa.array([hub] * len(linked), pa.int64()), "b": pa.array(linked, pa.int64())})
-    return run
+    """Links of one block: its left documents against its right ones, and in a block that
+    says so against each other.  Documents of one class, also a class that grows here, are not compared."""
+    def run(block: pa.Table) -> pa.Table:
+        texts = unpack(block["size"].to_pylist(), block["packed"].to_pylist())
+        docs, labels = block["doc"].to_pylist(), block["label"].to_pylist()
+        sides, among = block["side"].to_pylist(), block["among"][0].as_py()
+        sets = [_sets(np.array([0, len(t)]), np.frombuffer(t, np.uint8), k)[0] for t in texts]
+        left = [i for i, side in enumerate(sides) if side == 0]
+        right = [i for i, side in enumerate(sides) if side == 1]
+        pairs = [(i, j) for i in left for j in right]
+        if among:
+            pairs += [(i, j) for n, i in enumerate(left) for j in left[n + 1:]]
+        size = [len(s) for s in sets]
+        pairs = [(i, j) for i, j in pairs if labels[i] != labels[j]
+                 and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j])]
+        if len(pairs) > 2 * len(docs):      # the sketch leaves aside what cannot reach the threshold
+            mins, (x, y) = _mins(sets), np.array(pairs).T
+            agree = np.concatenate([(mins[x[at:at + 4096]] == mins[y[at:at + 4096]]).sum(1)
+                                    for at in range(0, len(x), 4096)])
+            order = np.argsort(-agree, kind="stable")
+            pairs = [pairs[i] for i in order[agree[order] >= _least_agreeing(percent)].tolist()]
+        root = {label: label for label in labels}
 
+        def find(label):
+            while root[label] != label:
+                root[label] = label = root[root[label]]
+            return label
+        linked = []
+        for i, j in pairs:
+            a, b = find(labels[i]), find(labels[j])
+            if a != b:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (size[i] + size[j] - common):
+                    root[a] = b
+                    linked.append((docs[i], docs[j]))
+        return pa.table({"a": pa.array([x for x, _ in linked], pa.int64()), "b": pa.array([y for _, y in linked], pa.int64())})
+    return run
 
-def _confirmed(pairs: DataFrame, packed: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their full sets.
 
-    A hub's partners come in blocks of about ``BLOCK``, so a text is sent once per
-    block and no task holds more than a block.
-    """
+def _star_blocks(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as blocks of a hub and about ``BLOCK`` partners."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK))
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), blocks).alias("block"))
-    wanted = (dealt.select("a", "block", F.col("b").alias("doc"))
-              .unionByName(dealt.select("a", "block", F.col("a").alias("doc")).distinct()))
-    return (wanted.join(packed, "doc").groupBy("a", "block")
+    dealt = pairs.join(per, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), blocks)).alias("block"))
+    none = F.lit(False).alias("among")
+    right = dealt.select("block", F.col("b").alias("doc"), F.lit(1).alias("side"), F.col("b").alias("label"), none)
+    left = dealt.select("block", F.col("a").alias("doc"), F.lit(0).alias("side"), F.col("a").alias("label"), none)
+    return right.unionByName(left.distinct())
+
+
+def _confirmed(blocks: DataFrame, packed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within blocks, on the full sets; a block is all that a task step holds.
+
+    Texts meet the blocks in a sort-merge join at every size of input.
+    """
+    return (blocks.hint("merge").join(packed, "doc").groupBy("block")
             .applyInArrow(_compare(k, percent), "a long, b long"))
 
 
@@ -136,36 +183,66 @@ def _with_mins(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     """Pairs (a, b) with ``agree``, without those that cannot reach the threshold."""
     side = lambda x: sketches.select(
         F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("mins").alias(f"mins_{x}"))
-    expected = COORDINATES * percent / 100
-    least = int(expected - 5 * (expected * (1 - percent / 100)) ** 0.5)
     return (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .withColumn("agree", _agreeing("mins_a", "mins_b")).where(F.col("agree") >= least)
+            .withColumn("agree", _agreeing("mins_a", "mins_b")).where(F.col("agree") >= _least_agreeing(percent))
             .select("a", "b", "agree"))
 
 
-def _leaf_pairs(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different classes in nodes small enough to compare exhaustively.
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (node, doc, n, label) of nodes with several classes, with the node's size, its largest
+    class (main) and how many documents lie outside it."""
+    counts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+    state = (counts.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
+             .where("size > top.c").select("node", "size", (F.col("size") - F.col("top.c")).alias("outside"),
+                                           F.col("top.label").alias("main")))
+    return rows.join(state, "node")
+
 
-    Larger nodes branch; a node that is still large after ``COORDINATES`` levels agrees
-    on everything the sketch has and is compared as it is.
+def _gathering(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b): documents outside the main class of a large node with the closest of a few of its members."""
+    wide = _mixed(_labelled(nodes.select("node", "doc", "n"), labels)).where(F.col("outside") > OUTSIDE)
+    wide = written(wide)
+    inside = F.col("label") == F.col("main")
+    x = wide.where(~inside).select("node", F.col("doc").alias("b"), F.col("n").alias("nb"))
+    few = F.pmod(F.xxhash64("node", "doc", F.lit(turn)), F.ceil((F.col("size") - F.col("outside")) / HUBS)) == 0
+    hubs = wide.where(inside & few).select("node", F.col("doc").alias("a"), F.col("n").alias("na"))
+    pairs = (x.join(hubs, "node").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+             .select("a", "b").distinct())
+    near = _with_mins(pairs, sketches, percent)
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
+    return written(near.withColumn("place", place).where(F.col("place") <= 3).select("a", "b"))
+
+
+def _leaves(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame,
+            percent: int) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare in the trees: pairs (a, b) from small leaves, blocks from large ones.
+
+    A leaf is a node with at most ``OUTSIDE`` documents outside its largest class.  Each of these is compared
+    with all others there: in a large leaf the class is dealt into blocks of about ``BLOCK``,
+    and those outside go to every block, so rows stay in proportion to the leaf.
+    Other nodes branch; one that is still large after ``COORDINATES`` levels agrees on everything
+    the sketch has and is compared as it is.
     """
-    found = []
+    pairs, blocks = [], []
     rows = _labelled(nodes.select("node", "doc", "n"), labels)
     for level in range(COORDINATES + 1):
-        counts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
-        state = (counts.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
-                 .where("size > top.c").select("node", (F.col("size") - F.col("top.c")).alias("outside"),
-                                               F.col("top.label").alias("main")))
-        mixed = written(rows.join(state, "node"))
+        mixed = written(_mixed(rows))
         leaf = mixed if level == COORDINATES else mixed.where(F.col("outside") <= OUTSIDE)
-        # each document outside the node's main class against all others there
-        x = leaf.where("label <> main").select("node", F.col("doc").alias("x"), F.col("label").alias("lx"),
-                                               F.col("n").alias("nx"))
-        y = leaf.select("node", F.col("doc").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-        found.append(x.join(y, "node").where("lx <> ly")
+        small = F.col("outside") * F.col("size") <= 4 * BLOCK
+        x = leaf.where(small & (F.col("label") != F.col("main"))).select(
+            "node", F.col("doc").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+        y = leaf.where(small).select("node", F.col("doc").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
+        pairs.append(x.join(y, "node").where("lx <> ly")
                      .where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
                      .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        parts = F.ceil((F.col("size") - F.col("outside")) / BLOCK).cast("int")
+        apart = F.col("label") != F.col("main")
+        own = F.when(apart, F.sequence(F.lit(0), parts - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64("doc"), parts).cast("int")))
+        blocks.append(leaf.where(~small).select("node", "doc", "label", apart.alias("apart"), F.explode(own).alias("part"))
+                      .select(F.xxhash64("node", "part").alias("block"), "doc", F.when(F.col("apart"), 0).otherwise(1).alias("side"),
+                              "label", (F.col("part") == 0).alias("among")))
         wide = mixed.where(F.col("outside") > OUTSIDE)
         if level == COORDINATES or wide.isEmpty():
             break
@@ -176,10 +253,7 @@ def _leaf_pairs(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame,
                 .join(sketches.select("doc", "mins"), "doc")
                 .select(F.xxhash64("node", "c", F.expr("substring(mins, cast(4 * c + 1 as int), 4)")).alias("node"),
                         "doc", "n", "label"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    return reduce(DataFrame.unionByName, pairs).distinct(), reduce(DataFrame.unionByName, blocks)
 
 
 def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 6) -> DataFrame:
@@ -219,22 +293,40 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
              .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     stars = written(_with_mins(stars, one, percent))
     packed = docs.mapInArrow(pack, PACKED).withColumnRenamed("doc_id", "doc")
-    # each document with its closest hub first; only what that leaves apart is compared further
+    # each document with its closest hub first, then with its other hubs where it is still
+    # apart from them; only what that leaves apart is compared further down the trees
     tried = written(stars.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best"))
                     .select(F.col("best.a").alias("a"), "b"))
-    links = written(_confirmed(tried, packed, shingle, percent))
+    links = written(_confirmed(_star_blocks(tried), packed, shingle, percent))
     labels = None if links.isEmpty() else connected_components(links)
-    both = lambda rows: _labelled(_labelled(rows.withColumn("doc", F.col("a")), labels)
-                                  .withColumnRenamed("label", "la").withColumn("doc", F.col("b")), labels)
-    apart = both(stars.select("a", "b")).where("la <> label")
-    untried = lambda pairs: (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                             .distinct().join(known, ["a", "b"], "left_anti"))
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    leaves = _with_mins(untried(_leaf_pairs(nodes, labels, one, percent)), one, percent)
-    fresh = written(untried(leaves.select("a", "b").unionByName(apart.select("a", "b"))))
-    more = written(_confirmed(fresh, packed, shingle, percent))
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    both = _labelled(_labelled(stars.select("a", "b").withColumn("doc", F.col("a")), labels)
+                     .withColumnRenamed("label", "la").withColumn("doc", F.col("b")), labels)
+    apart = written(both.where("la <> label").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    if not apart.isEmpty():
+        links = links.unionByName(written(_confirmed(_star_blocks(apart), packed, shingle, percent)))
+        labels = None if links.isEmpty() else connected_components(links)
+    turn, known = 0, tried.unionByName(apart)
+    while True:     # large nodes join their main class as long as that takes in half of those outside
+        turn += 1
+        near = _gathering(nodes, labels, one, percent, turn).join(known, ["a", "b"], "left_anti")
+        if near.isEmpty():
+            break
+        known = known.unionByName(near)
+        found = written(_confirmed(_star_blocks(near), packed, shingle, percent))
+        joined, asked = found.select("b").distinct().count(), near.select("b").distinct().count()
+        if joined:
+            links = links.unionByName(found)
+            labels = connected_components(links)
+        if 2 * joined < asked:
+            break
+    known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs, blocks = _leaves(nodes, labels, one, percent)
+    pairs = written(_with_mins(pairs.join(known, ["a", "b"], "left_anti"), one, percent).select("a", "b"))
+    rest = written(_star_blocks(pairs).unionByName(blocks))
+    if not rest.isEmpty():
+        more = written(_confirmed(rest, packed, shingle, percent))
+        if not more.isEmpty():
+            labels = connected_components(links.unionByName(more))
     member = (sketches.join(classes.select(*key, "first_id"), key, "left")
               .select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id")))
     if labels is None:

@@ -70,6 +70,7 @@ def test_near_duplicates_against_brute_force(docs, k):
 def test_near_duplicates_deep_trees(docs, monkeypatch):
     """Small leaves, so that nodes branch; groups below and around the threshold."""
     monkeypatch.setattr(minhash_join, "OUTSIDE", 1)
+    monkeypatch.setattr(minhash_join, "HUBS", 2)
     rows = []
     for g in range(4):
         base = sentence(50 + g, 120).split()
