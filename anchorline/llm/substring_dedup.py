@@ -29,9 +29,8 @@ from anchorline.llm.common import first_copies, one_row_per_id, written
 from anchorline.llm.words import Words, text_slices, window_hashes, windows_inside
 
 _SPOTS = "key long, doc_id long, start int, hot boolean"
-#: A seed window that occurs more often makes the windows on it hot: these are reduced
-#: to their first occurrence before they are joined, all others are ranked in one shuffle.
-HOT = 1_000
+#: A seed window that occurs more often makes the windows on it hot: these are ranked in parts.
+HOT, SALTS = 1_000, 64
 
 
 def _anchors(w: Words, words: int, seed: int):
@@ -110,13 +109,17 @@ def _survivors(spots: DataFrame) -> DataFrame:
 
 
 def _later(spots: DataFrame) -> DataFrame:
-    """Spots whose key occurs earlier too."""
-    hot = spots.where("hot")
-    first = hot.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    hot = hot.join(first, "key").where(F.struct("doc_id", "start") > F.col("first"))
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "start"))
-    cold = spots.where("not hot").withColumn("turn", turn).where("turn > 1")
-    return cold.select("doc_id", "start").unionByName(hot.select("doc_id", "start"))
+    """Spots whose key occurs earlier too.
+
+    Hot keys are dealt over ``SALTS`` parts: all but a part's first are later ones for
+    certain, and the parts' firsts are ranked again.
+    """
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(0)
+    turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "start"))
+    ranked = spots.withColumn("salt", salt).withColumn("turn", turn("key", "salt"))
+    firsts = ranked.where("hot and turn = 1").withColumn("again", turn("key"))
+    return (ranked.where("turn > 1").select("doc_id", "start")
+            .unionByName(firsts.where("again > 1").select("doc_id", "start")))
 
 
 def repeated_windows(docs: DataFrame, copies: DataFrame, words: int = 20, seed: int = 10) -> DataFrame:
