@@ -114,12 +114,16 @@ def _later(spots: DataFrame) -> DataFrame:
     Hot keys are dealt over ``SALTS`` parts: all but a part's first are later ones for
     certain, and the parts' firsts are ranked again.
     """
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))).otherwise(0)
-    turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "start"))
-    ranked = spots.withColumn("salt", salt).withColumn("turn", turn("key", "salt"))
-    firsts = ranked.where("hot and turn = 1").withColumn("again", turn("key"))
-    return (ranked.where("turn > 1").select("doc_id", "start")
-            .unionByName(firsts.where("again > 1").select("doc_id", "start")))
+    def ranked(rows: DataFrame, *by: str) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "start"))
+        return rows.withColumn("turn", turn)
+
+    cold = ranked(spots.where("not hot"), "key")
+    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS))
+    hot = ranked(spots.where("hot").withColumn("salt", salt), "key", "salt")
+    firsts = ranked(hot.where("turn = 1").drop("turn"), "key")
+    later = [x.where("turn > 1").select("doc_id", "start") for x in (cold, hot, firsts)]
+    return later[0].unionByName(later[1]).unionByName(later[2])
 
 
 def repeated_windows(docs: DataFrame, copies: DataFrame, words: int = 20, seed: int = 10) -> DataFrame:
