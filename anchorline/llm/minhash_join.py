@@ -199,6 +199,12 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(state, "node")
 
 
+def _closest(pairs: DataFrame, n: int) -> DataFrame:
+    """Of pairs (a, b, agree) the ``n`` that agree most for each b."""
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
+    return pairs.withColumn("place", place).where(F.col("place") <= n).select("a", "b")
+
+
 def _gathering(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b): documents outside the main class of a large node with the closest of a few of its members."""
     wide = _mixed(_labelled(nodes.select("node", "doc", "n"), labels)).where(F.col("outside") > OUTSIDE)
@@ -209,9 +215,7 @@ def _gathering(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame,
     hubs = wide.where(inside & few).select("node", F.col("doc").alias("a"), F.col("n").alias("na"))
     pairs = (x.join(hubs, "node").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
              .select("a", "b").distinct())
-    near = _with_mins(pairs, sketches, percent)
-    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agree"), "a"))
-    return written(near.withColumn("place", place).where(F.col("place") <= 3).select("a", "b"))
+    return written(_closest(_with_mins(pairs, sketches, percent), 3))
 
 
 def _leaves(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame,
@@ -293,19 +297,11 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
              .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     stars = written(_with_mins(stars, one, percent))
     packed = docs.mapInArrow(pack, PACKED).withColumnRenamed("doc_id", "doc")
-    # each document with its closest hub first, then with its other hubs where it is still
-    # apart from them; only what that leaves apart is compared further down the trees
-    tried = written(stars.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best"))
-                    .select(F.col("best.a").alias("a"), "b"))
+    # each document with its two closest hubs; what that leaves apart is compared further down
+    tried = written(_closest(stars, 2))
     links = written(_confirmed(_star_blocks(tried), packed, shingle, percent))
     labels = None if links.isEmpty() else connected_components(links)
-    both = _labelled(_labelled(stars.select("a", "b").withColumn("doc", F.col("a")), labels)
-                     .withColumnRenamed("label", "la").withColumn("doc", F.col("b")), labels)
-    apart = written(both.where("la <> label").select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    if not apart.isEmpty():
-        links = links.unionByName(written(_confirmed(_star_blocks(apart), packed, shingle, percent)))
-        labels = None if links.isEmpty() else connected_components(links)
-    turn, known = 0, tried.unionByName(apart)
+    turn, known = 0, tried
     while True:     # large nodes join their main class as long as that takes in half of those outside
         turn += 1
         near = _gathering(nodes, labels, one, percent, turn).join(known, ["a", "b"], "left_anti")
