@@ -14,6 +14,7 @@ an earlier exact copy do not enter; they are later copies as a whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from anchorline.llm.common import first_copies, one_row_per_id, written
 
 
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
 def _numbered(text: str) -> Column:
     """(number, line) of the lines that are not blank."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1),
@@ -124,30 +128,39 @@ class SuffixArray:
         return found
 
 
-def _cut(min_lines: int):
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def _cut(min_lines: int, min_words: int | None):
     @F.pandas_udf("text string, n_lines long, n_removed long")
-    def cut(texts: pd.Series, starts: pd.Series, whole: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, starts: pd.Series, singles: pd.Series, whole: pd.Series) -> pd.DataFrame:
         out = []
-        for text, at, copy in zip(texts, starts, whole):
+        for text, at, alone, copy in zip(texts, starts, singles, whole):
             lines = (text or "").split("\n")
             solid = [i for i, line in enumerate(lines) if line.strip(" \t\r\x0b\x0c")]
             gone: set[int] = set()
             if copy and len(solid) >= min_lines:
                 gone.update(solid)
-            elif at is not None:
-                for i in at:
-                    gone.update(solid[i:i + min_lines])
+            elif copy and min_words is not None:
+                gone.update(i for i in solid if len(_WORD.findall(lines[i])) >= min_words)
+            for i in at if at is not None else ():
+                gone.update(solid[i:i + min_lines])
+            for i in alone if alone is not None else ():
+                gone.add(solid[i])
             kept = text if not gone else "\n".join([x for i, x in enumerate(lines) if i not in gone])
             out.append((kept, len(solid), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
     return cut
 
 
-def remove_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
     """``docs`` with later copies of line runs deleted from text, and n_lines, n_removed.
 
     A line is deleted if it lies in a run of ``min_lines`` or more consecutive lines that also starts
-    earlier (smaller doc_id, or same document and earlier line).  Runs are judged on
+    earlier (smaller doc_id, or same document and earlier line).  With ``min_words`` a single line of so
+    many words or more is a run by itself, as long paragraphs are; words are runs of characters other than
+    space and \\x09-\\x0D.  Runs are judged on
     the input and do not cross documents.  Blank lines are no lines here: they neither
     count nor break a run, and stay.  Lines are compared by a 64-bit hash of their exact
     text.  n_lines counts lines, n_removed deleted ones.
@@ -163,13 +176,19 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     firsts = copies.where("doc_id = first_id").select("doc_id")
     lines = base.select("doc_id", _numbered("text").alias("lines")).select(
         "doc_id", F.size("lines").alias("size"), F.posexplode("lines").alias("pos", "x"))
+    enough = [] if min_words is None else [(_words(F.col("x.line")) >= min_words).alias("enough")]
     lines = written(lines.select("doc_id", "pos", (F.col("size") - F.col("pos")).alias("left"),
-                                 F.xxhash64("x.line").alias("key")).join(firsts, "doc_id"))
-    later = _later(SuffixArray(lines).interval(min_lines))
+                                 F.xxhash64("x.line").alias("key"), *enough).join(firsts, "doc_id"))
+    later = _later(SuffixArray(lines.drop("enough")).interval(min_lines))
     marks = later.groupBy("doc_id").agg(F.collect_list("pos").alias("_starts"))
+    if min_words is None:
+        marks = marks.withColumn("_singles", F.lit(None).cast("array<int>"))
+    else:
+        single = _later(lines.where("enough").select("doc_id", "pos", F.col("key").alias("rank")))
+        marks = marks.join(single.groupBy("doc_id").agg(F.collect_list("pos").alias("_singles")), "doc_id", "full")
     whole = copies.where("doc_id <> first_id").select("doc_id", F.lit(True).alias("_whole"))
     marks = marks.join(whole, "doc_id", "full")
-    cut = _cut(min_lines)("text", "_starts", F.coalesce("_whole", F.lit(False)))
+    cut = _cut(min_lines, min_words)("text", "_starts", "_singles", F.coalesce("_whole", F.lit(False)))
     out = base.join(marks, "doc_id", "left").withColumn("_cut", cut)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names],

@@ -129,6 +129,33 @@ def test_lines_against_brute_force(docs, m):
     assert out.columns == ["doc_id", "text", "rank", "pos", "n_lines", "n_removed"]
 
 
+@pytest.mark.parametrize("m", [2, 8])
+def test_long_single_lines_are_runs(docs, m):
+    """A long line that stands between unique ones, or is a whole document, is cut where it comes again."""
+    long, short = sentence(1, 60), sentence(2, 19)
+    rows = [(i, f"own {i}\n{long}\n{short}\nmine {i}") for i in range(4)]
+    rows += [(10, long), (11, long), (12, short), (13, short), (14, f"{long}\n\n{long}"), (15, None)] + line_corpus()[:30:7]
+    rows = [(n, text) for n, (_, text) in enumerate(rows)]
+    out = line_dedup.remove_repeated_lines(docs(rows), min_lines=m, min_words=20)
+    seen, want = set(), brute_lines(dict(rows), m)
+    for i, text in rows:
+        kept = []
+        solid = [x for x in (text or "").split("\n") if x.strip()]
+        alone = [x in seen or x in solid[:p] for p, x in enumerate(solid)]
+        runs = list(want[i][0])
+        for x, again in zip(solid, alone):
+            in_run = not (runs and runs[0] == x)
+            if not in_run:
+                runs.pop(0)
+            if not in_run and not (again and len(brute.words(x)) >= 20):
+                kept.append(x)
+        seen.update(solid)
+        want[i] = (kept, len(solid), len(solid) - len(kept))
+    for r in out.collect():
+        assert ([x for x in (r["text"] or "").split("\n") if x.strip()], r["n_lines"], r["n_removed"]) == want[r["doc_id"]], r["doc_id"]
+    assert sum(w[2] for w in want.values()) >= 6
+
+
 def test_suffix_array_is_sorted(spark):
     rows = [(d, p, len(s) - p, ord(c)) for d, s in enumerate(["abababab", "babab", "abc", "ababab"]) for p, c in enumerate(s)]
     found = line_dedup.SuffixArray(spark.createDataFrame(rows, "doc_id long, pos int, left int, key long"))
