@@ -3,22 +3,27 @@
 Each document is the set of its word shingles, embedded as ``COORDINATES`` minwise
 values.  A tree node is a set of documents that agree on the coordinates on its path:
 
-* the root of each independent tree branches on two coordinates of its own, a deeper
-  node on 1/threshold coordinates on average, chosen by a hash of its path.  A pair at
-  the threshold keeps one common child on average, a closer pair more, others die out;
+* the root of each tree branches on two coordinates of its own, a deeper node on 1/threshold
+  coordinates on average, by a hash of its path, out of those that only this tree
+  has for this level.  A pair at the threshold keeps one common child on average, a closer
+  pair more, others die out;
 * a node is compared exhaustively once little is left to compare in it: documents
   already linked to each other need no comparison, so what counts is how many
   documents lie outside its largest class;
 * every node first compares its members with one hub, which joins large groups
   of near copies without comparing all pairs of them;
-* the trees are independent, so recall is 1 - (1 - p)^trees.
+* no two trees or levels share a coordinate, so a pair at the threshold is missed with probability
+  (1 - p)^trees, with p the chance that it meets in a leaf of one tree (``trees_for``).  The deeper
+  the largest node has to be split, the smaller p; documents in large nodes get as many further
+  trees as the recall asked for needs at that depth.
 
-Pairs whose sizes or minwise values rule the threshold out (by five standard
+Pairs whose sizes or the sketch's minwise values rule the threshold out (by five standard
 deviations) are left aside; all others are confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,6 +36,8 @@ from anchorline.llm.common import connected_components, one_row_per_id, written
 from anchorline.llm.words import PACKED, Words, mix, pack, powers, text_slices, unpack, window_hashes, windows_inside
 
 COORDINATES = 64
+#: Trees that all documents enter; their roots also name the hubs.
+TREES = 6
 #: A node is compared exhaustively if at most so many documents lie outside its largest class.
 OUTSIDE = 64
 #: Documents a hub is compared with in one task step.
@@ -56,8 +63,30 @@ def _sets(offsets, data, k: int) -> list[np.ndarray]:
     return out
 
 
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(7).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _multipliers(n: int = COORDINATES, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _children(percent: int) -> tuple[int, float]:
+    """Coordinates that a node always branches on, and the chance of one more."""
+    return 100 // percent, 100 / percent - 100 // percent
+
+
+def depth_for(outside: int, percent: int) -> int:
+    """Levels until ``outside`` documents, each less similar than the threshold, are ``OUTSIDE`` on average."""
+    if outside <= OUTSIDE:
+        return 0
+    return COORDINATES if percent >= 100 else min(COORDINATES, math.ceil(math.log(outside / OUTSIDE) / math.log(100 / percent)))
+
+
+def trees_for(percent: int, recall: float, depth: int) -> int:
+    """Trees after which a pair at the threshold has met in a leaf, ``depth`` levels below a root, with probability ``recall``."""
+    always, chance = _children(percent)
+    s, met = percent / 100, 1.0
+    for _ in range(depth):
+        met = 1 - (1 - s * met) ** always * (1 - chance * s * met)
+    missed = (1 - s * met) ** 2     # by the two coordinates of one root
+    return 1 if missed <= 0 else max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
 def _sketch(k: int):
@@ -95,17 +124,32 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype("int32"))
 
 
-def _mins(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), COORDINATES), np.uint32)
+def _mins(sets: list[np.ndarray], odds: np.ndarray | None = None) -> np.ndarray:
+    odds = _multipliers() if odds is None else odds
+    out = np.zeros((len(sets), len(odds)), np.uint32)
     sizes = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(sizes)
     if len(full):
         flat, at = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
-        for c, odd in enumerate(_multipliers()):
+        for c, odd in enumerate(odds):
             out[full, c] = np.minimum.reduceat(flat * odd, at) >> np.uint64(32)
     return out
 
 
+def _fresh(k: int, n: int):
+    """``n`` minwise values of packed texts, none of them one of the sketch's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = _multipliers(n, 11)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                texts = unpack(part.column(1).to_pylist(), part.column(2).to_pylist())
+                mins = _mins([_sets(np.array([0, len(t)]), np.frombuffer(t, np.uint8), k)[0] for t in texts], odds)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.tobytes() for m in mins], pa.binary())],
+                                                 names=["doc", "fresh"])
+    return run
+
+
 def _least_agreeing(percent: int) -> int:
     """Coordinates that a pair at the threshold agrees on but for five standard deviations."""
     expected = COORDINATES * percent / 100
@@ -218,21 +262,49 @@ def _gathering(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame,
     return written(_closest(_with_mins(pairs, sketches, percent), 3))
 
 
-def _leaves(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame,
+def _forest(nodes: DataFrame, labels: DataFrame | None, packed: DataFrame, k: int, percent: int,
+            recall: float) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """``nodes`` with the further trees' roots, fresh minwise values (doc, fresh) of the documents in large nodes,
+    the first of these values that is for levels, and the depth.
+
+    A pair of which one document is in no large node has been left to leaves by all its roots.
+    """
+    nodes = nodes.select("node", "tree", "doc", "n")
+    wide = written(_mixed(_labelled(nodes, labels)).where(F.col("outside") > OUTSIDE).select("doc", "n", "outside"))
+    largest = wide.agg(F.max("outside")).first()[0]
+    if largest is None:
+        return nodes, None, 0, 0
+    depth = depth_for(largest, percent)
+    trees = max(TREES, trees_for(percent, recall, depth))
+    first, (always, _) = 2 * (trees - TREES), _children(percent)
+    docs = wide.select("doc", "n").distinct()
+    fresh = written(packed.join(docs.select("doc"), "doc").select("doc", "size", "packed").mapInArrow(
+        _fresh(k, first + trees * depth * (always + 1)), "doc long, fresh binary"))
+    if trees == TREES:
+        return nodes, fresh, first, depth
+    roots = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(2 * (t - TREES) + i).alias("c"))
+                      for t in range(TREES, trees) for i in (0, 1)])
+    more = docs.join(fresh, "doc").select("doc", "n", "fresh", F.explode(roots).alias("r")).select(
+        F.xxhash64(F.lit("further"), "r.tree", "r.c", F.expr("substring(fresh, 4 * r.c + 1, 4)")).alias("node"),
+        F.col("r.tree").alias("tree"), "doc", "n")
+    return nodes.unionByName(written(more)), fresh, first, depth
+
+
+def _leaves(nodes: DataFrame, fresh: DataFrame | None, first: int, depth: int, labels: DataFrame | None,
             percent: int) -> tuple[DataFrame, DataFrame]:
     """What is left to compare in the trees: pairs (a, b) from small leaves, blocks from large ones.
 
     A leaf is a node with at most ``OUTSIDE`` documents outside its largest class.  Each of these is compared
     with all others there: in a large leaf the class is dealt into blocks of about ``BLOCK``,
     and those outside go to every block, so rows stay in proportion to the leaf.
-    Other nodes branch; one that is still large after ``COORDINATES`` levels agrees on everything
-    the sketch has and is compared as it is.
+    Other nodes branch; one that is still large after ``depth`` levels is compared as it is.
     """
     pairs, blocks = [], []
-    rows = _labelled(nodes.select("node", "doc", "n"), labels)
-    for level in range(COORDINATES + 1):
+    always, chance = _children(percent)
+    rows = _labelled(nodes.select("node", "tree", "doc", "n"), labels)
+    for level in range(depth + 1):
         mixed = written(_mixed(rows))
-        leaf = mixed if level == COORDINATES else mixed.where(F.col("outside") <= OUTSIDE)
+        leaf = mixed if level == depth else mixed.where(F.col("outside") <= OUTSIDE)
         small = F.col("outside") * F.col("size") <= 4 * BLOCK
         x = leaf.where(small & (F.col("label") != F.col("main"))).select(
             "node", F.col("doc").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
@@ -248,19 +320,19 @@ def _leaves(nodes: DataFrame, labels: DataFrame | None, sketches: DataFrame,
                       .select(F.xxhash64("node", "part").alias("block"), "doc", F.when(F.col("apart"), 0).otherwise(1).alias("side"),
                               "label", (F.col("part") == 0).alias("among")))
         wide = mixed.where(F.col("outside") > OUTSIDE)
-        if level == COORDINATES or wide.isEmpty():
+        if level == depth or wide.isEmpty():
             break
-        second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < int(1000 * (100 / percent - 1))
-        chosen = F.array(F.pmod(F.xxhash64("node", F.lit(0)), F.lit(COORDINATES)),
-                         F.when(second, F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES))))
-        rows = (wide.select("node", "doc", "n", "label", F.explode(F.array_compact(F.array_distinct(chosen))).alias("c"))
-                .join(sketches.select("doc", "mins"), "doc")
-                .select(F.xxhash64("node", "c", F.expr("substring(mins, cast(4 * c + 1 as int), 4)")).alias("node"),
-                        "doc", "n", "label"))
+        one_more = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < round(1000 * chance)
+        own = lambda i: (F.lit(first) + (F.col("tree") * depth + level) * (always + 1) + i).cast("int")
+        chosen = F.array(*[own(i) for i in range(always)], F.when(one_more, own(always)))
+        rows = (wide.select("node", "tree", "doc", "n", "label", F.explode(F.array_compact(chosen)).alias("c"))
+                .join(fresh, "doc")
+                .select(F.xxhash64("node", "c", F.expr("substring(fresh, 4 * c + 1, 4)")).alias("node"),
+                        "tree", "doc", "n", "label"))
     return reduce(DataFrame.unionByName, pairs).distinct(), reduce(DataFrame.unionByName, blocks)
 
 
-def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 6) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80, recall: float = 0.999) -> DataFrame:
     """One row per doc_id: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * |intersection| >= ``percent`` * |union| of their
@@ -268,6 +340,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
     than space and \\x09-\\x0D).  A text of fewer words is one shingle; null, empty and
     blank texts have no shingle and are linked with nothing.  ``component_id`` is the
     least doc_id reachable over links, ``kept`` says that it is the document itself.
+    A link at exactly the threshold is found with probability ``recall`` at least, closer ones more surely.
 
     Texts with equal sets are one class whatever their number; only one of each class
     enters the trees.  Rows without a doc_id are left out; of rows that share one, the
@@ -282,8 +355,8 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
                .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
     one = written(sketches.join(classes, key).where("doc_id = first_id")
                   .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "mins"))
-    roots = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(c % COORDINATES).alias("c"))
-                      for t in range(trees) for c in (2 * t, 2 * t + 1)])
+    roots = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(c).alias("c"))
+                      for t in range(TREES) for c in (2 * t, 2 * t + 1)])
     nodes = one.select("doc", "n", "mins", F.explode(roots).alias("r")).select(
         F.xxhash64("r.tree", "r.c", F.expr("substring(mins, 4 * r.c + 1, 4)")).alias("node"),
         F.col("r.tree").alias("tree"), "doc", "n")
@@ -316,7 +389,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
         if 2 * joined < asked:
             break
     known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs, blocks = _leaves(nodes, labels, one, percent)
+    pairs, blocks = _leaves(*_forest(nodes, labels, packed, shingle, percent, recall), labels, percent)
     pairs = written(_with_mins(pairs.join(known, ["a", "b"], "left_anti"), one, percent).select("a", "b"))
     rest = written(_star_blocks(pairs).unionByName(blocks))
     if not rest.isEmpty():

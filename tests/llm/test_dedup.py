@@ -84,6 +84,41 @@ def test_near_duplicates_deep_trees(docs, monkeypatch):
     assert got == brute.near_duplicates(dict(rows), 4)
 
 
+def test_near_duplicates_recall_in_a_wide_group(docs, monkeypatch):
+    """Pairs just at the threshold among many documents of similarity 0.4 to 0.6."""
+    monkeypatch.setattr(minhash_join, "OUTSIDE", 4)
+    base, rows = sentence(77, 400).split(), []
+    for i in range(60):
+        places = random.Random(i).sample(range(2, 398, 5), 23)      # no shingle holds two changes
+        one = list(base)
+        for j in places[:12]:
+            one[j] = f"a{i}x{j}"
+        two = list(one)
+        for j in places[12:]:
+            two[j] = f"b{i}x{j}"
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+    want = brute.near_duplicates(dict(rows), 4)
+    assert all(want[i][1] == i - i % 2 for i in want)
+    out = minhash_join.near_duplicate_classes(docs(rows), shingle=4, percent=80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("percent", [80, 50, 90])
+def test_trees_for_a_recall(percent):
+    """The trees' misses over simulated branching stay within what was asked for."""
+    r, s = random.Random(1), percent / 100
+    always, chance = minhash_join._children(percent)
+
+    def meets(depth):
+        return not depth or any(r.random() < s and meets(depth - 1) for _ in range(always + (r.random() < chance)))
+    trees = [minhash_join.trees_for(percent, 0.95, depth) for depth in (0, 4, 12)]
+    assert trees == sorted(trees) and trees[0] < trees[2]
+    for depth, n in zip((0, 4, 12), trees):
+        missed = sum(not any(r.random() < s and meets(depth) for _ in range(2 * n)) for _ in range(1000))
+        assert missed <= 75
+
+
 def test_near_duplicates_edges(docs):
     assert minhash_join.near_duplicate_classes(docs([])).count() == 0
     out = minhash_join.near_duplicate_classes(docs([(5, None), (6, ""), (7, "a b"), (8, "A b"), (None, "a b"), (9, "b a")]))
