@@ -3,8 +3,8 @@
 A page is read once as a stream of standard-library parser events.  Block elements cut it
 into lines; every line has its characters and the tags met in it.  The ratio of the two is
 smoothed over neighbouring lines with a Gaussian and clustered by a threshold, so that
-runs of lines rich in text stand out from menus and notices.  The element that holds
-these runs is the content region, and all its lines are kept, short ones among long ones
+runs of lines rich in text stand out from menus and notices.  The smallest element that holds
+all these runs (``main`` or an ``article``, if one does) is the content region, and all its lines are kept, short ones among long ones
 too, except those inside elements that say what they are: menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments.
 """
@@ -39,8 +39,6 @@ PARTS = frozenset(
 #: Widths in lines of the smoothing.
 SIGMA, RADIUS = 1.0, 3
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
-#: Part of the text-rich characters that the content region must hold.
-HELD = 0.9
 
 
 class _Element:
@@ -196,15 +194,14 @@ def main_text(html: str | None) -> str:
                 held[element] = held.get(element, 0.0) + size
                 depth[element] = len(path) - i
     total = float(chars[rich].sum())
-    named = [e for e in held if e.tag in ("article", "main") and held[e] >= total / 2]
-    if named:       # the outermost element that says it holds the article
-        region = min(named, key=lambda e: (e.tag != "article", depth[e]))
-    else:
-        region = max((e for e in held if held[e] >= HELD * total and e.tag not in ("p", "b", "li")),
-                     key=lambda e: depth[e], default=lines[0][3])
+    # the element that says it is the main part, if it holds all articles; else the smallest one that holds every rich line
+    named = [e for e in held if e.tag in ("main", "article") and held[e] == total]
+    whole = [e for e in held if held[e] == total and e.tag not in ("p", "b", "li")]
+    region = min(named, key=lambda e: (e.tag != "main", depth[e])) if named else max(whole, key=lambda e: depth[e])
     inside = [region in _path(line[3]) for line in lines]
-    if not named:   # nothing says where the article ends: leave out lists of links
-        inside = [i and (x < 0.6 * n) for i, x, n in zip(inside, linked.tolist(), chars.tolist())]
+    if not named:   # nothing says where the whole ends: leave out lists of links beside the articles
+        inside = [i and (line[3].article or x < 0.6 * n)
+                  for i, line, x, n in zip(inside, lines, linked.tolist(), chars.tolist())]
     return "\n\n".join(line[0] for line, take in zip(lines, inside) if take)
 
 

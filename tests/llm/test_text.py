@@ -193,6 +193,24 @@ def test_page_text():
         assert part not in html_text.main_text(loose)
 
 
+def test_page_in_several_parts():
+    """All parts of the text are kept: several articles, a heading outside, a split body."""
+    long = [f"Paragraph {i} " + "with quite a few words of running text in it, " * 4 + "all kept." for i in range(8)]
+    body = ["".join(f"<p>{x}</p>" for x in part) for part in (long[:5], long[5:])]
+    menu = '<nav><a href="/">Home</a></nav><aside><p>Side text that is fairly long, too.</p></aside>'
+    want = "\n\n".join(long)
+    page = "<html><body>{}</body></html>".format
+    for rest in ("article", "section"):
+        split = f"<article>{body[0]}</article><{rest}>{body[1]}</{rest}>"
+        assert html_text.main_text(page(f"{menu}<main>{split}</main>")) == want
+        assert html_text.main_text(page(menu + split)) == want
+    assert html_text.main_text(page(f"{menu}<main><h1>Title</h1><article>{body[0]}{body[1]}</article></main>")) == "Title\n\n" + want
+    assert html_text.main_text(page(f"{menu}<h1>Title</h1><article>{body[0]}{body[1]}</article>")) == "Title\n\n" + want
+    last = f"<p>{long[7]}</p>"      # under a tenth of the text stands outside the div
+    assert html_text.main_text(page(f"{menu}<div><div>{body[0] * 2}{body[1][:-len(last)]}</div>{last}</div>")) == \
+        "\n\n".join(long[:5] * 2 + long[5:])
+
+
 def test_page_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (2, None, "", 5), (None, "v", "plain &lt;text&gt;", 5), (3, "w", "<![x[ <p>a<p>b", 5),
                                    (3, "w", "<p>" + "long word " * 30_000, 5), (4, "x", "<nav>only menu", 5)],
