@@ -8,8 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from anchorline.session import local_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -33,13 +31,3 @@ def frame(spark):
         return spark.createDataFrame(
             [tuple(cell(k, v) for k, v in zip(kinds, row)) for row in rows], schema)
     return build
-
-
-def rows(df, *order):
-    """Rows as tuples, dates as ISO text, sorted."""
-    def plain(v):
-        if isinstance(v, dt.datetime):
-            return v.isoformat(sep=" ")
-        return v.isoformat() if isinstance(v, dt.date) else v
-    out = [tuple(plain(v) for v in r) for r in df.collect()]
-    return sorted(out, key=lambda r: tuple((v is not None, v) for v in r))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorline.plans import cohort as c
-from conftest import rows
+from tests.support import rows
 
 SPELL = "person_id long, start_date date, end_date date, service_type string, postcode string"
 PERSON = "person_id long, birth_date date, death_date date, gender string"

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorline.functions import dates as d, special as sp, text as x, values as v
-from conftest import rows
+from tests.support import rows
 
 
 def one(spark, *columns):

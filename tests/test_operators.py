@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from anchorline import schema as sc
 from anchorline.functions.dates import after
 from anchorline.operators import codes as cd, joins as j, reshape as rs, select as s, tabulate as t
-from conftest import rows
+from tests.support import rows
 
 
 def test_conform_casts_and_checks(frame):

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from anchorline.catalogue import ORACLES, QUERIES
 from check import TABLES, canonical
-from conftest import SF
+from tests.support import SF
 
 
 @pytest.fixture(scope="module")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from anchorline.functions.dates import after, around, before, month_range
 from anchorline.plans import exposure as x, measure as m, outcome as o, phenotype as p, rates as r
-from conftest import rows
+from tests.support import rows
 
 COHORT = "person_id long, index_date date, dod date"
 

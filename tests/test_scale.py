@@ -14,7 +14,7 @@ from anchorline.operators.joins import anchored_window
 from anchorline.plans import outcome as o
 from anchorline.sources.codelists import code_frame
 from anchorline.sources.tables import publish
-from conftest import SF, rows
+from tests.support import SF, rows
 
 
 def plan_of(df):

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from anchorline.plans import constants as k
 from anchorline.sources import codelists as cl, tables as tb
-from conftest import rows
+from tests.support import rows
 
 
 def test_codelist_from_csv(spark, tmp_path):

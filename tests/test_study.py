@@ -6,7 +6,7 @@ import pytest
 
 from anchorline.plans import constants as k
 from anchorline.plans.study import CareHomeStudy
-from conftest import rows
+from tests.support import rows
 
 EP = ("person_id long, event_time timestamp_ntz, end_time timestamp_ntz, episode_sequence int, "
       "diagnosis_1 string, diagnosis_2 string, diagnosis_3 string, diagnosis_4 string")
