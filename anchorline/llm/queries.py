@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import bpe_automaton, decontamination, embedding_dedup, html_text, language_model, line_dedup, minhash_join, substring_dedup, token_counts, toxicity
+from anchorline.llm import (
+    best_fit_packing, bpe_automaton, centroid_clustering, decontamination, embedding_dedup, html_text, language_model,
+    line_dedup, minhash_join, source_divergence, substring_dedup, token_counts, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +97,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each language against each other, and the terms that mark a source."""
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds around eight centroids."""
+    return centroid_clustering.cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+@_query
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return best_fit_packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 ORACLES["op6_line_dedup"] = r"""
 WITH raw AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -182,3 +202,66 @@ links AS MATERIALIZED (
 {_REACH}
 SELECT a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
 FROM reach LEFT JOIN sizes ON id = a GROUP BY a"""
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+found AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+vocabulary AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM found GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+counted AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN vocabulary USING (lang, term) GROUP BY 1, 2, 3),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+dense AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, v.n AS n_lang
+  FROM groups g JOIN vocabulary v ON v.lang = g.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+totals AS (
+  SELECT *, count(*) OVER grp AS v, sum(n) OVER grp AS total, sum(n_lang) OVER grp AS total_lang
+  FROM dense WINDOW grp AS (PARTITION BY lang, source)),
+shares AS MATERIALIZED (
+  SELECT lang, source, term, n, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // (total + v) AS p,
+         1 + CAST(1000000000 AS HUGEINT) * (n_lang + 1) // (total_lang + v) AS q FROM totals),
+sums AS (
+  SELECT a.lang, a.source, b.source AS other, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value
+  FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.other = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+def _rounds_in_sql(rounds: int) -> str:
+    """Assignments and centroids of every round, each from the ones before."""
+    assign = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, min(best) AS best FROM (
+    SELECT v.vec_id, {{'distance': list_sum(list_transform(list_zip(v.x, q.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'cluster': q.cluster}} AS best
+    FROM v CROSS JOIN q{r} q) GROUP BY vec_id),"""
+    move = """
+q{n} AS MATERIALIZED (
+  SELECT q.cluster, coalesce(m.x, q.x) AS x FROM q{r} q LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS x FROM (
+      SELECT best.cluster AS cluster, pos, sum(x) AS s, count(*) AS n
+      FROM (SELECT best, unnest(x) AS x, generate_subscripts(x, 1) AS pos FROM a{r} JOIN v USING (vec_id)) GROUP BY 1, 2)
+    GROUP BY 1) m USING (cluster)),"""
+    return "".join(assign.format(r=r) + move.format(r=r, n=r + 1) for r in range(rounds)) + assign.format(r=rounds)
+
+
+ORACLES["op12_centroid_clustering"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+q0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY draw) - 1 AS INTEGER) AS cluster, x
+  FROM (SELECT sha256('3:' || vec_id) AS draw, x FROM v ORDER BY draw LIMIT 8)),{_rounds_in_sql(10)}
+digests AS (SELECT cluster, sha256(array_to_string(x, ',')) AS centroid_sha256 FROM q10)
+SELECT vec_id, best.cluster AS cluster, CAST(best.distance AS BIGINT) AS distance,
+       CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN digests ON digests.cluster = best.cluster"""
