@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from anchorline.catalogue import views as v
 from anchorline.catalogue.registry import Tables, query, with_
 from anchorline.operators.joins import assemble_master, attach, exclude, one_row_per, restrict_to
-from anchorline.operators.select import sample_one_per
+from anchorline.operators.select import sample_one_per, sample_per
 from anchorline.operators.tabulate import n_persons
 from anchorline.plans import cohort as c
 from anchorline.plans.phenotype import derive_clinical_labels, near_death_flag
@@ -124,13 +124,22 @@ def resolve_category(t: Tables) -> DataFrame:
     return c.resolve_category(people, primary, second, recodes, unknown="FURNITURE")
 
 
-@query()
+@query("""SELECT o_custkey AS person_id, arg_min(o_orderpriority, md5('7|' || o_custkey || '|' || o_orderpriority)) AS o_orderpriority
+FROM orders GROUP BY 1""")
 def sample_one_per_person(t: Tables) -> DataFrame:
-    """A random, repeatable priority per person (hash order: no SQL twin)."""
+    """A random, repeatable priority per person."""
     rows = t("orders").select(F.col("o_custkey").alias("person_id"), "o_orderpriority")
     return sample_one_per(rows, "person_id", "o_orderpriority", seed=7)
 
 
+@query("""SELECT o_custkey AS person_id, o_orderkey FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY md5('3|' || o_custkey || '|' || o_orderkey)) <= 3""")
+def sample_three_per_person(t: Tables) -> DataFrame:
+    """Three random orders per person, or all of fewer."""
+    rows = t("orders").select(F.col("o_custkey").alias("person_id"), "o_orderkey")
+    return sample_per(rows, "person_id", "o_orderkey", seed=3, n=3)
+
+
 @query("""SELECT count(DISTINCT o_custkey) AS n_picked, count(DISTINCT o_custkey) AS n_valid FROM orders""")
 def sample_is_valid(t: Tables) -> DataFrame:
     """One pick per person, and every pick is one of the person's own values."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from anchorline.catalogue import views as v
@@ -109,9 +111,9 @@ def gap_to_previous(t: Tables) -> DataFrame:
 SELECT CAST(day AS TIMESTAMP) AS day, buyers,
        CAST(sum(buyers) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS so_far FROM n""")
 def cumulative_total(t: Tables) -> DataFrame:
-    """Running total over rows already collapsed to days."""
+    """Running total over days, scanned by ranges."""
     per_day = _days(t).groupBy("day").agg(F.count(F.lit(1)).alias("buyers"))
-    return s.cumulative(per_day, [], [F.col("day")], so_far=F.sum("buyers"))
+    return s.cumulative(per_day, [], [F.col("day")], so_far=("sum", F.col("buyers")))
 
 
 # --- tabulation --------------------------------------------------------------
@@ -225,14 +227,30 @@ def summary_without_missing(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderstatus, o_orderkey, o_custkey, o_totalprice FROM orders")
 def publish_and_load(t: Tables) -> DataFrame:
-    """A table published twice (the second replaces the first), partitioned, and loaded again."""
+    """A table published, replaced, refreshed from itself with partitions, and loaded again."""
     root = written_folder(t.spark)
     rows = t("orders").select("o_orderstatus", "o_orderkey", "o_custkey", "o_totalprice")
     publish(rows.where("o_orderstatus = 'O'"), "copied_orders", root)
-    publish(rows, "copied_orders", root, partition_by=["o_orderstatus"])
+    publish(rows, "copied_orders", root)
+    publish(load(t.spark, "copied_orders", root), "copied_orders", root, partition_by=["o_orderstatus"])
     return load(t.spark, "copied_orders", root)
 
 
+@query("SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def cross_catalog_scan(t: Tables) -> DataFrame:
+    """Tables of two databases joined by their three-part names, catalog.database.table."""
+    # external tables over the given files, named after the folder that holds them
+    found = {}
+    for database, table in (("anchorline_people", "customer"), ("anchorline_records", "orders")):
+        t.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        name = f"spark_catalog.{database}.{table}_{zlib.crc32(t.root.encode()):08x}"
+        t.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{t.root}/{table}.parquet'")
+        found[table] = load(t.spark, name)
+    people, orders = found["customer"].select("c_custkey"), found["orders"].select("o_custkey", "o_orderkey")
+    return (people.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+            .groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders")))
+
+
 @query("""SELECT p_partkey::VARCHAR AS code, p_type AS coding_system, p_name AS term FROM part WHERE p_brand = 'Brand#1'""")
 def codelist_from_csv(t: Tables) -> DataFrame:
     """A code list written as CSV and read back: codes stay text, quoted text stays whole."""

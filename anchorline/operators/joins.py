@@ -10,6 +10,7 @@ all events is spread over many tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -108,6 +109,15 @@ def assemble_master(cohort: DataFrame, tables: Sequence[DataFrame]) -> DataFrame
     return out
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on group keys where NULL is a group like any other."""
+    side = right.select(*[F.col(k).alias(f"__{k}_r") for k in keys],
+                        *[c for c in right.columns if c not in keys])
+    match = reduce(lambda a, b: a & b,
+                   [F.col(k).eqNullSafe(F.col(f"__{k}_r")) for k in keys])
+    return left.join(side, match).drop(*[f"__{k}_r" for k in keys])
+
+
 def one_row_per(df: DataFrame, key: str = PERSON) -> DataFrame:
     """Keys that break the one-row-per-key contract, with their row count."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)

@@ -2,8 +2,8 @@
 
 Two shapes are used, both bounded before the shuffle even when one key owns a
 third of the table: ``row_number() <= k`` (Spark puts a per-task group limit
-under the exchange) and plain aggregates (map-side combine).  Windows that
-need a whole group are only run over rows already collapsed to calendar days.
+under the exchange) and plain aggregates (map-side combine).  What needs a whole
+group in order goes over ranges of its rows (``scan``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from anchorline.operators import scan
+
 _RANK = "__rank"
 
 
@@ -94,29 +96,44 @@ def keep_unique(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return counted.where(F.col("__n") == 1).select(*df.columns)
 
 
-def sample_one_per(df: DataFrame, key: str | Sequence[str], value: str, seed: int) -> DataFrame:
-    """One random distinct ``value`` per key, the same on every run and layout."""
+def sample_per(df: DataFrame, key: str | Sequence[str], value: str, seed: int, n: int = 1) -> DataFrame:
+    """``n`` random distinct values per key (all, if there are fewer), the same on every run, layout and engine.
+
+    Values are drawn in the order of md5(seed|key|value).  The first n of a task are all that leaves
+    it, and the first n of those are the draw: a key with any number of rows costs n rows a task.
+    """
     keys = _cols(key)
-    draw = F.xxhash64(*[F.col(k) for k in keys], F.col(value), F.lit(seed))
-    return (df.where(F.col(value).isNotNull()).groupBy(*keys)
-            .agg(F.min(F.struct(draw.alias("draw"), F.col(value).alias("value"))).alias("__pick"))
-            .select(*keys, F.col("__pick.value").alias(value)))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (*keys, value)]))
+    if n == 1:
+        pick = F.min(F.struct(draw.alias("draw"), F.col(value).alias("value"))).alias("__pick")
+        return rows.groupBy(*keys).agg(pick).select(*keys, F.col("__pick.value").alias(value))
+    return top_n_per(rows.distinct().withColumn("__draw", draw), keys, [F.col("__draw")], n).drop("__draw")
 
 
-def gap_to_previous(days: DataFrame, key: str, day: str, gap_as: str = "gap_days",
-                    order: Sequence[str] = ()) -> DataFrame:
-    """Days since the key's previous row.
+def sample_one_per(df: DataFrame, key: str | Sequence[str], value: str, seed: int) -> DataFrame:
+    """One random distinct ``value`` per key."""
+    return sample_per(df, key, value, seed)
 
-    Expects rows collapsed to days (one per key, day and kind), which bounds the
-    window of any key by the calendar.
+
+def gap_to_previous(rows: DataFrame, key: str, time: str, gap_as: str = "gap_days",
+                    order: Sequence[str] = (), store: str | None = None) -> DataFrame:
+    """Days since the key's previous row, NULL at its first.
+
+    Rows need not be collapsed to days: a key's rows are cut into ranges of bounded size, and each
+    range takes its first row's predecessor from the one before.  Rows are written at once.
     """
-    window = Window.partitionBy(key).orderBy(day, *order)
-    return days.withColumn(gap_as, F.datediff(F.col(day), F.lag(day).over(window)))
+    cut = scan.ranges(rows, [key], [F.col(time), *[F.col(c) for c in order]], store=store)
+    out = scan.neighbour(cut, F.col(time), "__before")
+    return out.withColumn(gap_as, F.datediff(F.col(time), F.col("__before"))).drop("__before", scan.PART)
 
 
-def cumulative(df: DataFrame, by: Sequence[str], order: Sequence[Column],
-               **totals: Column) -> DataFrame:
-    """Running aggregates over rows already collapsed to few per group."""
-    window = (Window.partitionBy(*by).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.select("*", *[agg.over(window).alias(name) for name, agg in totals.items()])
+def cumulative(df: DataFrame, by: Sequence[str], order: Sequence[Column], store: str | None = None,
+               **totals: tuple[str, Column]) -> DataFrame:
+    """Running aggregates per group, or over all rows with no ``by``: name=(kind, value), kind one of scan.KINDS.
+
+    A prefix scan over ranges of rows, so neither a hot group nor a whole table is one task's
+    work.  ``order`` must be a total order within the group to be repeatable.  Rows are written at once.
+    """
+    cut = scan.ranges(df, by, order, store=store)
+    return scan.prefix_scan(cut, **totals).drop(scan.PART)

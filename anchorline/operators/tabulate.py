@@ -6,10 +6,12 @@ Each is one aggregate whose map side already reduces a group to a few numbers.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from anchorline.operators import scan
+from anchorline.operators.joins import join_groups
+
 
 def group_count(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
@@ -66,57 +68,48 @@ def describe_by(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
         F.min(v).alias("min"), F.max(v).alias("max"))
 
 
-#: Distinct values of all groups together that one sorting task should get.
-VALUES_PER_BUCKET = 100_000
+#: The sketch that places the cuts is off by no more than one in so many ranks.
+ACCURACY = 10_000
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = (),
-              per_bucket: int = VALUES_PER_BUCKET) -> DataFrame:
+              accuracy: int = ACCURACY, store: str | None = None) -> DataFrame:
     """Exact quantiles by linear interpolation between order statistics.
 
-    Values are first collapsed to (group, value, n); how many there are sets the number of
-    buckets, into which a mergeable sketch cuts each group evenly.  Sorting only
-    happens inside a bucket and offsets come from bucket totals, so a sorting task sees about
-    ``per_bucket`` values however large a group is.  The sketch only places the
-    cuts; the ranks are exact whatever it returns.
+    A mergeable sketch of each group gives, for every wanted rank, two values that it must lie between.  All rows
+    outside such ranges collapse to one count per gap between them; only values inside are kept, with their
+    counts, and ordered by a prefix scan that gives exact ranks.  Groups of up to
+    ``accuracy`` rows are one range.  That a wanted rank lies outside its range would be an error, not
+    another value.  The counted ranges are written at once; ``df`` is read twice.
     """
     keys = [f"__g{i}" for i in range(len(by))]
     base = df.where(F.col(column).isNotNull()).select(
         *[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(column).cast("double").alias("v"))
-    counts = base.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-    values, buckets = base.agg(F.approx_count_distinct(F.struct(*keys, "v"))).first()[0], 2
-    while buckets * per_bucket < values:
-        buckets *= 2
-    fractions = ", ".join(f"{i / buckets}D" for i in range(1, buckets))
-    cuts = counts.groupBy(*keys).agg(
-        F.expr(f"percentile_approx(v, array({fractions}), {10 * buckets})").alias("cuts"),
-        F.sum("n").alias("total"))
+    ends = sorted({f for p in probs for f in (max(0.0, p - 4 / accuracy), min(1.0, p + 4 / accuracy))})
+    sketch = F.expr(f"percentile_approx(v, array({', '.join(f'{f}D' for f in ends)}), {accuracy})")
+    cuts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), sketch.alias("cuts"))
     if keys:
-        cut = _join_groups(counts, cuts, keys)
+        met = join_groups(base, cuts, keys)
     else:
-        both = cuts.select(F.struct("cuts", "total")).scalar()
-        cut = counts.select("*", both.alias("c")).select("v", "n", "c.cuts", "c.total")
-    placed, half = cut.withColumn("bucket", F.lit(0)), buckets // 2
-    while half:  # binary search, one generated comparison per step
-        above = F.col("v") > F.get("cuts", F.col("bucket") + (half - 1))
-        placed = placed.withColumn("bucket", F.col("bucket") + F.when(above, half).otherwise(0))
-        half //= 2
-    placed = placed.drop("cuts")
-    totals = placed.groupBy(*keys, "bucket").agg(F.sum("n").alias("in_bucket"))
-    before = Window.unboundedPreceding, -1
-    earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(*before)
-    offsets = totals.select(*keys, "bucket",
-                            F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(*before)
-    within = placed.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    ranked = _join_groups(within, offsets, [*keys, "bucket"]).select(
-        *keys, "v", "n", "total", (F.col("below") + F.col("offset")).alias("start"))
+        met = base.select("v", cuts.select(F.struct("rows", "cuts")).scalar().alias("c")).select("v", "c.rows", "c.cuts")
+    # a gap is known by the ranges' ends that lie below it
+    gap, kept = F.lit(0), F.col("rows") <= accuracy
+    for p in probs:
+        low, high = (F.col("cuts")[ends.index(f)] for f in (max(0.0, p - 4 / accuracy), min(1.0, p + 4 / accuracy)))
+        kept = kept | F.col("v").between(low, high)
+        gap = gap + (F.col("v") > high).cast("int")
+    placed = met.select(*keys, F.when(~kept, gap).alias("gap"), F.when(kept, F.col("v")).alias("v"),
+                        F.col("v").alias("least"))
+    counts = placed.groupBy(*keys, "gap", "v").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least"))
+    cut = scan.ranges(counts, keys, [F.col("least")], store=store)
+    ranked = scan.prefix_scan(cut, whole={"total": "upto"}, upto=("sum", F.col("n")))
     cells, outs = [], []
     for i, p in enumerate(probs):
         h = (F.col("total") - 1) * F.lit(float(p))
         for tag, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (F.col("start") <= rank) & (rank < F.col("start") + F.col("n"))
-            cells.append(F.max(F.when(hit, F.col("v"))).alias(f"{tag}{i}"))
+            hit = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
+            value = F.coalesce("v", F.raise_error(F.lit("a wanted rank lies outside its range")).cast("double"))
+            cells.append(F.max(F.when(hit, value)).alias(f"{tag}{i}"))
         frac = (F.col("total") - 1) * F.lit(float(p))
         frac = frac - F.floor(frac)
         outs.append((F.col(f"lo{i}") + frac * (F.col(f"hi{i}") - F.col(f"lo{i}")))
@@ -126,15 +119,6 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[s
                           F.col("total").alias("n"), *outs)
 
 
-def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on group keys where NULL is a group like any other."""
-    side = right.select(*[F.col(k).alias(f"{k}_r") for k in keys],
-                        *[c for c in right.columns if c not in keys])
-    match = reduce(lambda a, b: a & b,
-                   [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in keys])
-    return left.join(side, match).drop(*[f"{k}_r" for k in keys])
-
-
 def quantile_name(p: float) -> str:
     """0.25 -> 'q25', 0.975 -> 'q97_5'."""
     return f"q{p * 100:g}".replace(".", "_")
@@ -155,8 +139,9 @@ def summary_table(df: DataFrame, numeric: Sequence[str] = (), categorical: Seque
 
     Numeric variables give n, mean and sd under the level 'mean'; categories
     give n and the percentage within (variable, dependent level).  ``na_include``
-    adds a 'missing' level, ``totals`` a row with every column's n.  Without ``na_to_p`` the
-    missing level has no percentage and is not in the others' denominator; ``column_totals`` gives
+    adds a row for NULLs under the label 'missing', apart from a level of that name; ``totals`` a row with every
+    column's n.  Without ``na_to_p`` the
+    NULLs have no percentage and are not in the others' denominator; ``column_totals`` gives
     the total row each dependent level's percentage of all rows.  One
     unpivot and one aggregate whatever the number of variables.
     """
@@ -174,18 +159,16 @@ def summary_table(df: DataFrame, numeric: Sequence[str] = (), categorical: Seque
         cells.insert(0, F.struct(F.lit(-1).alias("position"), F.lit("total").alias("variable"),
                                  F.lit("n").alias("level"), F.lit(None).cast("double").alias("value")))
     long = df.select(*split, F.inline(F.array(*cells)))
-    if na_include:
-        long = long.withColumn("level", F.coalesce("level", F.lit("missing")))
-    else:
+    if not na_include:
         long = long.where(F.col("level").isNotNull())
     grouped = long.groupBy("position", "variable", *keep, "level").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"))
     in_variable = Window.partitionBy("position", "variable", *keep)
-    counted = F.col("n") if na_to_p else F.when(F.col("level") != "missing", F.col("n"))
+    counted = F.col("n") if na_to_p else F.when(F.col("level").isNotNull(), F.col("n"))
     percent = F.when(F.col("position") >= len(numeric), counted / F.sum(counted).over(in_variable) * 100)
     if column_totals:
         of_all = F.col("n") / F.sum("n").over(Window.partitionBy("position", "variable")) * 100
         percent = F.when(F.col("position") == -1, of_all).otherwise(percent)
-    return grouped.select("position", "variable", *keep, "level", "n", "mean", "sd",
-                          percent.alias("percent"))
+    return grouped.select("position", "variable", *keep, F.coalesce("level", F.lit("missing")).alias("level"),
+                          "n", "mean", "sd", percent.alias("percent"))

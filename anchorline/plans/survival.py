@@ -2,14 +2,15 @@
 
 Persons are collapsed to counts per (stratum, time) before anything is ordered,
 with map-side combine, so the ordered windows run over at most (distinct days x
-strata) rows however many persons there are.  Curves order one stratum at a time;
-the tests split the running sums by ranges of time, so finer times only mean more ranges.
+strata) rows however many persons there are.  Running sums go by ranges of time, so finer times
+only mean more ranges.  Curves, tests and regressions write their collapsed rows at once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -17,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorline.functions import special
+from anchorline.operators import scan
 from anchorline.plans.stats import chi2_p
-from anchorline.session import written_folder
 
 #: Collapsed rows that one task orders.
 ROWS_PER_RANGE = 200_000
@@ -32,26 +33,23 @@ def _collapse(df: DataFrame, time: str, event: str, by: Sequence[str]) -> DataFr
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by: Sequence[str] = (),
-                 conf: float = 0.95) -> DataFrame:
+                 conf: float = 0.95, store: str | None = None) -> DataFrame:
     """Product-limit curve per stratum with Greenwood error and log-scale limits.
 
     One row per stratum and distinct time.  Where the curve reaches 0 the error
-    is undefined and the limits are NULL.
+    is undefined and the limits are NULL.  Both the curve and its variance are prefix scans over ranges of
+    time: a range's totals of exits give those at risk in the next, and its product of survival and sum of variance
+    are the next one's start.  Collapsed rows are written at once (to ``store`` or the shared folder).
     """
-    steps = _collapse(df, time, event, by)
-    whole = Window.partitionBy(*by)
-    so_far = whole.orderBy("time").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gone = F.sum("exits").over(so_far) - F.col("exits")
-    risk = steps.withColumn("at_risk", F.sum("exits").over(whole) - gone)
+    cut = scan.ranges(_collapse(df, time, event, by), by, [F.col("time")], ROWS_PER_RANGE, store)
+    left = scan.prefix_scan(cut, whole={"persons": "gone"}, gone=("sum", F.col("exits")))
+    risk = left.withColumn("at_risk", F.col("persons") - F.col("gone") + F.col("exits")).drop("persons", "gone")
     died, n = F.col("events"), F.col("at_risk")
-    variance = F.sum(F.when(died > 0, F.when(n > died, died / (n * (n - died)))
-                            .otherwise(F.lit(float("inf")))).otherwise(0.0)).over(so_far)
-    curve = risk.withColumns({
-        "survival": F.product(1 - died / n).over(so_far),
-        "std_err_log": F.sqrt(variance),
-    })
+    variance = F.when(died > 0, F.when(n > died, died / (n * (n - died)))
+                      .otherwise(F.lit(float("inf")))).otherwise(0.0)
+    curve = scan.prefix_scan(replace(cut, rows=risk), survival=("product", 1 - died / n), variance=("sum", variance))
     z = special.normal_quantile(0.5 + conf / 2)
-    s, se = F.col("survival"), F.col("std_err_log")
+    s, se = F.col("survival"), F.sqrt("variance")
     known = s > 0
     return curve.select(
         *by, "time", "at_risk", "events", (F.col("exits") - died).alias("censored"), "survival",
@@ -99,85 +97,128 @@ def km_at(curve: DataFrame, times: Sequence[float], by: Sequence[str] = ()) -> D
                         for c in ("survival", "lower", "upper")])
 
 
+#: Terms a regression may have: their sums per range, terms squared, travel to the driver.
+MOST_LEVELS = 1_000
+
+
 def levels_of(df: DataFrame, column: str) -> list:
-    """Sorted distinct levels of a grouping column; a model has a term for each."""
-    return sorted(r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().collect())
+    """Sorted distinct levels of a grouping column; a model has a term for each.
+
+    A column with more than ``MOST_LEVELS`` of them (free text, an identifier) is an error.
+    """
+    found = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MOST_LEVELS + 1).collect()
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{column} has over {MOST_LEVELS} levels; group them before they become terms")
+    return sorted(r[0] for r in found)
+
+
+#: Numbers of a block of (event times x groups) that a task looks at together.
+BLOCK = 1 << 19
 
 
-def _time_ranges(steps: DataFrame) -> DataFrame:
-    """``steps`` with ``part``: consecutive ranges of time, about ``ROWS_PER_RANGE`` rows each.
+def _log_rank_part(groups: int):
+    """Sums over the event times of one range: per group a row of the covariance, observed, expected.
 
-    Equal times share a range.  A sketch places the cuts, so the number of ranges
-    grows with the rows and no task orders more than its range.
+    Groups are numbers.  A group's risk set changes only where it loses somebody, so exits are put on the last event time that
+    they still count for, and risk sets are built from the latest time back in blocks of ``BLOCK`` numbers.
     """
-    rows = steps.count()
-    parts = max(1, -(-rows // ROWS_PER_RANGE))
-    if parts == 1:
-        return steps.withColumn("part", F.lit(0))
-    wanted = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = sorted(set(steps.agg(F.percentile_approx("time", wanted, 100 * parts)).first()[0]))
-    return steps.withColumn("part", F.size(F.filter(
-        F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("time"))))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        risk = np.zeros(groups)
+        beyond = pdf["time"].isna().to_numpy()
+        np.add.at(risk, pdf["g"].to_numpy()[beyond], pdf["exits"].to_numpy(float)[beyond])
+        g, time, events, exits = (pdf[c].to_numpy()[~beyond] for c in ("g", "time", "events", "exits"))
+        times = np.unique(time[events > 0])
+        at = np.searchsorted(times, time, side="right") - 1     # -1: gone before the first event
+        order = np.argsort(at, kind="stable")
+        g, at, events, exits = g[order], at[order], events[order].astype(float), exits[order].astype(float)
+        v, observed, expected = np.zeros((groups, groups)), np.zeros(groups), np.zeros(groups)
+        step = max(1, BLOCK // groups)
+        for top in range(len(times), 0, -step):
+            low = max(0, top - step)
+            rows = slice(*np.searchsorted(at, [low, top]))
+            lost, dead = np.zeros((top - low, groups)), np.zeros((top - low, groups))
+            np.add.at(lost, (at[rows] - low, g[rows]), exits[rows])
+            np.add.at(dead, (at[rows] - low, g[rows]), events[rows])
+            held = lost[::-1].cumsum(0)[::-1] + risk
+            risk = held[0].copy()
+            n, d = held.sum(1), dead.sum(1)
+            share = held / n[:, None]
+            spread = d * (n - d) / np.maximum(n - 1, 1)
+            v -= share.T @ (share * spread[:, None])
+            v[np.diag_indices(groups)] += (share * spread[:, None]).sum(0)
+            observed += dead.sum(0)
+            expected += (share * d[:, None]).sum(0)
+        return pd.DataFrame({"g": np.arange(groups), "v": list(v), "observed": observed, "expected": expected})
+    return run
+
+
+def _log_rank_sum(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One group's sums over all ranges."""
+    v = pdf["v"].iloc[0].copy()
+    for more in pdf["v"].iloc[1:]:
+        v += more
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "v": [v], "observed": [pdf["observed"].sum()],
+                         "expected": [pdf["expected"].sum()]})
+
+
+def _chi_square(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The test from one row per group."""
+    pdf = pdf.sort_values("g")
+    gap = (pdf["observed"] - pdf["expected"]).to_numpy()
+    used = np.flatnonzero(pdf["expected"].to_numpy() > 0)[:-1]
+    chi = None
+    if len(used):
+        v = np.stack(pdf["v"].to_list())[np.ix_(used, used)]
+        try:
+            chi = float(gap[used] @ np.linalg.solve(v, gap[used]))
+        except np.linalg.LinAlgError:       # a risk set without variance
+            chi = float(gap[used] @ np.linalg.pinv(v, hermitian=True) @ gap[used])
+    return pdf[["g", "observed", "expected"]].assign(chi_square=chi, df=float(len(used)))
 
 
 def log_rank(df: DataFrame, time: str, event: str, group: str,
-             levels: Sequence | None = None) -> DataFrame:
+             levels: Sequence | None = None, store: str | None = None) -> DataFrame:
     """Observed and expected events per group, with the chi-square test.
 
     One row per group: persons, observed, expected, chi_square, df, p_value
-    (the last three repeat on every row).  Groups are rows throughout; only the sums per
-    pair of groups meet in one place.
+    (the last three repeat on every row).  Ranges of time are summed apart, each from the groups' numbers that leave after
+    it; a task holds a block of risk sets and one number per pair of groups, and so does the
+    task that solves for the test.  Collapsed rows are written at once.
     """
     if levels is not None and len(set(levels)) < 2:
         raise ValueError("need at least two groups")
     kept = df.where(F.col(group).isin(list(levels)) if levels is not None else F.col(group).isNotNull())
-    steps = _time_ranges(_collapse(kept.withColumn("__group", F.col(group).cast("string")), time, event, ["__group"]))
-    totals = steps.groupBy("part", "__group").agg(F.sum("exits").alias("exits"))
-    # of every range and group: who leaves after the range
-    earlier = F.explode(F.sequence(F.lit(0), F.col("part") - 1)).alias("part")
-    later = (totals.where("part > 0").select("__group", "exits", earlier)
-             .groupBy("part", "__group").agg(F.sum("exits").alias("exits")))
-    rows = steps.select("part", "__group", F.col("time").cast("double").alias("time"), "events", "exits").unionByName(
-        later.select("part", "__group", F.lit(float("inf")).alias("time"), F.lit(0).cast("long").alias("events"), "exits"))
-
-    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, g = np.unique(pdf["__group"].to_numpy(dtype=object).astype(str), return_inverse=True)
-        times, t = np.unique(pdf["time"].to_numpy(), return_inverse=True)
-        exits, events = np.zeros((len(times), len(names))), np.zeros((len(times), len(names)))
-        np.add.at(exits, (t, g), pdf["exits"].to_numpy())
-        np.add.at(events, (t, g), pdf["events"].to_numpy())
-        risk = exits[::-1].cumsum(0)[::-1]
-        d = events.sum(1)
-        risk, events, d = risk[d > 0], events[d > 0], d[d > 0]
-        n = risk.sum(1)
-        share = risk / n[:, None]
-        spread = d * (n - d) / np.maximum(n - 1, 1)
-        v = np.diag((share * spread[:, None]).sum(0)) - share.T @ (share * spread[:, None])
-        a, b = np.nonzero(v)
-        out = pd.DataFrame({"a": names[a], "b": names[b], "v": v[a, b]})
-        return pd.concat([out, pd.DataFrame({"a": names, "observed": events.sum(0),
-                                             "expected": (share * d[:, None]).sum(0)})])
-
-    cells = (rows.groupBy("part").applyInPandas(sums, "a string, b string, v double, observed double, expected double")
-             .groupBy("a", "b").agg(F.sum("v").alias("v"), F.sum("observed").alias("observed"),
-                                    F.sum("expected").alias("expected")))
-    persons = totals.groupBy(F.col("__group").alias("a")).agg(F.sum("exits").alias("persons"))
-    cells = cells.join(persons, "a")
-
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["b"].isna()].sort_values("a")
-        names = {name: i for i, name in enumerate(own["a"])}
-        v = np.zeros((len(names), len(names)))
-        pairs = pdf[pdf["b"].notna()]
-        v[pairs["a"].map(names), pairs["b"].map(names)] = pairs["v"]
-        gap = (own["observed"] - own["expected"]).to_numpy()
-        used = np.flatnonzero(own["expected"].to_numpy() > 0)[:-1]
-        chi = float(gap[used] @ np.linalg.pinv(v[np.ix_(used, used)]) @ gap[used]) if len(used) else None
-        return own[["a", "persons", "observed", "expected"]].assign(chi_square=chi, df=float(len(used)))
-
-    rows = cells.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(
-        close, "a string, persons long, observed double, expected double, chi_square double, df double")
-    return rows.withColumnRenamed("a", group).withColumn("p_value", chi2_p("chi_square", "df"))
+    steps = _collapse(kept.withColumn("__group", F.col(group).cast("string")), time, event, ["__group"])
+    cut = scan.ranges(steps, [], [F.col("time")], ROWS_PER_RANGE, store)
+    rows = cut.rows
+    persons = rows.groupBy("__group").agg(F.sum("exits").alias("persons"))
+    names = sorted((r["__group"], r["persons"]) for r in persons.collect())     # one row per group
+    if not names:
+        return rows.sparkSession.createDataFrame([], f"`{group}` string, persons long, observed double, expected double, "
+                                                     "chi_square double, df double, p_value double")
+    numbers = rows.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], "g int, __group string, persons long")
+    rows = rows.join(F.broadcast(numbers.select("g", "__group")), "__group").select(
+        F.col(scan.PART).alias("part"), "g", F.col("time").cast("double").alias("time"), "events", "exits")
+    if cut.parts > 1:
+        # of every range and group: who leaves after it
+        totals = rows.groupBy("part", "g").agg(F.sum("exits").alias("exits"))
+        last = F.max("part").over(Window.partitionBy("g"))
+        steps = totals.withColumn("last", last)
+        every = steps.select("g", "last").distinct().select("g", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"))
+        after = Window.partitionBy("g").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        later = (every.join(totals, ["g", "part"], "left").select("part", "g", F.sum("exits").over(after).alias("exits"))
+                 .where("exits > 0"))
+        rows = rows.unionByName(later.select("part", "g", F.lit(None).cast("double").alias("time"),
+                                             F.lit(0).cast("long").alias("events"), "exits"))
+    schema = "g int, v array<double>, observed double, expected double"
+    sums = rows.groupBy("part").applyInPandas(_log_rank_part(len(names)), schema)
+    if cut.parts > 1:
+        sums = sums.groupBy("g").applyInPandas(_log_rank_sum, schema)
+    test = sums.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(
+        _chi_square, "g int, observed double, expected double, chi_square double, df double")
+    return (test.join(F.broadcast(numbers), "g")
+            .select(F.col("__group").alias(group), "persons", "observed", "expected", "chi_square", "df")
+            .withColumn("p_value", chi2_p("chi_square", "df")))
 
 
 def _tied(d: np.ndarray, s0: np.ndarray, t0: np.ndarray):
@@ -282,9 +323,7 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Mapping[str, Sequen
     dummies = F.array(*[(F.col(c) == level).cast("double") for _, c, level in terms])
     steps = _collapse(df.where(known), time, event, list(found)).select(
         F.col("time").cast("double").alias("time"), dummies.alias("x"), "events", "exits")
-    folder = written_folder(spark, store)
-    steps.write.parquet(folder)
-    patterns = _time_ranges(spark.read.schema(steps.schema).parquet(folder))
+    patterns = scan.ranges(steps, [], [F.col("time")], ROWS_PER_RANGE, store).rows.withColumnRenamed(scan.PART, "part")
     upper = np.triu_indices(p)
 
     def sums(betas: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:

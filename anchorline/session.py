@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A person, code or order may own a large share of all rows.  Joins keyed on it
 # are split at run time by adaptive execution; "force" lets Spark add the one
@@ -29,13 +30,43 @@ def tune_session(spark: SparkSession) -> SparkSession:
 def written_folder(spark: SparkSession, store: str | None = None) -> str:
     """A new folder below ``store``, or below the shared folder ``spark.checkpoint.dir`` names.
 
-    Where neither is given (a notebook, tests) a temporary one is set for the session.
+    Only a local master, whose tasks all see this machine's disk, may do without either.
     """
     shared = store or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = tempfile.mkdtemp(prefix="anchorline-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or pass store")
+        shared = f"{tempfile.gettempdir()}/anchorline"
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def written(df: DataFrame, store: str | None = None, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written as parquet to the shared folder and read back, lineage cut.
+
+    A lost executor costs the tasks it ran since, not the steps before.  ``instead_of`` names an
+    earlier written step that nothing needs any more once this one stands; its files go.
+    """
+    spark = df.sparkSession
+    path = written_folder(spark, store)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    if instead_of is not None:
+        discard(instead_of)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a step that ``written`` returned; no plan may read it afterwards."""
+    path = _FOLDERS.pop(df, None)
+    if path is not None:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def local_session(name: str = "anchorline", cpus: int | str = "*",

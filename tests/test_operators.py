@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from anchorline import schema as sc
 from anchorline.functions.dates import after
+from anchorline.operators import scan
 from anchorline.operators import codes as cd, joins as j, reshape as rs, select as s, tabulate as t
 from tests.support import rows
 
@@ -55,12 +56,22 @@ def test_sampling_is_repeatable_and_uniform(spark):
     assert len(counts) == 4 and min(counts) > 180
 
 
+def test_several_per_key(spark):
+    rows_ = [(k, f"v{i % 40}") for k in range(5) for i in range(100)] + [(9, "only"), (9, None), (None, "x")]
+    df = spark.createDataFrame(rows_, "k long, v string")
+    got = rows(s.sample_per(df, "k", "v", seed=1, n=7))
+    assert got == rows(s.sample_per(df.repartition(7), "k", "v", seed=1, n=7)) and len(set(got)) == len(got)
+    assert {k: sum(r[0] == k for r in got) for k in {r[0] for r in got}} == {None: 1, 9: 1} | dict.fromkeys(range(5), 7)
+    first = rows(s.sample_one_per(df, "k", "v", seed=1))
+    assert set(first) <= set(got)
+
+
 def test_gap_and_cumulative(frame):
     days = frame("k long, d date", (1, "2020-01-01"), (1, "2020-01-31"), (2, "2020-02-02"))
     assert rows(s.gap_to_previous(days, "k", "d")) == [
         (1, "2020-01-01", None), (1, "2020-01-31", 30), (2, "2020-02-02", None)]
     steps = frame("g string, x double", ("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 5.0))
-    got = s.cumulative(steps, ["g"], [F.col("x")], total=F.sum("x"), times=F.product("x"))
+    got = s.cumulative(steps, ["g"], [F.col("x")], total=("sum", F.col("x")), times=("product", F.col("x")))
     assert rows(got) == [("a", 1, 1, 1), ("a", 2, 3, 2), ("a", 3, 6, 6), ("b", 5, 5, 5)]
 
 
@@ -124,17 +135,31 @@ def test_quantiles_match_numpy(spark):
     data += [(None, 4.0), (None, 8.0), ("c", None), ("d", 3.0)]
     df = spark.createDataFrame(data, "g string, x double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {r["g"]: r for r in t.quantiles(df, "x", probs, ["g"], per_bucket=20).collect()}
+    got = {r["g"]: r for r in t.quantiles(df, "x", probs, ["g"], accuracy=20).collect()}
     assert set(got) == {"a", "b", "d", None}
     for g, r in got.items():
         values = [v for k, v in data if k == g and v is not None]
         want = np.quantile(values, probs)
         assert [r[t.quantile_name(p)] for p in probs] == pytest.approx(list(want))
         assert r["n"] == len(values)
-    whole = t.quantiles(df, "x", [0.5], per_bucket=50).first()
+    whole = t.quantiles(df, "x", [0.5], accuracy=50).first()
     assert whole["q50"] == pytest.approx(np.median([v for _, v in data if v is not None]))
 
 
+def test_quantiles_of_a_large_group_order_only_what_is_wanted(spark, monkeypatch):
+    values = [(i * 7919 % 20_011) / 7 for i in range(20_011)] * 2 + [5.0] * 9_000
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    kept = []
+    whole = scan.ranges
+    monkeypatch.setattr(scan, "ranges", lambda *a, **k: kept.append(whole(*a, **k)) or kept[-1])
+    probs = [0.0, 0.01, 0.25, 0.5, 0.975, 1.0]
+    got = t.quantiles(df, "x", probs, accuracy=1000).first()
+    assert [got[t.quantile_name(p)] for p in probs] == pytest.approx(list(np.quantile(values, probs)))
+    assert kept[0].rows.count() < 1500
+    plan = t.quantiles(df, "x", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+
+
 def test_tables(frame):
     df = frame("arm string, sex string, x double", ("a", "F", 1.0), ("a", "F", 3.0), ("a", None, None),
                ("b", "M", 5.0))
@@ -153,6 +178,13 @@ def test_tables(frame):
     assert got["sex", "a", "missing"]["percent"] == pytest.approx(100 / 3)
     assert got["total", "a", "n"]["n"] == 3
     assert not t.summary_table(df, ["x"], ["sex"]).where("level = 'missing'").count()
+    levels = frame("g string, x double", ("a", 1.0), ("missing", 1.0), (None, 1.0))
+    shares = t.summary_table(levels, [], ["g"], na_include=True, na_to_p=False)
+    assert sorted((r["level"], r["n"], r["percent"] or 0) for r in shares.collect()) == [
+        ("a", 1, 50.0), ("missing", 1, 0), ("missing", 1, 50.0)]
+    shares = t.summary_table(levels, [], ["g"], na_include=True)
+    assert sorted((r["level"], r["n"], r["percent"]) for r in shares.collect()) == [
+        (g, 1, pytest.approx(100 / 3)) for g in ("a", "missing", "missing")]
     hist = t.histogram(df, "x", 0, 4, 2)
     assert rows(hist) == [(1, 1), (2, 1), (3, 1)]
     assert rows(t.describe_by(df, "x")) == [(3, 3.0, 2.0, 1.0, 5.0)]

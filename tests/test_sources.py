@@ -37,6 +37,36 @@ def test_publish_replaces(spark, tmp_path):
         tb.publish(spark.range(1), "t", root, bucket_by="id", buckets=2)
 
 
+def test_failed_publish_leaves_the_table(spark, tmp_path):
+    root = str(tmp_path)
+    assert tb.publish(spark.range(5), "t", root) == 5
+    broken = spark.range(9).select(F.when(F.col("id") < 8, F.col("id")).otherwise(
+        F.raise_error(F.lit("stop"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        tb.publish(broken, "t", root)
+    with pytest.raises(ValueError, match="fewer than 3"):
+        tb.publish(spark.range(2), "t", root, at_least=3)
+    assert tb.load(spark, "t", root).count() == 5
+    # refreshed from itself
+    assert tb.publish(tb.load(spark, "t", root).where("id > 1"), "t", root, at_least=3) == 3
+    assert rows(tb.load(spark, "t", root)) == [(2,), (3,), (4,)]
+    assert [p.name for p in tmp_path.iterdir() if "old" in p.name] == []
+
+
+def test_catalog_table_refreshed_from_itself(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS renewed LOCATION '{tmp_path}/renewed'")
+    try:
+        tb.publish(spark.range(10), "renewed.t")
+        with pytest.raises(ValueError):
+            tb.publish(spark.range(1), "spark_catalog.renewed.t", at_least=2)
+        assert tb.publish(tb.load(spark, "renewed.t").where("id < 4"), "renewed.t") == 4
+        spark.catalog.refreshTable("renewed.t")
+        assert tb.load(spark, "spark_catalog.renewed.t").count() == 4
+        assert [r["tableName"] for r in spark.sql("SHOW TABLES IN renewed").collect()] == ["t"]
+    finally:
+        spark.sql("DROP DATABASE renewed CASCADE")
+
+
 def test_catalog_table_bucketed_by_person(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS study LOCATION '{tmp_path}/study'")
     try:

@@ -1,9 +1,12 @@
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from anchorline.operators import scan
 from anchorline.plans import stats as st, survival as sv
 
 # Acute myelogenous leukaemia, maintained / non-maintained arms (Miller 1981).
@@ -161,7 +164,7 @@ def test_log_rank_many_groups_and_ranges(spark, monkeypatch):
     monkeypatch.setattr(sv, "ROWS_PER_RANGE", 400)
     data = [(f"g{i % 300:03d}", (i * 7919) % 5003, i % 3 == 0) for i in range(3000)]
     df = spark.createDataFrame(data, "g string, t int, e boolean")
-    assert sv._time_ranges(sv._collapse(df, "t", "e", ["g"])).select("part").distinct().count() > 5
+    assert scan.ranges(sv._collapse(df, "t", "e", ["g"]), [], [F.col("time")], 400).parts > 5
     got = {r["g"]: r for r in sv.log_rank(df, "t", "e", "g").collect()}
     want, chi = _log_rank_brute(data)
     assert len(got) == 300 and sum(r["persons"] for r in got.values()) == 3000
@@ -170,6 +173,60 @@ def test_log_rank_many_groups_and_ranges(spark, monkeypatch):
     assert got["g000"]["chi_square"] == pytest.approx(chi, rel=1e-6)
 
 
+def test_log_rank_of_two_thousand_groups_in_little_memory():
+    groups, n = 2_000, 60_000
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": np.r_[rng.integers(0, groups, n), np.arange(groups)], "exits": 1,
+                        "time": np.r_[rng.integers(0, 10 ** 6, n).astype(float), np.full(groups, np.nan)],
+                        "events": np.r_[(rng.random(n) < 0.05).astype(int), np.zeros(groups, int)]})
+    tracemalloc.start()
+    out = sv._log_rank_part(groups)(pdf)
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    v = np.stack(out["v"].to_list())
+    assert np.abs(v.sum(0)).max() < 1e-6 and np.allclose(v, v.T)
+    assert out["observed"].sum() == pytest.approx(out["expected"].sum()) == pdf["events"].sum()
+
+
+def test_curve_in_seconds_of_one_stratum_goes_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sv, "ROWS_PER_RANGE", 500)
+    data = [("a", (i * 7919) % 86_413, i % 4 == 0) for i in range(4000)] + [("b", 10 * i, i % 2 == 0) for i in range(40)]
+    df = spark.createDataFrame(data, "g string, t long, e boolean")
+    seen = []
+    whole = scan.ranges
+    monkeypatch.setattr(scan, "ranges", lambda *a, **k: seen.append(whole(*a, **k)) or seen[-1])
+    for by in (["g"], []):
+        curve = sv.kaplan_meier(df, "t", "e", by)
+        got = {(r["g"] if by else "", r["time"]): r for r in curve.collect()}
+        for g in ("a", "b") if by else ("",):
+            mine = sorted((t, e) for x, t, e in data if x == g or not by)
+            n, s, var, i = len(mine), 1.0, 0.0, 0
+            while i < len(mine):
+                t = mine[i][0]
+                same = [e for x, e in mine[i:i + 8] if x == t]
+                d = sum(same)
+                s *= 1 - d / n
+                var += d / (n * (n - d)) if d and n > d else 0
+                r = got[g, t]
+                assert (r["at_risk"], r["events"], r["censored"]) == (n, d, len(same) - d)
+                assert r["survival"] == pytest.approx(s, rel=1e-9, abs=1e-12)
+                if s > 0:
+                    assert r["std_err"] == pytest.approx(s * math.sqrt(var), rel=1e-7)
+                n, i = n - len(same), i + len(same)
+        # no window has only the stratum as its key but those over one row per range
+        parts = seen[-1]
+        assert parts.parts >= 8
+        assert max(r["count"] for r in parts.rows.groupBy(scan.PART).count().collect()) < 1500
+        assert parts.totals(n=F.count(F.lit(1))).count() <= 2 * parts.parts
+
+
+def test_levels_are_counted_before_they_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(sv, "MOST_LEVELS", 10)
+    assert sv.levels_of(spark.range(10), "id") == list(range(10))
+    with pytest.raises(ValueError, match="levels"):
+        sv.levels_of(spark.range(11), "id")
+
+
 def test_cox_over_several_ranges(spark, monkeypatch):
     people = _random_people(11)
     df = spark.createDataFrame(people, "g string, sex string, t int, e boolean")
