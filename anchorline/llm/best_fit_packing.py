@@ -24,19 +24,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from anchorline.llm.common import worker_state, written
-from anchorline.llm.words import NOT_SPACE, Words, text_slices
+from anchorline.llm.words import text_slices
 
-#: Pieces of one length that one task numbers.
-ROWS_PER_PART = 100_000
+#: Pieces of one length that one task numbers, but no more than so many parts of a length.
+ROWS_PER_PART, PARTS = 1_000, 10_000
 #: A worker forgets the chunks it has met beyond these.
-CHUNKS_KEPT, BYTES_KEPT = 300_000, 16 << 20
+CHUNKS_KEPT, BYTES_KEPT = 500_000, 16 << 20
+
+
+#: Bytes as white space (0), letter (1), digit (2), sign (3), or anything else (4).
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[32, *range(9, 14)]] = 0
+for _b in range(33, 127):
+    _KIND[_b] = 1 if chr(_b).isalpha() else 2 if chr(_b).isdigit() else 3
+#: Whether words end between bytes of two ASCII kinds, whatever stands around them.
+_CUT = np.zeros((5, 5), bool)
+_CUT[1, 2:4] = _CUT[2, 1:4] = _CUT[3, 1:3] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _chunks(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the chunks of consecutive texts, the first chunk of each text, the chunks' bytes.
+
+    A chunk's tokens do not depend on what stands around it.  Chunks end at white space, and between ASCII letters,
+    single digits and runs of signs; next to other characters, which may combine or be of any kind, only white
+    space ends one.  An apostrophe on its own stays with the letters behind it.  Letters are
+    lower-cased, except where a string of a special token may stand.
+    """
+    kind = _KIND[data]
+    inside = kind > 0
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    first = first[:-1]
+    first[1:] |= ~inside[:-1]
+    if data.tobytes().find(b"<|") < 0:
+        data = _LOWER[data]
+        cut = _CUT[kind[:-1], kind[1:]]
+        alone = (data[:-1] == 39) & (kind[1:] == 1)
+        alone[1:] &= kind[:-2] != 3
+        first[1:] |= cut & ~alone
+    starts = np.flatnonzero(first & inside)
+    size = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(inside, out=size[1:])
+    edges = np.r_[size[starts], size[-1]]
+    return edges, np.searchsorted(starts, offsets, side="left"), data[inside]
 
 
 class ChunkCoder:
-    """Token ids of texts by the tokenizers library, chunk by chunk between ASCII white space.
+    """Token ids of texts by the tokenizers library, each distinct chunk of a text encoded once.
 
-    For vocabularies whose words never span white space, as ``word_bpe_49k.json``: a text's
-    ids are those of its chunks one after the other, and each chunk is encoded once.
+    For vocabularies that split text as ``word_bpe_49k.json`` does: into runs of letters, single digits, runs of signs
+    and contractions, lower-cased, white space dropped.
     """
 
     def __init__(self, path: str):
@@ -53,35 +92,44 @@ class ChunkCoder:
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)       # where a chunk's ids end; chunk i begins at ends[i]
 
+    def _learn(self, chunks: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.number.update(zip(chunks, range(len(self.number), len(self.number) + len(chunks))))
+        self.bytes += sum(map(len, chunks))
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
     def _numbers(self, chunks: list[bytes]) -> np.ndarray:
         new = [c for c in chunks if c not in self.number]
+        # words of Latin letters are one split each: encoded as one text, told apart by its word numbers
+        words = [c for c in new if c.isalpha() or (t := c.decode().lower()).isalpha() and max(t) < "\u0250"]
+        if words:
+            coded = self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False)
+            counts = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(words))
+            if len(counts) == len(words):
+                self._learn(words, np.array(coded.ids, np.uint32), counts)
+        new = [c for c in new if c not in self.number]
         if new:
-            coded = self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)
-            found = [x.ids for x in coded]
-            for c in new:
-                self.number[c] = len(self.number)
-            self.bytes += sum(map(len, new))
-            self.ids = np.concatenate([self.ids, *[np.array(f, np.uint32) for f in found]])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in found])])
+            found = [x.ids for x in self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)]
+            self._learn(new, np.array([i for f in found for i in f], np.uint32), np.array([len(f) for f in found], np.int64))
         return np.array([self.number[c] for c in chunks], np.int64)
 
     def code(self, offsets: np.ndarray, data: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, each followed by ``last``, and where each text begins."""
         if len(self.number) > CHUNKS_KEPT or self.bytes > BYTES_KEPT:
             self._forget()
-        w = Words(offsets, data)
-        texts, lengths = len(offsets) - 1, w.ends - w.starts
-        edges = np.r_[0, np.cumsum(lengths)]
-        chunks = pa.Array.from_buffers(pa.large_binary(), len(lengths), [
-            None, pa.py_buffer(edges), pa.py_buffer(data[NOT_SPACE[data]])]).dictionary_encode()
+        texts = len(offsets) - 1
+        edges, first, data = _chunks(offsets, data)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [
+            None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         of = self._numbers(chunks.dictionary.to_pylist())[chunks.indices.to_numpy(zero_copy_only=False)]
         begins, counts = self.ends[of], self.ends[of + 1] - self.ends[of]
-        text = np.repeat(np.arange(texts), np.diff(w.first))
-        before = np.r_[0, np.cumsum(counts)]
+        text = np.repeat(np.arange(texts), np.diff(first))
+        before = np.zeros(len(of) + 1, np.int64)
+        np.cumsum(counts, out=before[1:])
         step = np.arange(before[-1])
         out = np.full(before[-1] + texts, last, np.uint32)
         out[step + np.repeat(text, counts)] = self.ids[np.repeat(begins - before[:-1], counts) + step]
-        return out, before[w.first] + np.arange(texts + 1)
+        return out, before[first] + np.arange(texts + 1)
 
 
 def _pieces(path: str, capacity: int, last: int, ids: bool):
@@ -220,7 +268,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = Plan(counts, capacity)
-    parts = spark.createDataFrame([(n, -(-c // ROWS_PER_PART)) for n, c in counts.items()], "length long, parts long")
+    parts = spark.createDataFrame([(n, min(-(-c // ROWS_PER_PART), PARTS)) for n, c in counts.items()], "length long, parts long")
     spread = (pieces.join(F.broadcast(parts), "length")      # a row per length, at most ``capacity``
               .withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).drop("parts"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
