@@ -29,7 +29,7 @@ from anchorline.llm.words import LETTERS, Words, text_slices
 #: Bytes of text whose vectors a task sums before they leave it.
 TEXT_BYTES = 8 << 20
 #: Counts of (source, term) in a block of one language's vocabulary, on average.
-ROWS_PER_BLOCK = 200_000
+ROWS_PER_BLOCK = 20_000
 UNITS = 1_000_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
