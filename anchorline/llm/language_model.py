@@ -1,16 +1,19 @@
 """Scoring by a log-bilinear neural language model trained with noise-contrastive estimation.
 
 Tokens are words (A-Z as a-z) and one end per text.  The model predicts a class from the two
-tokens before it: the most frequent words are classes of their own, every other word belongs to
-one of ``TAIL_CLASSES`` by its last two bytes.  The context's representation is the sum of its
+tokens before it.  Classes follow the counted vocabulary: of V distinct words about 2 V^(1/3), the most frequent, are
+classes of their own, and as many classes share all others: words are ordered by their last two bytes,
+and this order is cut into classes of equal counts, so that what a word's ending says of its language and kind stays.
+The context's representation is the sum of its
 classes' vectors, each scaled per position; a class scores by its product with that plus a bias.
 
 * Word counts come from all training texts; a word is known by a 64-bit hash.
-* Training goes over all training texts where they lie: every task turns its texts into
-  distinct (context, class) counts and fits a model to them in numpy from the same start,
-  with samples of the class frequencies as noise; the models are averaged by tokens.
+* Training is a fixed number of rounds, each over the texts that a hash of doc_id gives it.  In a round another hash deals
+  them out to shards of about ``SHARD`` tokens; every shard goes on from the same model in numpy, by
+  distinct (context, class) counts with samples of the class frequencies as noise, and the models
+  are averaged by tokens.  How the table is split into partitions changes nothing.
 * Scoring takes one matrix product per block of distinct contexts, which gives the normaliser over
-  all classes.  A word of a tail class takes its share of the class by counts, (c + 0.1) /
+  all classes.  A word of a shared class takes its share of the class by counts, (c + 0.1) /
   (sum + 0.1 (distinct + 1)), so probabilities sum to one over all words, seen or not.
 
 Counts of the ``HEAD_WORDS`` most frequent words travel to the tasks, a bounded table; counts of
@@ -26,73 +29,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from anchorline.llm.common import one_row_per_id, written
-from anchorline.llm.words import Words, text_slices
+from anchorline.llm.words import PACKED, Words, pack, text_slices, unpack
 
-HEAD_WORDS, WORD_CLASSES, TAIL_CLASSES = 65_536, 960, 64
-CLASSES = WORD_CLASSES + TAIL_CLASSES
-WIDTH, NOISE, STEP, RATE = 32, 64, 8192, 0.15
+HEAD_WORDS, SUFFIXES = 65_536, 65_536
+WIDTH, NOISE, STEP, RATE = 32, 64, 512, 0.1
+#: Rounds of fitting and averaging, and about how many tokens a shard has in one of them.
+ROUNDS, SHARD = 4, 2_000_000
 #: Bytes of text per step, which bounds the contexts held at a time.
 SLICE = 4 << 20
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
 END = np.uint64(0x454E44)   # stands for the end of a text among the hashes of words
 SMOOTHING = 0.1
 
 
 def _tokens(offsets: np.ndarray, data: np.ndarray):
-    """Hash, tail class and text number of every token of a slice, an end after each text."""
+    """Hash, last two bytes and text number of every token of a slice, an end after each text."""
     w = Words(offsets, data)
     n, texts = len(w.starts), len(offsets) - 1
     sizes = np.diff(w.first)
     at = np.arange(n) + np.repeat(np.arange(texts), sizes)
     hashes = np.full(n + texts, END, np.uint64)
     hashes[at] = w.hashes(lower=True)
-    tail = np.zeros(n + texts, np.int64)
-    last = data[w.ends - 1].astype(np.int64)
-    before = np.where(w.ends - w.starts > 1, data[np.maximum(w.ends - 2, 0)], 0)
-    tail[at] = (last * 31 + before) % TAIL_CLASSES
-    return hashes, tail, np.repeat(np.arange(texts), sizes + 1)
+    suffix = np.zeros(n + texts, np.int64)
+    before = np.where(w.ends - w.starts > 1, _LOWER[data[np.maximum(w.ends - 2, 0)]], 0)
+    suffix[at] = _LOWER[data[w.ends - 1]] * 256 + before
+    return hashes, suffix, np.repeat(np.arange(texts), sizes + 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: list[tuple[np.ndarray, ...]] = []
         for _, offsets, data in text_slices(batch.column(1), SLICE):
-            hashes, tail, _ = _tokens(offsets, data)
+            hashes, suffix, _ = _tokens(offsets, data)
             words, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            seen.append((words, tail[first], n))
+            seen.append((words, suffix[first], n))
         if seen:
-            words, tail, n = (np.concatenate(c) for c in zip(*seen))
+            words, suffix, n = (np.concatenate(c) for c in zip(*seen))
             distinct, first, back = np.unique(words, return_index=True, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(distinct.view(np.int64)), pa.array(tail[first].astype(np.int32)),
-                 pa.array(np.bincount(back, n, len(distinct)).astype(np.int64))], names=["word", "tail", "n"])
+                [pa.array(distinct.view(np.int64)), pa.array(suffix[first].astype(np.int32)),
+                 pa.array(np.bincount(back, n, len(distinct)).astype(np.int64))], names=["word", "suffix", "n"])
 
 
 class Classes:
     """Classes of words and what their counts say; small enough to travel to every task."""
 
-    def __init__(self, head: np.ndarray, counts: np.ndarray, tail_words: np.ndarray, tail_tokens: np.ndarray):
-        """``head``: hashes of frequent words, most frequent first, with their counts; the tail classes' totals."""
+    def __init__(self, head: np.ndarray, counts: np.ndarray, suffixes: np.ndarray, words: np.ndarray, tokens: np.ndarray):
+        """``head``: hashes of frequent words, most frequent first, with their counts and suffixes.
+
+        ``words`` and ``tokens`` are, by suffix, how many distinct words and tokens there are.
+        """
+        wanted = int(np.ceil(2 * max(words.sum(), 1) ** (1 / 3)))
+        mine = min(wanted, len(head))
+        self.words, self.size = mine, mine + wanted
         order = np.argsort(head)
         self.head, self.counts = head[order], counts[order]
-        self.own = np.where(order < WORD_CLASSES, order, -1)    # a head word's own class, if it has one
-        mine = counts[:WORD_CLASSES]
-        totals = np.zeros(CLASSES)
-        totals[:len(mine)] = mine
-        totals[WORD_CLASSES:] = tail_tokens
+        self.own = np.where(order < mine, order, -1)    # a head word's own class, if it has one
+        words = words - np.bincount(suffixes[:mine], minlength=SUFFIXES)
+        tokens = tokens - np.bincount(suffixes[:mine], counts[:mine], SUFFIXES)
+        upto = np.cumsum(tokens)
+        middle = (upto - tokens / 2) / max(upto[-1], 1)
+        self.of_suffix = mine + np.minimum((middle * wanted).astype(np.int64), wanted - 1)
+        totals = np.zeros(self.size)
+        totals[:mine] = counts[:mine]
+        totals += np.bincount(self.of_suffix, tokens, self.size)
+        distinct = np.bincount(self.of_suffix, words, self.size)
         self.share = (totals + SMOOTHING) / (totals + SMOOTHING).sum()
-        self.tail_norm = np.log10(tail_tokens + SMOOTHING * (tail_words + 1))
+        self.norm = np.where(np.arange(self.size) < mine, 0.0, np.log10(totals + SMOOTHING * (distinct + 1)))
         end = np.searchsorted(self.head, END)
-        self.end = int(self.own[end]) if end < len(head) and self.head[end] == END else WORD_CLASSES
+        own = int(self.own[end]) if end < len(head) and self.head[end] == END else -1
+        self.end = own if own >= 0 else int(self.of_suffix[0])
 
-    def look_up(self, hashes: np.ndarray, tail: np.ndarray):
+    def look_up(self, hashes: np.ndarray, suffix: np.ndarray):
         """Class of each token, its count, and whether the count is known here."""
+        shared = self.of_suffix[suffix]
         if not len(self.head):
             none = np.zeros(len(hashes), bool)
-            return WORD_CLASSES + tail, none.astype(np.int64), none
+            return shared, none.astype(np.int64), none
         at = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
         known = self.head[at] == hashes
         own = np.where(known, self.own[at], -1)
-        return np.where(own >= 0, own, WORD_CLASSES + tail), np.where(known, self.counts[at], 0), known
+        return np.where(own >= 0, own, shared), np.where(known, self.counts[at], 0), known
 
     def contexts(self, classes: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """The two classes before each token as one number; before a text there are ends."""
@@ -100,7 +118,7 @@ class Classes:
         two = one.copy()
         one[1:] = np.where(texts[1:] == texts[:-1], classes[:-1], self.end)
         two[2:] = np.where(texts[2:] == texts[:-2], classes[:-2], self.end)
-        return two * CLASSES + one
+        return two * self.size + one
 
 
 class LogBilinear:
@@ -108,8 +126,9 @@ class LogBilinear:
 
     def __init__(self, share: np.ndarray):
         rng = np.random.default_rng(3)
-        self.seen = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
-        self.said = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
+        self.size = len(share)
+        self.seen = rng.normal(0, 0.1, (self.size, WIDTH)).astype(np.float32)
+        self.said = rng.normal(0, 0.1, (self.size, WIDTH)).astype(np.float32)
         self.bias = np.log(share).astype(np.float32)
         self.scale = np.ones((2, WIDTH), np.float32)
 
@@ -117,30 +136,15 @@ class LogBilinear:
         return [self.seen, self.said, self.bias[:, None], self.scale]
 
     def represent(self, contexts: np.ndarray) -> np.ndarray:
-        return self.scale[0] * self.seen[contexts % CLASSES] + self.scale[1] * self.seen[contexts // CLASSES]
+        return self.scale[0] * self.seen[contexts % self.size] + self.scale[1] * self.seen[contexts // self.size]
 
-    def rows(self) -> np.ndarray:
-        """All parameters as rows of WIDTH + 1 numbers."""
-        out = np.zeros((2 * CLASSES + 2, WIDTH + 1), np.float32)
-        out[:CLASSES, :WIDTH], out[CLASSES:2 * CLASSES, :WIDTH] = self.seen, self.said
-        out[CLASSES:2 * CLASSES, WIDTH], out[2 * CLASSES:, :WIDTH] = self.bias, self.scale
-        return out
-
-    @classmethod
-    def of_rows(cls, rows: np.ndarray) -> LogBilinear:
-        model = cls(np.ones(CLASSES))
-        rows = rows.astype(np.float32)
-        model.seen, model.said = rows[:CLASSES, :WIDTH].copy(), rows[CLASSES:2 * CLASSES, :WIDTH].copy()
-        model.bias, model.scale = rows[CLASSES:2 * CLASSES, WIDTH].copy(), rows[2 * CLASSES:, :WIDTH].copy()
-        return model
-
-
-def _sums(index: np.ndarray, values: np.ndarray) -> np.ndarray:
+
+def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of rows by class."""
     order = np.argsort(index, kind="stable")
     sorted_ = index[order]
     starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    out = np.zeros((CLASSES, values.shape[1]), np.float32)
+    out = np.zeros((size, values.shape[1]), np.float32)
     out[sorted_[starts]] = np.add.reduceat(values[order], starts, axis=0)
     return out
 
@@ -148,12 +152,23 @@ def _sums(index: np.ndarray, values: np.ndarray) -> np.ndarray:
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps over weighted (context, class) counts."""
 
-    def __init__(self, share: np.ndarray):
+    def __init__(self, share: np.ndarray, state: np.ndarray | None = None, seed: int = 5):
+        """``state``: what ``rows`` of another trainer gave, to go on from."""
         self.model = LogBilinear(share)
         self.heaps = [np.full_like(p, 1e-3) for p in self.model.parameters()]
+        if state is not None:
+            flat, at = state.astype(np.float32).ravel(), 0
+            for p in self.model.parameters() + self.heaps:
+                p[:] = flat[at:at + p.size].reshape(p.shape)
+                at += p.size
         self.cdf = np.cumsum(share)
         self.log_noise = np.log(NOISE * share).astype(np.float32)
-        self.rng = np.random.default_rng(5)
+        self.rng = np.random.default_rng(seed)
+
+    def rows(self) -> np.ndarray:
+        """All parameters and step sizes as rows of WIDTH numbers."""
+        flat = np.concatenate([p.ravel() for p in self.model.parameters() + self.heaps])
+        return np.pad(flat, (0, -len(flat) % WIDTH)).reshape(-1, WIDTH)
 
     def fit(self, contexts: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> None:
         order = self.rng.permutation(len(counts))
@@ -164,8 +179,8 @@ class Trainer:
     def _step(self, contexts, classes, counts) -> None:
         m = self.model
         weight = counts / counts.sum()
-        noise = np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]).clip(0, CLASSES - 1)
-        one, two = contexts % CLASSES, contexts // CLASSES
+        noise = np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]).clip(0, m.size - 1)
+        one, two = contexts % m.size, contexts // m.size
         seen_one, seen_two = m.seen[one], m.seen[two]
         here = m.scale[0] * seen_one + m.scale[1] * seen_two
         said = m.said[classes]
@@ -174,31 +189,34 @@ class Trainer:
         pull = -weight / (1 + np.exp(np.clip(real, -30, 30)))
         push = weight[:, None] / (1 + np.exp(np.clip(-fake, -30, 30)))
         to_here = pull[:, None] * said + push @ m.said[noise]
-        change = _sums(classes, np.concatenate([pull[:, None] * here, pull[:, None]], axis=1))
-        change += _sums(noise, np.concatenate([push.T @ here, push.sum(0)[:, None]], axis=1))
-        seen = _sums(one, m.scale[0] * to_here) + _sums(two, m.scale[1] * to_here)
+        change = _sums(np.r_[classes, noise], np.concatenate([
+            np.concatenate([pull[:, None] * here, pull[:, None]], axis=1),
+            np.concatenate([push.T @ here, push.sum(0)[:, None]], axis=1)]), m.size)
+        seen = _sums(np.r_[one, two], np.concatenate([m.scale[0] * to_here, m.scale[1] * to_here]), m.size)
         scale = np.stack([(to_here * seen_one).sum(0), (to_here * seen_two).sum(0)])
         for p, heap, g in zip(m.parameters(), self.heaps, (seen, change[:, :WIDTH], change[:, WIDTH:], scale)):
             heap += g * g
             p -= RATE * g / np.sqrt(heap)
 
 
-def _train(known: Classes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, tokens = Trainer(known.share), 0
-        for batch in batches:
-            for _, offsets, data in text_slices(batch.column(1), SLICE):
-                hashes, tail, texts = _tokens(offsets, data)
-                classes, _, _ = known.look_up(hashes, tail)
-                pairs, n = np.unique(known.contexts(classes, texts) * CLASSES + classes, return_counts=True)
-                trainer.fit(pairs // CLASSES, pairs % CLASSES, n)
-                tokens += len(hashes)
-        if tokens:
-            rows = trainer.model.rows()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(tokens))),
-                 pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), WIDTH + 1).cast(pa.list_(pa.float32()))],
-                names=["row", "tokens", "vector"])
+def _train_shard(known: Classes, state: np.ndarray | None):
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("doc_id", "ascending")])
+        trainer, tokens = Trainer(known.share, state, 5 + shard["shard"][0].as_py()), 0
+        sizes = shard["size"].to_numpy()
+        at = 0
+        while at < len(sizes):
+            upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE, side="right")) + at)
+            texts = unpack(sizes[at:upto].tolist(), shard["packed"].slice(at, upto - at).to_pylist())
+            hashes, suffix, of = _tokens(np.r_[0, np.cumsum(sizes[at:upto])], np.frombuffer(b"".join(texts), np.uint8))
+            classes, _, _ = known.look_up(hashes, suffix)
+            pairs, n = np.unique(known.contexts(classes, of) * known.size + classes, return_counts=True)
+            trainer.fit(pairs // known.size, pairs % known.size, n)
+            tokens += len(hashes)
+            at = upto
+        rows = trainer.rows()
+        return pa.table({"row": pa.array(np.arange(len(rows), dtype=np.int32)), "tokens": pa.array(np.full(len(rows), float(tokens))),
+                         "vector": pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), WIDTH).cast(pa.list_(pa.float32()))})
     return run
 
 
@@ -221,20 +239,19 @@ def _log10_probabilities(model: LogBilinear, contexts: np.ndarray, classes: np.n
     return out / np.log(10)
 
 
-def _score(known: Classes, rows: np.ndarray):
+def _score(known: Classes, state: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear.of_rows(rows)
+        model = Trainer(known.share, state).model
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, offsets, data in text_slices(batch.column(1), SLICE):
-                hashes, tail, texts = _tokens(offsets, data)
+                hashes, suffix, texts = _tokens(offsets, data)
                 n_texts = len(offsets) - 1
-                classes, counts, found = known.look_up(hashes, tail)
+                classes, counts, found = known.look_up(hashes, suffix)
                 model_part = _log10_probabilities(model, known.contexts(classes, texts), classes)
-                in_tail = classes >= WORD_CLASSES
+                shared = classes >= known.words
                 share = np.where(found, np.log10(counts + SMOOTHING), 0.0)
-                of_class = share - known.tail_norm[np.where(in_tail, classes - WORD_CLASSES, 0)]
-                model_part += np.where(in_tail, of_class, 0.0)
+                model_part += np.where(shared, share - known.norm[classes], 0.0)
                 total = lambda x: np.bincount(texts, x, n_texts)
                 # words whose counts are not here: (text, word) with how often
                 rare = np.flatnonzero(~found)
@@ -254,8 +271,8 @@ def _score(known: Classes, rows: np.ndarray):
     return run
 
 
-def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words, ``HEAD_WORDS`` at most, and their counts; ties fall together."""
+def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent words, ``HEAD_WORDS`` at most, their counts and suffixes; ties fall together."""
     level = F.floor(F.log2("n") * 16).cast("int")
     levels = sorted(((r["level"], r["words"]) for r in
                      counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
@@ -265,12 +282,12 @@ def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         room, least = room - words, at
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = counts.where(level >= least).select("word", "n").toArrow()
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = counts.where(level >= least).select("word", "n", "suffix").toArrow()
     words = rows["word"].to_numpy().astype(np.int64).view(np.uint64)
     n = rows["n"].to_numpy().astype(np.int64)
     order = np.lexsort((words, -n))
-    return words[order], n[order]
+    return words[order], n[order], rows["suffix"].to_numpy().astype(np.int64)[order]
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -288,30 +305,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
     base = one_row_per_id(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     train = base.where(remainder != 0)
-    counts = written(train.mapInArrow(_count, "word long, tail int, n long")
-                     .groupBy("word").agg(F.min("tail").alias("tail"), F.sum("n").alias("n")))
-    head, head_counts = _head(counts)
-    own = [int(x) for x in head[:WORD_CLASSES].view(np.int64)]
-    tail_words, tail_tokens = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
-    n_all, distinct = 0, 0
-    per_class = counts.groupBy("tail", F.col("word").isin(own).alias("own")).agg(
-        F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()     # two per tail class
-    for r in per_class:
-        n_all, distinct = n_all + r["tokens"], distinct + r["words"]
-        if not r["own"]:
-            tail_words[r["tail"]], tail_tokens[r["tail"]] = r["words"], r["tokens"]
-    known = Classes(head, head_counts, tail_words, tail_tokens)
-
-    weighted = [F.sum(F.col("vector")[i] * F.col("tokens")) / F.sum("tokens") for i in range(WIDTH + 1)]
-    fitted = (train.mapInArrow(_train(known), "row int, tokens double, vector array<float>")
-              .groupBy("row").agg(F.array(*weighted).alias("vector")).toArrow())    # one row per class vector
-    rows = LogBilinear(known.share).rows()
-    if fitted.num_rows:
-        vectors = np.array(fitted["vector"].to_pylist())
-        rows[fitted["row"].to_numpy()] = vectors
+    counts = written(train.mapInArrow(_count, "word long, suffix int, n long")
+                     .groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n")))
+    words, tokens = np.zeros(SUFFIXES, np.int64), np.zeros(SUFFIXES, np.int64)
+    for r in counts.groupBy("suffix").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect():
+        words[r["suffix"]], tokens[r["suffix"]] = r["words"], r["tokens"]       # a row per suffix
+    n_all, distinct = int(tokens.sum()), int(words.sum())
+    known = Classes(*_head(counts), words, tokens)
+
+    shards, state = max(1, round(n_all / (ROUNDS * SHARD))), None
+    weighted = [F.sum(F.col("vector")[i] * F.col("tokens")) / F.sum("tokens") for i in range(WIDTH)]
+    for turn in range(ROUNDS):
+        texts = (train.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ROUNDS)) == turn).mapInArrow(pack, PACKED)
+                 .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(shards))))
+        fitted = (texts.groupBy("shard").applyInArrow(_train_shard(known, state), "row int, tokens double, vector array<float>")
+                  .groupBy("row").agg(F.array(*weighted).alias("vector")).orderBy("row").toArrow())   # one model
+        if fitted.num_rows:
+            state = np.array(fitted["vector"].to_pylist())
 
     scored = written(base.mapInArrow(
-        _score(known, rows), "doc_id long, n_tokens long, n_known long, share double, score double, "
+        _score(known, state), "doc_id long, n_tokens long, n_known long, share double, score double, "
                              "rare array<long>, often array<int>"))
     rare = scored.select("doc_id", F.explode(F.arrays_zip("rare", "often")).alias("x")).select(
         "doc_id", F.col("x.rare").alias("word"), F.col("x.often").alias("often"))

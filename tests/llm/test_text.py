@@ -128,14 +128,53 @@ def test_language_model(docs, table):
 
 def test_language_model_is_normalised():
     rng = np.random.default_rng(0)
-    model = language_model.LogBilinear(np.full(language_model.CLASSES, 1 / language_model.CLASSES))
+    size = 150
+    model = language_model.LogBilinear(np.full(size, 1 / size))
     model.seen, model.said = (rng.normal(size=m.shape).astype(np.float32) for m in (model.seen, model.said))
-    classes = np.arange(language_model.CLASSES)
-    for context in (0, 5 * language_model.CLASSES + 7):
+    classes = np.arange(size)
+    for context in (0, 5 * size + 7):
         p = language_model._log10_probabilities(model, np.full(len(classes), context), classes)
         assert (10 ** p).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_words_of_a_shared_class_have_its_probability():
+    rng = np.random.default_rng(1)
+    words, n, suffix = rng.choice(1 << 40, 900, replace=False).astype(np.uint64), rng.integers(1, 400, 900), rng.integers(0, 65_536, 900)
+    order = np.argsort(-n, kind="stable")
+    words, n, suffix = words[order], n[order], suffix[order]
+    known = language_model.Classes(words[:300], n[:300], suffix[:300], np.bincount(suffix, minlength=65_536),
+                                   np.bincount(suffix, n, 65_536).astype(np.int64))
+    assert known.words == 20 and known.size == 40       # follows the 900 distinct words
+    classes, counts, _ = known.look_up(words, suffix)
+    assert sorted(classes[:20]) == list(range(20)) and (classes[20:] >= 20).all() and (counts[:300] == n[:300]).all()
+    mass = np.bincount(classes, n, 40)
+    for c in range(20, 40):
+        mine = classes == c
+        total = ((n[mine] + 0.1).sum() + 0.1) / 10 ** known.norm[c]       # the last tenth is for unseen words
+        assert total == pytest.approx(1)
+    assert mass[20:].max() < 3 * mass[20:].mean()
+
+
+def test_language_model_does_not_depend_on_partitions_and_beats_counts(table, monkeypatch):
+    docs = table("documents", "sf0.01").select("doc_id", "text")
+    monkeypatch.setattr(language_model, "SHARD", 30_000)
+    one, many = ({r["doc_id"]: r for r in language_model.score_texts(docs.repartition(n)).collect()} for n in (1, 12))
+    assert len(one) == len(many) == 1000
+    assert max(abs(r["score"] - many[i]["score"]) / r["n_tokens"] for i, r in one.items()) < 1e-6
+    monkeypatch.undo()
+    held = [r for r in language_model.score_texts(docs).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in held)
+    assert sum(r["score"] - r["base_score"] for r in held) / tokens > 0.114
+    assert sum(r["score"] < r["base_score"] for r in held) <= 0.05 * len(held)
+
+
+def test_language_model_odd_texts(docs):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "a"), (2, "long " * 300_000), (3, "once\x00upon"), (4, None), (5, " \t\n"), (6, "A B c")]
+    got = {r["doc_id"]: r for r in language_model.score_texts(docs(rows)).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == {1: 2, 2: 300_001, 3: 2, 4: 1, 5: 1, 6: 4}
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got.values())
+
+
 def test_language_model_edges(docs):
     assert language_model.score_texts(docs([])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
