@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from anchorline.session import written
 
 _WORKER = "_anchorline_worker_state"
 
@@ -27,30 +27,6 @@ def worker_state(key: tuple, build):
     return found[1]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application's own under the one ``spark.checkpoint.dir`` names.
-
-    Only where that is unset (tests, a notebook) a temporary one is made and set.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="anchorline-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/anchorline-{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as parquet to the shared folder and read back, lineage cut.
-
-    A lost executor costs the tasks it ran since, not the steps before.  The files
-    stay until the folder is emptied, as plans made from them may still run.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def one_row_per_id(df: DataFrame, key: str, value: str, others: Sequence[str] = ()) -> DataFrame:
     """(key, value, *others) with one row per key: of rows that share a key, the least.
 
@@ -69,12 +45,24 @@ def one_row_per_id(df: DataFrame, key: str, value: str, others: Sequence[str] =
     return base.join(repeated, key, "left_anti").unionByName(again)
 
 
+#: Tasks that the copies of one text are spread over.
+SALTS = 8
+
+
 def first_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and first_id, the least doc_id with the same text; nulls are like empty texts."""
+    """doc_id and first_id, the least doc_id with the same text; nulls are like empty texts.
+
+    Only texts that occur more than once are looked up, by rows dealt out over ``SALTS`` copies of
+    the look-up, so a text that a third of all rows share is not one task's work.
+    """
     text = F.coalesce("text", F.lit(""))
+    key = ["text_key", "size"]
     marked = docs.select("doc_id", F.md5(text).alias("text_key"), F.octet_length(text).alias("size"))
-    least = marked.groupBy("text_key", "size").agg(F.min("doc_id").alias("first_id"))
-    return marked.join(least, ["text_key", "size"]).select("doc_id", "first_id")
+    least = marked.groupBy(*key).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    met = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(
+        least.select(*key, "first_id", salts), [*key, "salt"], "left")
+    return met.select("doc_id", F.coalesce("first_id", "doc_id").alias("first_id"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -98,10 +86,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = (small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = written(small)
+        now = written(small, instead_of=now)
         seen = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if seen == before:
             return written(now.select(F.col("a").alias("node"), F.col("b").alias("component"))
                            .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
-                           .groupBy("node").agg(F.min("component").alias("component")))
+                           .groupBy("node").agg(F.min("component").alias("component")), instead_of=now)
         before = seen

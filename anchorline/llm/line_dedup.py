@@ -5,7 +5,9 @@ these sequences: at depth 1 suffixes rank by their first line; from depth k the
 at a position and k lines on gives the ranks at depth 2k.  A rank is the number of
 smaller suffixes, so the suffixes that share their first k lines are the interval of the
 suffix array that starts there: the longest-common-prefix interval of depth k.  Only
-intervals of two or more are sorted on, until a doubling splits none of them.
+intervals of two or more are sorted on, until a doubling splits none of them or, for the dedup, the
+depth that makes a run is reached: a longer repeated run is a stretch of positions whose suffixes are
+all in such intervals, so deeper ranks could not change where it begins and ends.
 
 Everything is distributed: ranks are running counts over range-partitioned distinct
 pairs, so a line that a third of the corpus holds is one counted row where ranks are made.  Documents with
@@ -78,8 +80,11 @@ class SuffixArray:
     ``ranks`` holds (doc_id, pos, rank) of all suffixes when no interval splits any more.
     """
 
-    def __init__(self, lines: DataFrame):
-        """``lines``: (doc_id, pos, left, key): pos counts from 0, left from there to the document's end."""
+    def __init__(self, lines: DataFrame, until: int | None = None):
+        """``lines``: (doc_id, pos, left, key): pos counts from 0, left from there to the document's end.
+
+        With ``until`` sorting ends at the first depth of so many lines; ``ranks`` are of that depth then.
+        """
         counts = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         ordered = _smaller(counts.select(F.col("key").alias("rank"), F.lit(0).cast("long").alias("second"), "n"))
         ordered = ordered.select(F.col("rank").alias("key"), F.col("before").alias("rank"), "n")
@@ -90,7 +95,7 @@ class SuffixArray:
         while True:
             self.depths[depth] = open_ = fresh.where("n > 1")
             self.ranks = settled.unionByName(open_.select("doc_id", "pos", "rank"))
-            if open_.isEmpty():
+            if until is not None and depth >= until or open_.isEmpty():
                 return
             ahead = self.ranks.select("doc_id", (F.col("pos") - depth).alias("pos"), F.col("rank").alias("second"))
             pairs = written(open_.drop("n").join(ahead, ["doc_id", "pos"], "left")
@@ -132,6 +137,17 @@ def _words(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
 
 
+def _runs(starts, length: int) -> list[tuple[int, int]]:
+    """The longest runs that windows of ``length`` lines from ``starts`` on make up: (first, last + 1)."""
+    runs: list[tuple[int, int]] = []
+    for at in sorted(starts):
+        if runs and at <= runs[-1][1]:
+            runs[-1] = runs[-1][0], at + length
+        else:
+            runs.append((at, at + length))
+    return runs
+
+
 def _cut(min_lines: int, min_words: int | None):
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(texts: pd.Series, starts: pd.Series, singles: pd.Series, whole: pd.Series) -> pd.DataFrame:
@@ -144,8 +160,8 @@ def _cut(min_lines: int, min_words: int | None):
                 gone.update(solid)
             elif copy and min_words is not None:
                 gone.update(i for i in solid if len(_WORD.findall(lines[i])) >= min_words)
-            for i in at if at is not None else ():
-                gone.update(solid[i:i + min_lines])
+            for first, end in _runs(at, min_lines) if at is not None else ():
+                gone.update(solid[first:end])
             for i in alone if alone is not None else ():
                 gone.add(solid[i])
             kept = text if not gone else "\n".join([x for i, x in enumerate(lines) if i not in gone])
@@ -179,7 +195,7 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int |
     enough = [] if min_words is None else [(_words(F.col("x.line")) >= min_words).alias("enough")]
     lines = written(lines.select("doc_id", "pos", (F.col("size") - F.col("pos")).alias("left"),
                                  F.xxhash64("x.line").alias("key"), *enough).join(firsts, "doc_id"))
-    later = _later(SuffixArray(lines.drop("enough")).interval(min_lines))
+    later = _later(SuffixArray(lines.drop("enough"), min_lines).interval(min_lines))
     marks = later.groupBy("doc_id").agg(F.collect_list("pos").alias("_starts"))
     if min_words is None:
         marks = marks.withColumn("_singles", F.lit(None).cast("array<int>"))

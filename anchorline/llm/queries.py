@@ -45,8 +45,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines left after later copies of runs of two or more lines are deleted."""
-    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
+    """Lines left after later copies of runs of two or more lines, or of one of 20 words, are deleted."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.remove_repeated_lines(docs, min_lines=2, min_words=20)
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
@@ -126,9 +127,13 @@ solid AS (
 runs AS (
   SELECT a.doc_id, a.pos, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.pos) AS copy
   FROM solid a JOIN solid b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
+long AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS copy FROM solid
+  WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20),
 gone AS (
   SELECT doc_id, pos FROM runs WHERE copy > 1
-  UNION SELECT doc_id, pos + 1 FROM runs WHERE copy > 1),
+  UNION SELECT doc_id, pos + 1 FROM runs WHERE copy > 1
+  UNION SELECT doc_id, pos FROM long WHERE copy > 1),
 marked AS (
   SELECT r.doc_id, r.num, r.line, s.pos IS NOT NULL AS solid, g.pos IS NOT NULL AS gone
   FROM raw r LEFT JOIN solid s ON s.doc_id = r.doc_id AND s.num = r.num

@@ -126,7 +126,8 @@ def test_near_duplicates_edges(docs):
     assert got == {5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (1, 9)}
 
 
-def brute_lines(docs, m):
+def brute_lines(docs, m, words=None):
+    """A run is m lines, or (words given) one line of so many words."""
     solid = {i: [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")] for i, t in docs.items()}
     seen, gone = set(), {}
     for i in sorted(docs):
@@ -137,6 +138,11 @@ def brute_lines(docs, m):
             if run in seen:
                 marked.update(range(p, p + m))
             seen.add(run)
+        for p, line in enumerate(lines):
+            if words is not None and len(brute.words(line)) >= words:
+                if ("alone", line) in seen:
+                    marked.add(p)
+                seen.add(("alone", line))
         gone[i] = marked
     return {i: ([x for p, x in enumerate(solid[i]) if p not in gone[i]], len(solid[i]), len(gone[i])) for i in docs}
 
@@ -169,23 +175,11 @@ def test_long_single_lines_are_runs(docs, m):
     """A long line that stands between unique ones, or is a whole document, is cut where it comes again."""
     long, short = sentence(1, 60), sentence(2, 19)
     rows = [(i, f"own {i}\n{long}\n{short}\nmine {i}") for i in range(4)]
-    rows += [(10, long), (11, long), (12, short), (13, short), (14, f"{long}\n\n{long}"), (15, None)] + line_corpus()[:30:7]
+    huge = "word " * 300_000
+    rows += [(8, huge), (9, f"{huge}\nown"), (10, long), (11, long), (12, short), (13, short), (14, f"{long}\n\n{long}"), (15, None)] + line_corpus()[:30:7]
     rows = [(n, text) for n, (_, text) in enumerate(rows)]
     out = line_dedup.remove_repeated_lines(docs(rows), min_lines=m, min_words=20)
-    seen, want = set(), brute_lines(dict(rows), m)
-    for i, text in rows:
-        kept = []
-        solid = [x for x in (text or "").split("\n") if x.strip()]
-        alone = [x in seen or x in solid[:p] for p, x in enumerate(solid)]
-        runs = list(want[i][0])
-        for x, again in zip(solid, alone):
-            in_run = not (runs and runs[0] == x)
-            if not in_run:
-                runs.pop(0)
-            if not in_run and not (again and len(brute.words(x)) >= 20):
-                kept.append(x)
-        seen.update(solid)
-        want[i] = (kept, len(solid), len(solid) - len(kept))
+    want = brute_lines(dict(rows), m, 20)
     for r in out.collect():
         assert ([x for x in (r["text"] or "").split("\n") if x.strip()], r["n_lines"], r["n_removed"]) == want[r["doc_id"]], r["doc_id"]
     assert sum(w[2] for w in want.values()) >= 6
