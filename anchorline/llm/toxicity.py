@@ -11,12 +11,11 @@ Models are fitted on a bounded sample of the labelled rows; all texts are scored
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from anchorline.llm.common import written
 from anchorline.llm.words import LETTERS, NOT_SPACE, Words, text_slices
@@ -40,15 +39,20 @@ def _features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(found), np.concatenate(of)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _distinct_features(texts: pd.Series) -> pd.Series:
-    out: list[np.ndarray] = []
-    for _, offsets, data in text_slices(pa.array(texts, pa.large_string())):
-        found, of = _features(offsets, data)
-        cuts = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[cuts], np.arange(len(offsets)))
-        out += [np.unique(found[cuts[a:b]]).view(np.int64) for a, b in zip(edges[:-1], edges[1:])]
-    return pd.Series(out)
+def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is text, with their distinct feature hashes in its place, a slice of text at a time."""
+    for batch in batches:
+        for row, offsets, data in text_slices(batch.column(batch.num_columns - 1)):
+            found, of = _features(offsets, data)
+            order = np.lexsort((found, of))
+            found, of = found[order], of[order]
+            new = np.ones(len(found), bool)
+            new[1:] = (found[1:] != found[:-1]) | (of[1:] != of[:-1])
+            found, of = found[new], of[new]
+            edges = np.searchsorted(of, np.arange(len(offsets))).astype(np.int32)
+            part = batch.slice(row, len(offsets) - 1)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*batch.schema.names[:-1], "features"])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
@@ -128,12 +132,12 @@ class Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
-          sample: int = 20_000, features: int = 256, evidence: float = 25.0, folds: int = 5, penalty: float = 0.1) -> Chain:
+          sample: int = 20_000, features: int = 512, evidence: float = 10.0, least: int = 3, folds: int = 5, penalty: float = 0.1) -> Chain:
     """A chain fitted on at most about ``sample`` labelled rows, chosen by a hash of doc_id.
 
     ``labels`` holds doc_id and 0/1 columns named by ``categories``.  Rows with a null label or doc_id
-    are not used; of rows that share a doc_id the largest labels count, and of equal texts one.  Each category
-    sees at most ``features`` features, each with a chi-squared of at least ``evidence`` (five standard deviations).  Without usable rows
+    are not used; of rows that share a doc_id or a text the largest labels count, and of equal texts one is used.  Each category
+    sees at most ``features`` features, each in ``least`` rows and with a chi-squared of at least ``evidence``.  Without usable rows
     the chain gives probability 0.
     """
     usable = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in ("doc_id", *categories)))
@@ -141,14 +145,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
     part = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(n, 1))))
     chosen = written(part.select("doc_id", *categories).limit(2 * sample)   # the bound on what is broadcast
                      .groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in categories]))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = written(texts.withColumn("same", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["same"])
-                   .select("doc_id", *categories, _distinct_features("text").alias("features")))
+    same = F.md5(F.coalesce("text", F.lit(""))).alias("same")
+    # one row per distinct text, found without shuffling texts
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), same).join(F.broadcast(chosen), "doc_id")
+    single = written(found.groupBy("same").agg(F.min("doc_id").alias("doc_id"), *[F.max(c).alias(c) for c in categories]))
+    texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), same, "text")
+             .join(F.broadcast(single), ["doc_id", "same"]).select("doc_id", "same", *categories, "text"))
+    fields = ", ".join(f"`{c}` int" for c in categories)
+    rows = written(texts.mapInArrow(_distinct_features, f"doc_id long, same string, {fields}, features array<long>"))
+    if rows.count() > single.count():       # a row of docs that is there more than once
+        rows = written(rows.dropDuplicates(["same"]), instead_of=rows)
     total, *positive = rows.agg(F.count(F.lit(1)), *[F.sum(c) for c in categories]).first()
     if not total:
         return Chain(categories, np.zeros(0, np.uint64))
     counts = written(rows.select(F.explode("features").alias("feature"), *categories).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).where("n >= 5"))
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= least))
     clear = []
     for c, p in zip(categories, positive):
         ahead = F.col(c) * F.lit(float(total)) - F.col("n") * F.lit(float(p))
@@ -176,11 +187,12 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     Row by row: null and empty texts have no features and get the chain's base rate.  Columns
     of ``docs`` with the same names as new ones are replaced, all others are carried along.
     """
-    @F.pandas_udf("array<double>")
-    def probabilities(texts: pd.Series) -> pd.Series:
-        out = [chain.probabilities(offsets, data)
-               for _, offsets, data in text_slices(pa.array(texts, pa.large_string()))]
-        return pd.Series(list(np.concatenate(out)) if out else [], dtype=object)
+    @F.arrow_udf("array<double>")
+    def probabilities(texts: pa.Array) -> pa.Array:
+        out = [chain.probabilities(offsets, data) for _, offsets, data in text_slices(texts)]
+        flat = np.concatenate(out).ravel() if out else np.zeros(0)
+        many = len(chain.categories)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * many), pa.array(flat))
     names = [f"p_{c}" for c in chain.categories]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     scored = docs.select(*kept, probabilities("text").alias("_p"))

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from anchorline.llm import toxicity
 from anchorline.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -22,15 +23,16 @@ def test_query_matches_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     import __spark_entry__ as entry
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
 def test_toxic_documents_are_found_and_clean_ones_left(spark):
-    flagged = {r["doc_id"]: r["toxic"] for r in QUERIES["op1_toxicity"](spark, "/root/testdata/sf0.01").collect()}
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
-    toxic = [flagged[r["doc_id"]] for r in labels if r["toxic"]]
-    clean = [flagged[r["doc_id"]] for r in labels if not r["toxic"]]
-    # 51 toxic examples in four languages are all there is to learn from at this size
-    assert sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    labels = labels.withColumn("junk", 1 - labels.quality)
+    chain = toxicity.train(docs, labels.where("doc_id % 3 <> 0"), ["junk", "toxic"])
+    out = toxicity.score(docs.join(labels.where("doc_id % 3 = 0"), "doc_id").select("doc_id", "text", "toxic"), chain).collect()
+    toxic = [r["p_toxic"] >= 0.5 for r in out if r["toxic"]]
+    clean = [r["p_toxic"] >= 0.5 for r in out if not r["toxic"]]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
