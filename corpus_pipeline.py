@@ -24,11 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of line runs; a document of which no line is left goes.
+    """Texts without later copies of line runs (two lines, or one of 20 words); a document of which no line is left goes.
 
     ``n_chars``, where there is one, counts the characters left.
     """
-    out = line_dedup.remove_repeated_lines(docs, min_lines=2).where("n_removed = 0 OR n_removed < n_lines")
+    out = line_dedup.remove_repeated_lines(docs, min_lines=2, min_words=20).where("n_removed = 0 OR n_removed < n_lines")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return _like(docs, out)
