@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +45,8 @@ def written_folder(spark: SparkSession, store: str | None = None) -> str:
 _FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def written(df: DataFrame, store: str | None = None, instead_of: DataFrame | None = None) -> DataFrame:
+def written(df: DataFrame, store: str | None = None, instead_of: DataFrame | None = None,
+            partition_by: Sequence[str] = ()) -> DataFrame:
     """``df`` written as parquet to the shared folder and read back, lineage cut.
 
     A lost executor costs the tasks it ran since, not the steps before.  ``instead_of`` names an
@@ -52,7 +54,7 @@ def written(df: DataFrame, store: str | None = None, instead_of: DataFrame | Non
     """
     spark = df.sparkSession
     path = written_folder(spark, store)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _FOLDERS[out] = path
     if instead_of is not None:
