@@ -3,10 +3,16 @@
 A page is read once as a stream of standard-library parser events.  Block elements cut it
 into lines; every line has its characters and the tags met in it.  The ratio of the two is
 smoothed over neighbouring lines with a Gaussian and clustered by a threshold, so that
-runs of lines rich in text stand out from menus and notices.  The smallest element that holds
-all these runs (``main`` or an ``article``, if one does) is the content region, and all its lines are kept, short ones among long ones
-too, except those inside elements that say what they are: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments.
+runs of lines rich in text stand out from menus and notices.  The content region follows from these runs:
+
+* ``main``, if it holds at least half of their text and every article that has any;
+* else the articles and the headings beside them, if they hold nearly all (``NEARLY``);
+* else the smallest element that holds all runs.
+
+All its lines are kept, short ones among long ones too, except those inside elements that say what they are: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.  Outside
+articles an element says so by class, id or role; inside one only containers do, by class or role, and only
+by words that name no part of an article.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ BLOCK = frozenset(
     "pre section summary table tbody tfoot thead tr ul".split())
 DROPPED = frozenset(
     "applet aside audio button canvas datalist dialog embed footer form frame frameset head iframe input "
-    "math menu nav noframes noscript object option script select style svg template textarea title video".split())
+    "menu nav noframes noscript object option script select style svg template textarea title video".split())
 SPACING = frozenset("br hr td th img".split())
 #: Words in class, id or role that name a part of a page that is no article.
 PARTS = frozenset(
@@ -36,6 +42,14 @@ PARTS = frozenset(
     "notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond "
     "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
     "widget widgets".split())
+#: Those of them that may name a part of an article, and the elements that may name any inside one.
+OF_ARTICLES = frozenset(
+    "alert banner copyright dialog disclaimer discussion form header login menu menubar modal notice notices "
+    "notification overlay respond search skip social toolbar".split())
+CONTAINERS = frozenset("aside div dl figure footer header nav ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the runs' text that articles hold where what stands beside them is left out.
+NEARLY = 0.8
 #: Widths in lines of the smoothing.
 SIGMA, RADIUS = 1.0, 3
 _KERNEL = np.exp(-0.5 * (np.arange(-RADIUS, RADIUS + 1) / SIGMA) ** 2)
@@ -48,10 +62,10 @@ class _Element:
         self.tag, self.parent, self.dropped, self.article = tag, parent, dropped, article
 
 
-def _names(attrs) -> set[str]:
+def _names(attrs, keys=("class", "id", "role")) -> set[str]:
     found: set[str] = set()
     for key, value in attrs:
-        if key in ("class", "id", "role") and value:
+        if key in keys and value:
             for c in "-_:/.":
                 value = value.replace(c, " ")
             found.update(value.lower().split())
@@ -106,8 +120,10 @@ class PageLines(HTMLParser):
             return True
         if tag in ("html", "body", "main"):
             return False
-        names = _names(attrs)
-        if names & PARTS and not (here.article and names & PARTS == {"header"}):
+        if here.article:
+            if tag in CONTAINERS and _names(attrs, ("class", "role")) & PARTS - OF_ARTICLES:
+                return True
+        elif (names := _names(attrs)) & PARTS:
             return tag != "article" or bool(names & {"ad", "advert", "comment", "comments", "promo", "related", "reply"})
         for key, value in attrs:
             if key == "hidden" or key == "aria-hidden" and value == "true":
@@ -194,14 +210,22 @@ def main_text(html: str | None) -> str:
                 held[element] = held.get(element, 0.0) + size
                 depth[element] = len(path) - i
     total = float(chars[rich].sum())
-    # the element that says it is the main part, if it holds all articles; else the smallest one that holds every rich line
-    named = [e for e in held if e.tag in ("main", "article") and held[e] == total]
-    whole = [e for e in held if held[e] == total and e.tag not in ("p", "b", "li")]
-    region = min(named, key=lambda e: (e.tag != "main", depth[e])) if named else max(whole, key=lambda e: depth[e])
-    inside = [region in _path(line[3]) for line in lines]
-    if not named:   # nothing says where the whole ends: leave out lists of links beside the articles
-        inside = [i and (line[3].article or x < 0.6 * n)
-                  for i, line, x, n in zip(inside, lines, linked.tolist(), chars.tolist())]
+    paths = [_path(line[3]) for line in lines]
+    outside = [(path, size) for path, size, take in zip(paths, chars.tolist(), rich.tolist()) if take]
+    mains = [e for e in held if e.tag == "main" and 2 * held[e] >= total
+             and not any(e not in path and any(x.tag == "article" for x in path) for path, _ in outside)]
+    articles = {e for e in held if e.tag == "article" and not any(x.tag == "article" for x in _path(e)[1:])}
+    if mains:
+        region = min(mains, key=lambda e: depth[e])
+        inside = [region in path for path in paths]
+    elif articles and sum(held[e] for e in articles) >= NEARLY * total:
+        inside = [line[3].tag in HEADINGS or any(e in articles for e in path) for line, path in zip(lines, paths)]
+    else:
+        whole = [e for e in held if held[e] == total and e.tag not in ("p", "b", "li")]
+        region = max(whole, key=lambda e: depth[e])
+        # nothing says where the whole ends: leave out lists of links beside the articles
+        inside = [region in path and (line[3].article or x < 0.6 * n)
+                  for path, line, x, n in zip(paths, lines, linked.tolist(), chars.tolist())]
     return "\n\n".join(line[0] for line, take in zip(lines, inside) if take)
 
 
@@ -221,8 +245,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Character references are decoded, white space inside a block becomes one space,
     blocks are trimmed and joined in page order by two line ends; nothing is shortened.
     Null and empty pages and pages without text give the empty text.  Broken markup is
-    read as far as the parser can.  Repeated rows and null ids are read row by row;
-    other columns are not read.
+    read as far as the parser can.  Repeated rows and null ids are read row by row; an
+    empty table gives no rows; other columns are not read.
     """
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long")

@@ -2,7 +2,9 @@
 
 import collections
 import math
+import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -250,6 +252,27 @@ def test_page_in_several_parts():
         "\n\n".join(long[:5] * 2 + long[5:])
 
 
+def test_articles_keep_their_own_text():
+    """Names that are no part's name inside an article, formulas, and text of others beside it."""
+    text = [f"Paragraph {i} " + "with quite a few words of running text in it, " * 4 + "all kept." for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    page = "<html><body><nav><a href='/'>Home</a></nav>{}<footer>us</footer></body></html>".format
+    for own, said in (('<h2 id="search">Search engines</h2>', "Search engines"),
+                      (f'<section id="related-work"><h2>Related work</h2><p>{text[0]}</p></section>', f"Related work\n\n{text[0]}"),
+                      ('<div class="alert"><p>Take care here.</p></div>', "Take care here."),
+                      ('<p class="share">The share of each.</p>', "The share of each."),
+                      ("<p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "Then x=2 holds.")):
+        for outer in ("article", "main"):
+            got = html_text.main_text(page(f"<{outer}>{body}{own}<p>{text[1]}</p></{outer}>"))
+            assert got == "\n\n".join([*text, said, text[1]]), (own, outer)
+    for outer, other in (("article", text[2]), ("main", "".join(text[2:5]))):
+        blurb = f'<div class="left"><p>{other}</p></div>'
+        for left in (f"{blurb}<{outer}>{body}</{outer}>", f"<{outer}>{body}</{outer}>{blurb}"):
+            assert html_text.main_text(page(left)) == "\n\n".join(text)
+    inside = f'<div class="newsletter-signup">Join us</div><ul class="share"><li>Post it</li></ul><div class="ad">Buy</div>'
+    assert html_text.main_text(page(f"<article>{body}{inside}</article>")) == "\n\n".join(text)
+
+
 def test_page_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (2, None, "", 5), (None, "v", "plain &lt;text&gt;", 5), (3, "w", "<![x[ <p>a<p>b", 5),
                                    (3, "w", "<p>" + "long word " * 30_000, 5), (4, "x", "<nav>only menu", 5)],
@@ -259,6 +282,15 @@ def test_page_edges(spark):
     assert got[4] == (3, "long word long word ", 299_999) and got[5] == (4, "", 0)
 
 
-def test_pages_of_the_table(table):
-    for r in html_text.extract(table("pages")).collect():
-        assert r["text"] and r["n_chars"] == len(r["text"])
+def test_pages_of_the_table_against_a_plain_cut(table):
+    """Blocks of the one article that each page has, cut out by patterns."""
+    pages = table("pages", "sf0.01")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    out = html_text.extract(pages).collect()
+    assert len(out) == len(html)
+    for r in out:
+        article = re.search(r"<article[^>]*>(.*)</article>", html[r["page_id"]], re.S)[1]
+        blocks = re.split(r"</?(?:p|h[1-6]|div|ul|li)\b[^>]*>", article)
+        plain = [" ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", b))).split()) for b in blocks]
+        assert r["text"] == "\n\n".join(b for b in plain if b) and r["n_chars"] == len(r["text"])
+    assert html_text.extract(pages.limit(0)).count() == 0
