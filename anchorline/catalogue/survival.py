@@ -310,13 +310,63 @@ def cox_one_term(t: Tables) -> DataFrame:
                       *[F.round(c, 4).alias(c) for c in ("z", "lower", "upper")], "converged")
 
 
-@query()
+# Newton steps for several terms.  Terms are rows; a level without events has an endless coefficient, in whose limit its
+# persons weigh nothing.  Sums over risk sets are kept by pairs of terms (0: the constant), steps by elimination.
+_TERMS = v.SURV + """,
+subject AS (SELECT row_number() OVER () AS id, fu_days AS time, died, admission_service, gender,
+                  CAST(year(index_date) AS VARCHAR) AS year_of_admission FROM followed WHERE fu_days >= 0),
+long AS (SELECT id, time, died, unnest(['admission_service', 'gender', 'year_of_admission']) AS c,
+                unnest([admission_service, gender, year_of_admission]) AS level FROM subject),
+levels AS (SELECT c, level, count(*) FILTER (WHERE died) AS events, row_number() OVER (PARTITION BY c ORDER BY level) AS place
+           FROM long GROUP BY 1, 2),
+term AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c, level) AS j, c, level FROM levels WHERE place > 1 AND events > 0),
+kept AS MATERIALIZED (SELECT * FROM subject WHERE id NOT IN (
+  SELECT id FROM long JOIN levels USING (c, level) WHERE place > 1 AND events = 0)),
+x AS MATERIALIZED (SELECT id, 0 AS j FROM kept UNION ALL SELECT id, j FROM kept JOIN long USING (id) JOIN term USING (c, level)),
+pairs AS MATERIALIZED (SELECT id, k.time, k.died, a.j, b.j AS k FROM x a JOIN x b USING (id) JOIN kept k USING (id)),
+moment AS MATERIALIZED (SELECT time, count(*) AS d FROM kept WHERE died GROUP BY 1),
+every AS (SELECT j FROM term UNION ALL SELECT 0),
+b0 AS MATERIALIZED (SELECT j, CAST(0 AS DOUBLE) AS beta FROM term)"""
+_STEP = """,
+w{n} AS MATERIALIZED (SELECT id, exp(coalesce(sum(beta), 0)) AS w FROM x LEFT JOIN b{n} USING (j) GROUP BY 1),
+s{n} AS (SELECT m.time, m.d, p.j, p.k, sum(w) AS s, coalesce(sum(w) FILTER (WHERE p.died AND p.time = m.time), 0) AS e
+         FROM moment m JOIN pairs p ON p.time >= m.time JOIN w{n} USING (id) GROUP BY 1, 2, 3, 4),
+q{n} AS MATERIALIZED (SELECT a.time, f, a.j, a.k, (a.s - f * a.e) / (o.s - f * o.e) AS q
+         FROM (SELECT *, unnest(range(0, d)) / d AS f FROM s{n}) a JOIN (SELECT time, s, e FROM s{n} WHERE j = 0 AND k = 0) o USING (time)),
+score{n} AS (SELECT j, (SELECT count(*) FROM x JOIN kept USING (id) WHERE died AND x.j = term.j)
+                       - (SELECT sum(q) FROM q{n} WHERE q{n}.j = term.j AND q{n}.k = 0) AS u FROM term),
+info{n} AS MATERIALIZED (SELECT a.j, b.j AS k, coalesce((SELECT sum(q) FROM q{n} WHERE q{n}.j = a.j AND q{n}.k = b.j), 0)
+           - (SELECT sum(y.q * z.q) FROM q{n} y JOIN q{n} z ON y.time = z.time AND y.f = z.f
+              WHERE y.j = a.j AND y.k = 0 AND z.j = b.j AND z.k = 0) AS v FROM term a CROSS JOIN term b),
+m{n} AS (SELECT list(line ORDER BY j) AS m FROM (
+  SELECT i.j, list_append(list(v ORDER BY k), any_value(u)) || list(CAST(i.j = k AS DOUBLE) ORDER BY k) AS line
+  FROM info{n} i JOIN score{n} USING (j) GROUP BY i.j)),
+solved{n} AS MATERIALIZED (
+  WITH RECURSIVE g(p, m) AS (
+    SELECT 1, m FROM m{n} UNION ALL
+    SELECT p + 1, list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda y: y / r[p])
+                  ELSE list_transform(r, lambda y, c: y - r[p] / m[p][p] * m[p][c]) END) FROM g WHERE p <= len(m))
+  SELECT m FROM g WHERE p = len(m) + 1),
+b{after} AS MATERIALIZED (SELECT j, beta + (SELECT m[j][len(m) + 1] FROM solved{n}) AS beta FROM b{n})"""
+_STEPS = 8
+
+
+@query(with_(_TERMS + "".join(_STEP.format(n=n, after=n + 1) for n in range(_STEPS))) + f""",
+fit AS (SELECT c || '=' || level AS term, beta, sqrt((SELECT m[j][len(m) + 1 + j] FROM solved{_STEPS - 1})) AS se
+        FROM b{_STEPS} JOIN term USING (j)),
+tested AS (SELECT *, beta / se AS z, pow(beta / se, 2) AS z2 FROM fit)
+SELECT term, round(beta, 4) AS coef, round(exp(beta), 4) AS hazard_ratio, round(se, 4) AS std_err, round(z, 3) AS z,
+       round({_NORMAL_P.format(x="z2")}, 4) AS p_value, round(exp(beta - 1.959963984540054 * se), 3) AS lower,
+       round(exp(beta + 1.959963984540054 * se), 3) AS upper, TRUE AS converged FROM tested
+UNION ALL SELECT c || '=' || level, '-Infinity'::DOUBLE, 0.0, NULL, NULL, NULL, 0.0, 'Infinity'::DOUBLE, FALSE
+FROM levels WHERE place > 1 AND events = 0""")
 def cox_ph(t: Tables) -> DataFrame:
-    """Hazard ratios by service and year of admission (iterative: no SQL twin)."""
+    """Hazard ratios by service, gender and year of admission, against Newton steps in SQL."""
     rows = followed(t).where(F.col("fu_days") >= 0).withColumn(
         "year_of_admission", F.year("index_date").cast("string"))
-    return sv.cox_ph(rows, "fu_days", "died",
-                     {"admission_service": ["F", "O"], "year_of_admission": None})
+    out = sv.cox_ph(rows, "fu_days", "died", {"admission_service": None, "gender": None, "year_of_admission": None})
+    return out.select("term", *[F.round(c, 4).alias(c) for c in ("coef", "hazard_ratio", "std_err", "p_value")],
+                      *[F.round(c, 3).alias(c) for c in ("z", "lower", "upper")], "converged")
 
 
 # --- tests -------------------------------------------------------------------

@@ -112,6 +112,8 @@ def levels_of(df: DataFrame, column: str) -> list:
     return sorted(r[0] for r in found)
 
 
+#: Where a coefficient without end is held: the weight of its level is nothing, or everything, to 13 digits.
+FAR = 30.0
 #: Numbers of a block of (event times x groups) that a task looks at together.
 BLOCK = 1 << 19
 
@@ -296,6 +298,27 @@ def _cox_totals(terms: int, betas: np.ndarray):
     return run
 
 
+def _monotone_part(levels: np.ndarray, later: dict):
+    """Of one time range: which levels (rows of ``levels``: signs over (1, x)) bound the likelihood.
+
+    A level's likelihood rises without end downwards unless, at some event time, one of its own has the event
+    while others are at risk; upwards unless one outside it has the event while it is at risk.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate([np.ones((len(pdf), 1)), np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)], axis=1) @ levels.T
+        times, t = np.unique(-pdf["time"].to_numpy(float), return_inverse=True)
+        exits, events = pdf["exits"].to_numpy(float), pdf["events"].to_numpy(float)
+        risk, dead = np.zeros((len(times), len(levels) + 1)), np.zeros((len(times), len(levels) + 1))
+        every = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+        np.add.at(risk, t, every * exits[:, None])
+        np.add.at(dead, t, every * events[:, None])
+        risk = risk.cumsum(0) + later.get(int(pdf["part"].iloc[0]), 0.0)
+        inside, n, d_in, d = risk[:, :-1], risk[:, -1:], dead[:, :-1], dead[:, -1:]
+        return pd.DataFrame({"level": range(len(levels)),
+                             "down": ((d_in > 0) & (inside < n)).any(0), "up": ((d_in < d) & (inside > 0)).any(0)})
+    return run
+
+
 def cox_ph(df: DataFrame, time: str, event: str, covariates: Mapping[str, Sequence | None],
            tol: float = 1e-9, conf: float = 0.95, store: str | None = None) -> DataFrame:
     """Proportional hazards on categorical covariates, Efron ties.
@@ -307,9 +330,11 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Mapping[str, Sequen
     try the whole step and its halves together; only p x p sums come to the driver.
 
     One row per term: coefficient, hazard ratio, standard error, z, p_value, limits, iterations
-    and converged.  A level that no finite coefficient fits (none of its persons has the
-    event, or all others lack it) is reported at the value where the likelihood stopped
-    rising, with infinite limits and converged = false.  Without terms there are no rows.
+    and converged.  A level that no finite coefficient fits is found before the first step, by its likelihood: it
+    rises without end (or says nothing) if no one in the level has the event while others are at risk, or nobody else while the
+    level is.  Its coefficient is infinite and ``converged`` false; all others are those of the limit.  If
+    it is the reference, so are all other levels of the covariate.  Without terms there are no rows.
+    Jobs run while the query is built.
     """
     spark = df.sparkSession
     found = {c: list(v) if v is not None else levels_of(df, c) for c, v in covariates.items()}
@@ -347,12 +372,41 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Mapping[str, Sequen
             out.append((row[0], row[1:1 + p], info + np.triu(info, 1).T))
         return out
 
-    beta, iterations = np.zeros(p), 0
+    # levels by (1, x): a term's own dummy, and for a reference what the covariate's terms leave
+    by_level, signs = [], []
+    for column, values in found.items():
+        mine = [i for i, (_, c, _) in enumerate(terms) if c == column]
+        if mine:
+            reference = np.zeros(p + 1)
+            reference[0], reference[np.array(mine) + 1] = 1, -1
+            by_level += [(mine, True), *[([i], False) for i in mine]]
+            signs += [reference, *np.eye(p + 1)[np.array(mine) + 1]]
+    levels = np.array(signs)
+    later, running = {}, 0.0
+    at_zero = patterns.groupBy("part").applyInPandas(_cox_totals(p, np.zeros((1, p))), "part int, k int, sums array<double>").collect()
+    for r in sorted(at_zero, key=lambda r: -r["part"]):      # per range: the numbers at risk after it
+        later[r["part"]] = running
+        n = np.array(r["sums"][:p + 1])
+        running = running + np.r_[levels @ n, n[0]]
+    bound = {r["level"]: r for r in patterns.groupBy("part").applyInPandas(
+        _monotone_part(levels, later), "level int, down boolean, up boolean")
+        .groupBy("level").agg(F.max("down").alias("down"), F.max("up").alias("up")).collect()}
+    beta, free = np.zeros(p), np.ones(p, bool)
+    for i, (mine, is_reference) in enumerate(by_level):
+        r = bound.get(i)
+        if r is not None and not (r["down"] and r["up"]):
+            sign = (1 if r["down"] else -1) * (-1 if is_reference else 1)
+            beta[mine] = sign * FAR
+            # against a separated reference the others keep their differences: one of them stands for all
+            free[mine[:1]] = False
+    endless = np.where(np.abs(beta) == FAR, np.copysign(np.inf, beta), 0.0)
+    iterations = 0
     loglik, score, info = sums(beta[None, :])[0]
-    while True:
-        step = np.linalg.pinv(info, rcond=1e-13, hermitian=True) @ score
+    while free.any():
+        step = np.zeros(p)
+        step[free] = np.linalg.pinv(info[np.ix_(free, free)], rcond=1e-13, hermitian=True) @ score[free]
         size = np.abs(step).max()
-        step = step * min(1.0, 4.0 / size) if size > 0 else step    # a runaway level moves in bounded steps
+        step = step * min(1.0, 4.0 / size) if size > 0 else step    # a runaway combination moves in bounded steps
         tries = [step / 2 ** k for k in range(4)]
         results = sums(np.array([beta + t for t in tries]))
         best = max(range(4), key=lambda k: (results[k][0], -k) if np.isfinite(results[k][0]) else (-np.inf, -k))
@@ -362,13 +416,16 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Mapping[str, Sequen
             beta, (loglik, score, info) = beta + tries[best], results[best]
         if gained <= tol * abs(loglik):
             break
+    # several levels together may still be without a finite fit: their information has vanished
     diagonal = np.diag(info)
-    settled = (diagonal > 1e-5 * max(1.0, diagonal.max())) | ((diagonal > 1e-9) & (np.abs(beta) < 8))
-    covariance = np.linalg.pinv(info, rcond=1e-13, hermitian=True)
+    settled = free & (endless == 0) & ((diagonal > 1e-5 * max(1.0, diagonal.max())) | ((diagonal > 1e-9) & (np.abs(beta) < 8)))
+    covariance = np.zeros((p, p))
+    covariance[np.ix_(free, free)] = np.linalg.pinv(info[np.ix_(free, free)], rcond=1e-13, hermitian=True)
     z = special.normal_quantile(0.5 + conf / 2)
     rows = []
-    for (name, _, _), b, var, ok in zip(terms, beta.tolist(), np.diag(covariance).tolist(), settled.tolist()):
+    for (name, _, _), b, far, var, ok in zip(terms, beta.tolist(), endless.tolist(), np.diag(covariance).tolist(), settled.tolist()):
         se = var ** 0.5 if ok and var > 0 else None
+        b = far or b
         if se is None:
             rows.append((name, b, math.exp(b), None, None, None, 0.0, float("inf"), iterations, False))
         else:

@@ -227,6 +227,26 @@ def test_levels_are_counted_before_they_are_collected(spark, monkeypatch):
         sv.levels_of(spark.range(11), "id")
 
 
+def test_levels_without_a_finite_fit_are_told_by_their_likelihood(spark):
+    people = [("a", s, t, e) for _, s, t, e in _random_people(5, 60)] + [("b", s, t, e) for _, s, t, e in _random_people(6, 60)]
+    never = [("c", s, t, False) for _, s, t, _ in _random_people(7, 30)]
+    first = [("d", "f", 0, True)] * 3     # the level's events all precede the others'
+    make = lambda data: spark.createDataFrame(data, "g string, sex string, t int, e boolean")
+    fit = lambda data, levels: {r["term"]: r for r in sv.cox_ph(make(data), "t", "e", {"g": levels, "sex": ["f", "m"]}).collect()}
+    plain = fit(people, ["a", "b"])
+    got = fit(people + never, ["a", "b", "c"])
+    assert got["g=c"]["coef"] == -math.inf and got["g=c"]["hazard_ratio"] == 0 and not got["g=c"]["converged"]
+    for term in plain:      # as if the level were not there
+        assert got[term]["converged"] and got[term]["coef"] == pytest.approx(plain[term]["coef"], abs=1e-6)
+        assert got[term]["std_err"] == pytest.approx(plain[term]["std_err"], rel=1e-5)
+    got = fit(people + first, ["a", "b", "d"])
+    assert got["g=d"]["coef"] == math.inf and not got["g=d"]["converged"]
+    assert got["g=b"]["coef"] == pytest.approx(plain["g=b"]["coef"], abs=1e-6)
+    got = fit(people + never, ["c", "a", "b"])      # the reference has no events: all others are endless against it
+    assert got["g=a"]["coef"] == got["g=b"]["coef"] == math.inf and got["sex=m"]["converged"]
+    assert got["sex=m"]["coef"] == pytest.approx(plain["sex=m"]["coef"], abs=1e-6)
+
+
 def test_cox_over_several_ranges(spark, monkeypatch):
     people = _random_people(11)
     df = spark.createDataFrame(people, "g string, sex string, t int, e boolean")
