@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from anchorline.llm import line_dedup, minhash_join, substring_dedup
@@ -84,9 +85,11 @@ def test_near_duplicates_deep_trees(docs, monkeypatch):
     assert got == brute.near_duplicates(dict(rows), 4)
 
 
-def test_near_duplicates_recall_in_a_wide_group(docs, monkeypatch):
+@pytest.mark.parametrize("outside,shingles", [(4, 1 << 21), (None, 1 << 21), (None, 3000)])
+def test_near_duplicates_recall_in_a_wide_group(docs, monkeypatch, outside, shingles):
     """Pairs just at the threshold among many documents of similarity 0.4 to 0.6."""
-    monkeypatch.setattr(minhash_join, "OUTSIDE", 4)
+    monkeypatch.setattr(minhash_join, "OUTSIDE", outside or minhash_join.OUTSIDE)
+    monkeypatch.setattr(minhash_join, "SHINGLES", shingles)
     base, rows = sentence(77, 400).split(), []
     for i in range(60):
         places = random.Random(i).sample(range(2, 398, 5), 23)      # no shingle holds two changes
@@ -104,6 +107,40 @@ def test_near_duplicates_recall_in_a_wide_group(docs, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("shingles", [1 << 21, 3000])
+def test_near_duplicates_of_a_dense_group_that_is_not_linked(docs, monkeypatch, shingles):
+    """Most pairs at a similarity of 0.75: too many for sketches to rule out, few links."""
+    monkeypatch.setattr(minhash_join, "SHINGLES", shingles)
+    monkeypatch.setattr(minhash_join, "TILE", 32)
+    base, rows = sentence(78, 300).split(), []
+    for i in range(150):
+        w = list(base)
+        for j in random.Random(i).sample(range(2, 298, 4), 10 + (i % 3 == 0) - 4 * (i % 50 == 0)):
+            w[j] = f"d{i}x{j}"
+        rows.append((i, " ".join(w)))
+    want = brute.near_duplicates(dict(rows), 4)
+    assert 1 < len({c for _, c in want.values()})
+    out = minhash_join.near_duplicate_classes(docs(rows), shingle=4, percent=80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == want
+
+
+def test_blocks_of_texts_give_the_links_of_all_pairs():
+    """The matrix path and the pair path of one block against plain sets."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(x if rng.random() > 0.03 else f"n{rng.random()}" for x in base) for _ in range(60)]
+    sets = [set(zip(*[t.split()[k:] for k in range(4)])) for t in texts]
+    for n_left, among in ((40, True), (40, False), (1, False)):
+        block = pa.table({"doc": list(range(60)), "label": [i if i != 7 else 3 for i in range(60)],
+                          "side": [0] * n_left + [1] * (60 - n_left), "among": [among] * 60, "size": [len(t) for t in texts],
+                          "packed": [pa.compress(t.encode(), codec="zstd", asbytes=True) for t in texts]})
+        got = minhash_join._compare(4, 80)(block).to_pydict()
+        links = [(i, j) for i in range(60) for j in range(i) if (j < n_left) and (i >= n_left or among)
+                 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and {i, j} != {3, 7}]
+        same = [(3, 7)]
+        assert brute.components(range(60), list(zip(got["a"], got["b"])) + same) == brute.components(range(60), links + same)
+
+
 @pytest.mark.parametrize("percent", [80, 50, 90])
 def test_trees_for_a_recall(percent):
     """The trees' misses over simulated branching stay within what was asked for."""
