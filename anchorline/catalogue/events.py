@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.catalogue import views as v
 from anchorline.catalogue.registry import Tables, query, with_
@@ -63,10 +63,7 @@ SELECT e.person_id, index_date, e.person_id IN (
 FROM ei e""")
 def combined_flag(t: Tables) -> DataFrame:
     """Condition by code or by measurement, as one flag over the cohort."""
-    cohort = v.event_index(t)
-    by_value = p.two_reading_rule(v.readings(t), cohort, THRESHOLDS, floor=1).where("meets_rule")
-    by_code = p.diagnosis_before(cohort, v.coded_events(t), {"error"}).where("diagnosed")
-    return p.combine_flags(cohort, by_code, by_value)
+    return p.flag_by_code_or_value(v.event_index(t), v.readings(t), {"error"}, THRESHOLDS, floor=1)
 
 
 @query(with_(v.EI, """coded AS (
@@ -268,6 +265,10 @@ def _pairs(t: Tables, bounds) -> DataFrame:
     return m.paired_reading(_moments(t), v.event_index(t), bounds, RANGES, PAIR, floor=1)
 
 
+def _change(t: Tables) -> DataFrame:
+    return m.paired_change(_moments(t), v.event_index(t), before(365), after(365), RANGES, PAIR, floor=1)
+
+
 @query(with_(v.EI, _PRE) + """
 SELECT person_id, moment AS reading_time, purchase, view FROM pair_pre""")
 def paired_reading_pre(t: Tables) -> DataFrame:
@@ -290,7 +291,7 @@ SELECT a.person_id, a.purchase AS pre_purchase, a.view AS pre_view,
 FROM pair_pre a JOIN pair_post b ON a.person_id = b.person_id""")
 def before_after(t: Tables) -> DataFrame:
     """Persons with a pair on both sides, and the change."""
-    return m.before_after(_pairs(t, before(365)), _pairs(t, after(365)), PAIR)
+    return _change(t)
 
 
 @query("""
@@ -321,10 +322,13 @@ _CAUSE = """cause AS (
     AND end_date > index_date AND date_diff('day', index_date, end_date) <= 365)"""
 
 
+def _is_cause() -> Column:
+    return (F.col("cause_code_1").startswith("1-") | F.col("cause_code_1").contains("HIGH")
+            | F.col("cause_code_4").contains("Q"))
+
+
 def _cause(t: Tables) -> DataFrame:
-    is_cause = (F.col("cause_code_1").startswith("1-") | F.col("cause_code_1").contains("HIGH")
-                | F.col("cause_code_4").contains("Q"))
-    return o.cause_death(v.registry(t), v.index_people(t), is_cause)
+    return o.cause_death(v.registry(t), v.index_people(t), _is_cause())
 
 
 @query(with_(v.SPELLS, v.PERSON, v.REGISTRY, v.IDX, _CAUSE) + "SELECT * FROM cause")
@@ -375,13 +379,11 @@ _TYPED = """typed AS (
 
 
 def _composite(t: Tables) -> DataFrame:
-    rows, people = v.episodes(t), v.index_people(t)
-    promo = o.episodes_after(rows, people, ["diagnosis_1"], codes={"PROMO", "Brand#1"},
-                             filler=None, first_in_spell=False)
-    economy = o.first_event_after(rows.where(F.col("site") == "R"), people, ["diagnosis_1"],
-                                  prefixes=["ECONOMY"], filler=None)
-    return o.composite_outcome(o.typed(_cause(t), "death"), o.typed(promo, "promo"),
-                               o.typed(economy, "economy"))
+    rules = {"promo": o.EventRule(["diagnosis_1"], codes={"PROMO", "Brand#1"}),
+             "economy": o.EventRule(["diagnosis_1"], prefixes=["ECONOMY"], only=F.col("site") == "R",
+                                    first_in_spell=True, first_only=True)}
+    deaths = o.typed(o.death_record(v.registry(t), _is_cause()).withColumn("event_time", F.col("end_date")), "death")
+    return o.tagged_events_after(v.episodes(t), v.index_people(t), rules, deaths)
 
 
 @query(with_(v.SPELLS, v.PERSON, v.REGISTRY, v.IDX, v.EP, _CAUSE, _TYPED) + "SELECT * FROM typed")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from anchorline.catalogue import views as v
-from anchorline.catalogue.events import (CLASSES, CODED, PAIR, _AFTER, _CODED, _LONG, _POST, _PRE,
-                                         _composite, _long, _pairs, _TYPED, _CAUSE)
+from anchorline.catalogue.events import (CLASSES, CODED, _AFTER, _CODED, _LONG, _POST, _PRE,
+                                         _change, _composite, _long, _TYPED, _CAUSE)
 from anchorline.catalogue.registry import Tables, query, with_
-from anchorline.functions.dates import after, before
-from anchorline.plans import cohort as c, measure as m, outcome as o, rates as r, stats as st
+from anchorline.plans import cohort as c, outcome as o, rates as r, stats as st
 from anchorline.plans import survival as sv
 from anchorline.operators.tabulate import prevalence
 
@@ -397,8 +396,7 @@ w AS (SELECT *, md / (sd / sqrt(n)) AS t, CAST(n - 1 AS DOUBLE) AS df FROM s)"""
 SELECT n, round(md, 6) AS mean_difference, round(t, 6) AS t, df, round({_T_P}, 6) AS p_value FROM w""")
 def paired_t(t: Tables) -> DataFrame:
     """Reading before against reading after, paired by person."""
-    both = m.before_after(_pairs(t, before(365)), _pairs(t, after(365)), PAIR)
-    return st.paired_t(both, "pre_purchase", "post_purchase")
+    return st.paired_t(_change(t), "pre_purchase", "post_purchase")
 
 
 _MC = " UNION ALL ".join(f"SELECT person_id, time_status, '{k}' AS drug_class, {k} AS taken FROM long"

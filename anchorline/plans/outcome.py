@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Sequence
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -73,13 +75,63 @@ def cause_death(registry: DataFrame, cohort: DataFrame, is_cause: Column,
     Duplicate records: the earliest known date of death wins, undated records
     come last, then the latest registration.
     """
+    record = death_record(restrict_to(registry, cohort), is_cause)
+    return anchored_window(record, cohort, bounds, time="end_date").select(
+        PERSON, INDEX, F.col("end_date").cast("timestamp_ntz").alias(TIME))
+
+
+def death_record(registry: DataFrame, is_cause: Column) -> DataFrame:
+    """A person's one registry record, if it names the cause."""
     require(registry, PERSON, "dod", "reg_date", "end_date", "cause_code_1", "cause_code_4")
     order = [F.col("dod").asc_nulls_last(), F.col("reg_date").desc_nulls_last(),
              F.col("end_date").asc_nulls_last(), F.col("cause_code_1").asc_nulls_last(),
              F.col("cause_code_4").asc_nulls_last()]
-    record = first_per(restrict_to(registry, cohort), PERSON, order).where(is_cause)
-    return anchored_window(record, cohort, bounds, time="end_date").select(
-        PERSON, INDEX, F.col("end_date").cast("timestamp_ntz").alias(TIME))
+    return first_per(registry, PERSON, order).where(is_cause)
+
+
+@dataclass(frozen=True)
+class EventRule:
+    """Which episodes are events of a type.
+
+    ``codes`` and ``prefixes`` are tested on any of ``columns``; ``only`` is a further condition; with
+    ``first_in_spell`` an episode must open its stay, with ``first_only`` a person's first event counts alone.
+    """
+
+    columns: Sequence[str]
+    codes: Collection[str] = ()
+    prefixes: Sequence[str] = ()
+    only: Column | None = None
+    first_in_spell: bool = False
+    first_only: bool = False
+
+    def holds(self) -> Column:
+        tests = [F.col(c).isin(sorted(self.codes)) for c in self.columns if self.codes]
+        tests += [F.col(c).startswith(p) for c in self.columns for p in self.prefixes]
+        hit = reduce(lambda a, b: a | b, tests) if tests else F.lit(True)
+        if self.first_in_spell:
+            hit = hit & (F.col("episode_sequence") == 1)
+        return hit if self.only is None else hit & self.only
+
+
+def tagged_events_after(episodes: DataFrame, cohort: DataFrame, rules: Mapping[str, EventRule],
+                        *others: DataFrame, bounds: Bounds = YEAR) -> DataFrame:
+    """Distinct typed events in the window, for any number of types from one pass over the episodes.
+
+    An episode is laid out once per type whose rule it meets; all types meet the cohort in one join and one
+    aggregate settles both distinct events and first events.  ``others`` are further (person, time, type)
+    events, such as deaths, that join the same way.
+    """
+    names = list(rules)
+    tags = F.array_compact(F.array(*[F.when(rule.holds(), F.lit(name)) for name, rule in rules.items()]))
+    rows = (episodes.withColumn("event_types", tags).where(F.size("event_types") > 0)
+            .select(PERSON, F.col(TIME).cast("timestamp_ntz").alias(TIME), F.explode("event_types").alias("event_type")))
+    for other in others:
+        rows = rows.unionByName(other.select(PERSON, F.col(TIME).cast("timestamp_ntz").alias(TIME), "event_type"))
+    near = anchored_window(rows, cohort, bounds)
+    firsts = [name for name in names if rules[name].first_only]
+    own = F.when(~F.col("event_type").isin(firsts), F.col(TIME)) if firsts else F.col(TIME)
+    return (near.groupBy(PERSON, "event_type", own.alias("__own")).agg(F.min(TIME).alias(TIME))
+            .select(PERSON, TIME, "event_type"))
 
 
 def typed(events: DataFrame, event_type: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,8 +48,12 @@ def two_reading_rule(events: DataFrame, cohort: DataFrame, thresholds: Mapping[s
     if floor is not None:
         usable = usable & (F.col("value") > floor)
     recent = anchored_window(events.where(usable), cohort, bounds or years_before(2))
-    ranked = top_n_per(daily_min(recent), [PERSON, "kind"],
-                       [F.col("low").desc(), F.col("day")], 2, rank_as="nth")
+    return _two_highest(daily_min(recent), thresholds)
+
+
+def _two_highest(daily: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
+    """Per person and kind the two highest of the daily minima, and the rule."""
+    ranked = top_n_per(daily, [PERSON, "kind"], [F.col("low").desc(), F.col("day")], 2, rank_as="nth")
     pairs = ranked.groupBy(PERSON, "kind").agg(
         F.max(F.when(F.col("nth") == 1, F.col("low"))).alias("first_reading"),
         F.max(F.when(F.col("nth") == 2, F.col("low"))).alias("second_reading"))
@@ -61,6 +65,30 @@ def two_reading_rule(events: DataFrame, cohort: DataFrame, thresholds: Mapping[s
     return pairs.where(F.col("second_reading").isNotNull()).withColumn("meets_rule", both)
 
 
+def flag_by_code_or_value(cohort: DataFrame, events: DataFrame, codes: Collection[str], thresholds: Mapping[str, float],
+                          bounds: Bounds | None = None, floor: float | None = None, flag_as: str = "flag") -> DataFrame:
+    """Cohort with one boolean: first coded before the index date, or the two-reading rule holds.
+
+    ``events`` has ``kind`` (a code or a measurement's name) and ``value``.  Codes and readings come from one scan and
+    meet the cohort once: per person, day and kind there is the first time and the lowest usable reading, and both
+    rules are settled on these.  A code anywhere must itself precede the index, as in ``diagnosis_before``.
+    """
+    is_code = F.col("kind").isin(sorted(codes))
+    usable = F.col("kind").isin(sorted(thresholds))
+    if floor is not None:
+        usable = usable & (F.col("value") > floor)
+    window = (bounds or years_before(2))(F.col(TIME), F.col(INDEX))
+    met = spread_join(events.where(is_code | usable), cohort.select(PERSON, INDEX), [PERSON])
+    daily = met.where(is_code | window).groupBy(PERSON, F.to_date(TIME).alias("day"), "kind").agg(
+        F.min(F.when(is_code, F.col(TIME))).alias("coded_at"), F.min(INDEX).alias(INDEX),
+        F.min(F.when(usable & window, F.col("value"))).alias("low"))
+    # a day's row is ranked only among readings; codes reduce to their first
+    by_code = (daily.groupBy(PERSON).agg(F.min("coded_at").alias("coded_at"), F.min(INDEX).alias(INDEX))
+               .where(F.col("coded_at") < as_datetime(F.col(INDEX))))
+    by_value = _two_highest(daily.where(F.col("low").isNotNull()), thresholds).where("meets_rule")
+    return combine_flags(cohort, by_code, by_value, flag_as=flag_as)
+
+
 def combine_flags(cohort: DataFrame, *flagged: DataFrame, flag_as: str = "flag") -> DataFrame:
     """Cohort with one boolean: the person occurs in any of the ``flagged`` frames."""
     found = flagged[0].select(PERSON)

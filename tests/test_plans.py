@@ -36,6 +36,13 @@ def test_two_reading_rule(frame, cohort):
     got = p.two_reading_rule(events, cohort, {"systolic": 140, "diastolic": 90}, floor=10)
     assert rows(got) == [(1, "systolic", 150.0, 141.0, True), (2, "systolic", 150.0, 140.0, False)]
     flags = p.combine_flags(cohort.select("person_id"), got.where("meets_rule"), got.where("meets_rule"))
+    coded = events.unionByName(frame("person_id long, event_time timestamp_ntz, kind string, value double",
+                                     (3, "2017-01-01", "C1", None), (2, "2030-01-01", "C1", None)))
+    limits = {"systolic": 140, "diastolic": 90}
+    one = p.flag_by_code_or_value(cohort.select("person_id", "index_date"), coded, {"C1"}, limits, floor=10)
+    two = p.combine_flags(cohort.select("person_id", "index_date"), got.where("meets_rule"), p.diagnosis_before(
+        cohort, coded, {"C1"}, code="kind").where("diagnosed"))
+    assert rows(one) == rows(two) and {r["flag"] for r in one.collect()} == {True, False}
     assert rows(flags) == [(1, True), (2, False), (3, False)]
 
 
@@ -120,6 +127,17 @@ def test_paired_reading(frame, cohort):
     assert rows(post.select(shown)) == [(3, "2018-09-01 00:00:00", 135.0, 75.0)]
     both = m.before_after(loose, post.withColumn("person_id", F.lit(1).cast("long")))
     assert rows(both.select("systolic_difference", "diastolic_difference")) == [(-15.0, -5.0)]
+    sides = {"pre": before(365), "post": after(365), "any": lambda t, i: t.isNotNull()}
+    tagged = m.paired_sides(events, cohort, sides, ranges, pick="earliest")
+    for tag, bounds in sides.items():
+        own = m.paired_reading(events, cohort, bounds, ranges, pick="earliest")
+        assert rows(tagged.where(F.col("side") == tag).drop("side")) == rows(own)
+    more = events.unionByName(events.where("person_id = 2 AND event_time > '2018-01-01'").withColumn(
+        "event_time", F.expr("make_timestamp_ntz(2018, 11, 5, 8, 0, 0)")).withColumn("value", F.col("value") - 4))
+    change = m.paired_change(more, cohort, before(365), after(365), ranges, pick="earliest")
+    old = m.before_after(m.paired_reading(more, cohort, before(365), ranges, pick="earliest"),
+                         m.paired_reading(more, cohort, after(365), ranges, pick="earliest"))
+    assert rows(change) == rows(old.select(change.columns)) and change.count()
     assert rows(m.plausible(events.where("person_id = 3"), "value", 10, 91).select("value"))[0] == (75.0,)
 
 
