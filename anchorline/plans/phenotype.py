@@ -48,12 +48,8 @@ def two_reading_rule(events: DataFrame, cohort: DataFrame, thresholds: Mapping[s
     if floor is not None:
         usable = usable & (F.col("value") > floor)
     recent = anchored_window(events.where(usable), cohort, bounds or years_before(2))
-    return _two_highest(daily_min(recent), thresholds)
-
-
-def _two_highest(daily: DataFrame, thresholds: Mapping[str, float]) -> DataFrame:
-    """Per person and kind the two highest of the daily minima, and the rule."""
-    ranked = top_n_per(daily, [PERSON, "kind"], [F.col("low").desc(), F.col("day")], 2, rank_as="nth")
+    ranked = top_n_per(daily_min(recent), [PERSON, "kind"],
+                       [F.col("low").desc(), F.col("day")], 2, rank_as="nth")
     pairs = ranked.groupBy(PERSON, "kind").agg(
         F.max(F.when(F.col("nth") == 1, F.col("low"))).alias("first_reading"),
         F.max(F.when(F.col("nth") == 2, F.col("low"))).alias("second_reading"))
@@ -70,8 +66,9 @@ def flag_by_code_or_value(cohort: DataFrame, events: DataFrame, codes: Collectio
     """Cohort with one boolean: first coded before the index date, or the two-reading rule holds.
 
     ``events`` has ``kind`` (a code or a measurement's name) and ``value``.  Codes and readings come from one scan and
-    meet the cohort once: per person, day and kind there is the first time and the lowest usable reading, and both
-    rules are settled on these.  A code anywhere must itself precede the index, as in ``diagnosis_before``.
+    meet the cohort once.  An event is laid out as a code, a reading or both; per person, day and kind a code keeps
+    its first time and a reading its lowest value, and of these the first code and the two highest readings
+    settle the rules.  A code anywhere must itself precede the index, as in ``diagnosis_before``.
     """
     is_code = F.col("kind").isin(sorted(codes))
     usable = F.col("kind").isin(sorted(thresholds))
@@ -79,14 +76,24 @@ def flag_by_code_or_value(cohort: DataFrame, events: DataFrame, codes: Collectio
         usable = usable & (F.col("value") > floor)
     window = (bounds or years_before(2))(F.col(TIME), F.col(INDEX))
     met = spread_join(events.where(is_code | usable), cohort.select(PERSON, INDEX), [PERSON])
-    daily = met.where(is_code | window).groupBy(PERSON, F.to_date(TIME).alias("day"), "kind").agg(
-        F.min(F.when(is_code, F.col(TIME))).alias("coded_at"), F.min(INDEX).alias(INDEX),
-        F.min(F.when(usable & window, F.col("value"))).alias("low"))
-    # a day's row is ranked only among readings; codes reduce to their first
-    by_code = (daily.groupBy(PERSON).agg(F.min("coded_at").alias("coded_at"), F.min(INDEX).alias(INDEX))
-               .where(F.col("coded_at") < as_datetime(F.col(INDEX))))
-    by_value = _two_highest(daily.where(F.col("low").isNotNull()), thresholds).where("meets_rule")
-    return combine_flags(cohort, by_code, by_value, flag_as=flag_as)
+    code = F.when(is_code, F.struct(F.lit(True).alias("code"), F.col(TIME).alias("at"), F.lit(None).cast("double").alias("value")))
+    reading = F.when(usable & window, F.struct(F.lit(False).alias("code"), F.lit(None).cast("timestamp_ntz").alias("at"),
+                                               F.col("value").cast("double").alias("value")))
+    roles = met.select(PERSON, INDEX, "kind", F.to_date(TIME).alias("day"), F.inline(F.array_compact(F.array(code, reading))))
+    # all codes are one kind: only the first of any counts
+    daily = (roles.groupBy(PERSON, INDEX, "code", F.when(~F.col("code"), F.col("kind")).alias("kind"),
+                           F.when(~F.col("code"), F.col("day")).alias("day"))
+             .agg(F.min("at").alias("at"), F.min("value").alias("low")))
+    ranked = top_n_per(daily, [PERSON, "code", "kind"], [F.col("low").desc(), F.col("day")], 2, rank_as="nth")
+    limit = F.lit(None).cast("double")
+    for kind, at in thresholds.items():
+        limit = F.when(F.col("kind") == kind, F.lit(float(at))).otherwise(limit)
+    # both of a kind's two highest over its limit: the lower of two is
+    by_kind = ranked.groupBy(PERSON, "kind").agg(
+        F.count("low").alias("n"), F.min("low").alias("least"),
+        F.max(F.col("at") < as_datetime(F.col(INDEX))).alias("coded"))
+    found = by_kind.where(F.col("coded") | ((F.col("n") == 2) & (F.col("least") > limit)))
+    return combine_flags(cohort, found, flag_as=flag_as)
 
 
 def combine_flags(cohort: DataFrame, *flagged: DataFrame, flag_as: str = "flag") -> DataFrame:
