@@ -115,15 +115,20 @@ def _links(threshold: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int = 14,
+def bits_for(vectors: int) -> int:
+    """Bits of a signature: 14, and from 2^18 different vectors on so many that unrelated ones share a bucket with about 16."""
+    return min(30, max(14, math.ceil(math.log2(max(vectors, 1))) - 4))
+
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, bits: int | None = None,
                            recall: float = 0.999) -> DataFrame:
     """One row per vec_id: vec_id, n_links, component_id, kept.
 
     ``vectors`` holds vec_id and embedding (array of numbers).  Vectors are linked if their
     cosine in double precision is at least ``threshold``; a pair exactly at it is found with
     probability ``recall``, a pair below it never counts.  ``n_links`` counts the other vectors
-    linked directly, ``component_id`` is the least vec_id reachable over links.  ``bits`` should grow with
-    the logarithm of the number of vectors.
+    linked directly, ``component_id`` is the least vec_id reachable over links.  ``bits`` follows from the number of
+    different vectors (``bits_for``), and the number of tables from ``bits``.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors of
     different lengths, are not linked.  Equal vectors are compared once and counted
@@ -137,6 +142,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95, bits: in
     base = base.withColumn("vector", F.when(sound, F.col("vector")))
     classes = written(base.where("vector is not null").groupBy("vector")
                       .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    if bits is None:
+        bits = bits_for(classes.count())
     tables = tables_for(threshold, bits, recall)
     signed = written(classes.select("rep", "copies", "vector").mapInArrow(
         _sign(tables, bits), "rep long, copies long, vector array<double>, signatures array<int>"))

@@ -63,3 +63,7 @@ def test_recall_sets_the_tables():
     n = embedding_dedup.tables_for(0.95, 14, 0.999)
     agree = (1 - math.acos(0.95) / math.pi) ** 14
     assert 1 - (1 - agree) ** n >= 0.999 > 1 - (1 - agree) ** (n - 1)
+
+
+def test_bits_follow_the_vectors():
+    assert [embedding_dedup.bits_for(n) for n in (0, 1, 10_000, 1 << 18, 1 << 20, 1 << 30, 1 << 40)] == [14, 14, 14, 14, 16, 26, 30]
