@@ -20,10 +20,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from anchorline.llm.common import first_copies, one_row_per_id, written
 
@@ -148,26 +147,40 @@ def _runs(starts, length: int) -> list[tuple[int, int]]:
     return runs
 
 
-def _cut(min_lines: int, min_words: int | None):
-    @F.pandas_udf("text string, n_lines long, n_removed long")
-    def cut(texts: pd.Series, starts: pd.Series, singles: pd.Series, whole: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, at, alone, copy in zip(texts, starts, singles, whole):
-            lines = (text or "").split("\n")
-            solid = [i for i, line in enumerate(lines) if line.strip(" \t\r\x0b\x0c")]
-            gone: set[int] = set()
-            if copy and len(solid) >= min_lines:
-                gone.update(solid)
-            elif copy and min_words is not None:
-                gone.update(i for i in solid if len(_WORD.findall(lines[i])) >= min_words)
-            for first, end in _runs(at, min_lines) if at is not None else ():
-                gone.update(solid[first:end])
-            for i in alone if alone is not None else ():
-                gone.add(solid[i])
-            kept = text if not gone else "\n".join([x for i, x in enumerate(lines) if i not in gone])
-            out.append((kept, len(solid), len(gone)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
-    return cut
+#: Rows whose texts a task holds as strings at a time.
+ROWS = 256
+
+
+def _cut(min_lines: int, min_words: int | None, names: list[str]):
+    """Rows (*names, _starts, _singles, _whole) with the text cut, and n_lines and n_removed in place of the marks."""
+    text_at, many = names.index("text"), len(names)
+
+    def cut_one(text, at, alone, copy) -> tuple[str | None, int, int]:
+        lines = (text or "").split("\n")
+        solid = [i for i, line in enumerate(lines) if line.strip(" \t\r\x0b\x0c")]
+        gone: set[int] = set()
+        if copy and len(solid) >= min_lines:
+            gone.update(solid)
+        elif copy and min_words is not None:
+            gone.update(i for i in solid if len(_WORD.findall(lines[i])) >= min_words)
+        for first, end in _runs(at, min_lines) if at is not None else ():
+            gone.update(solid[first:end])
+        for i in alone if alone is not None else ():
+            gone.add(solid[i])
+        return (text if not gone else "\n".join([x for i, x in enumerate(lines) if i not in gone])), len(solid), len(gone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                marks = [part.column(k).to_pylist() for k in (text_at, many, many + 1, many + 2)]
+                out = [cut_one(*row) for row in zip(*marks)]
+                columns = part.columns[:many]
+                columns[text_at] = pa.array([x[0] for x in out], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())],
+                    names=[*names, "n_lines", "n_removed"])
+    return run
 
 
 def remove_repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
@@ -204,8 +217,8 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int |
         marks = marks.join(single.groupBy("doc_id").agg(F.collect_list("pos").alias("_singles")), "doc_id", "full")
     whole = copies.where("doc_id <> first_id").select("doc_id", F.lit(True).alias("_whole"))
     marks = marks.join(whole, "doc_id", "full")
-    cut = _cut(min_lines, min_words)("text", "_starts", "_singles", F.coalesce("_whole", F.lit(False)))
-    out = base.join(marks, "doc_id", "left").withColumn("_cut", cut)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names],
-                      "_cut.n_lines", "_cut.n_removed")
+    rows = base.join(marks, "doc_id", "left").select(
+        *[F.col(f"`{c}`") for c in names], "_starts", "_singles", F.coalesce("_whole", F.lit(False)).alias("_whole"))
+    schema = T.StructType([*rows.schema.fields[:len(names)], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return rows.mapInArrow(_cut(min_lines, min_words, names), schema)

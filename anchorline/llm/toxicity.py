@@ -21,6 +21,8 @@ from anchorline.llm.common import written
 from anchorline.llm.words import LETTERS, NOT_SPACE, Words, text_slices
 
 BEGINNINGS = (None, 4, 5, 6)
+#: Bytes of text whose features a task holds at a time.
+SLICE_BYTES = 1 << 20
 SIGNS = NOT_SPACE & ~LETTERS & ~np.isin(np.arange(256), list(b"0123456789"))
 
 
@@ -42,7 +44,7 @@ def _features(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
 def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose last column is text, with their distinct feature hashes in its place, a slice of text at a time."""
     for batch in batches:
-        for row, offsets, data in text_slices(batch.column(batch.num_columns - 1)):
+        for row, offsets, data in text_slices(batch.column(batch.num_columns - 1), SLICE_BYTES):
             found, of = _features(offsets, data)
             order = np.lexsort((found, of))
             found, of = found[order], of[order]
@@ -189,7 +191,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """
     @F.arrow_udf("array<double>")
     def probabilities(texts: pa.Array) -> pa.Array:
-        out = [chain.probabilities(offsets, data) for _, offsets, data in text_slices(texts)]
+        out = [chain.probabilities(offsets, data) for _, offsets, data in text_slices(texts, SLICE_BYTES)]
         flat = np.concatenate(out).ravel() if out else np.zeros(0)
         many = len(chain.categories)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * many), pa.array(flat))
