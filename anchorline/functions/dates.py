@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
@@ -10,6 +11,18 @@ Bounds = Callable[[Column, Column], Column]
 """A window around an index date: ``bounds(event, index) -> predicate``."""
 
 
+@dataclass(frozen=True)
+class Reach:
+    """Bounds that also say how many days from the index date an event can lie, at least and at most (None: any)."""
+
+    holds: Bounds
+    first: int | None = None
+    last: int | None = None
+
+    def __call__(self, event: Column, index: Column) -> Column:
+        return self.holds(event, index)
+
+
 def years_between(start: Column, end: Column) -> Column:
     """Calendar-year boundaries crossed (31 Dec -> 1 Jan is one year)."""
     return F.year(end) - F.year(start)
@@ -50,35 +63,36 @@ def parse_date(column: Column, *formats: str) -> Column:
 
 # --- windows around the index date ------------------------------------------
 
-def after(days: int) -> Bounds:
+def after(days: int) -> Reach:
     """Strictly after the index moment, at most ``days`` midnights later."""
-    return lambda event, index: (event > index) & (days_between(index, event) <= days)
+    return Reach(lambda event, index: (event > index) & (days_between(index, event) <= days), 0, days)
 
 
-def before(days: int) -> Bounds:
+def before(days: int) -> Reach:
     """Strictly before the index moment, at most ``days`` midnights earlier."""
-    return lambda event, index: (event < index) & (days_between(event, index) <= days)
+    return Reach(lambda event, index: (event < index) & (days_between(event, index) <= days), -days, 0)
 
 
-def ever_before() -> Bounds:
-    return lambda event, index: event < index
+def ever_before() -> Reach:
+    return Reach(lambda event, index: event < index, None, 0)
 
 
-def ever_after() -> Bounds:
-    return lambda event, index: event > index
+def ever_after() -> Reach:
+    return Reach(lambda event, index: event > index, 0, None)
 
 
-def years_before(years: int) -> Bounds:
+def years_before(years: int) -> Reach:
     """Before the index moment and at most ``years`` calendar years back."""
-    return lambda event, index: (event < index) & (years_between(event, index) <= years)
+    return Reach(lambda event, index: (event < index) & (years_between(event, index) <= years), -366 * (years + 1), 0)
 
 
-def around(days: int) -> Bounds:
+def around(days: int) -> Reach:
     """Within ``days`` either side, both ends included."""
-    return lambda event, index: event.between(shift_days(index, -days), shift_days(index, days))
+    return Reach(lambda event, index: event.between(shift_days(index, -days), shift_days(index, days)), -days - 1, days + 1)
 
 
-def month_range(first: int, last: int) -> Bounds:
+def month_range(first: int, last: int) -> Reach:
     """Between two month offsets (negative = before), both ends included."""
-    return lambda event, index: event.between(
-        shift_months(index, first), shift_months(index, last))
+    # a month has 28 to 31 days, and the last day of a month is shifted by up to three more
+    return Reach(lambda event, index: event.between(shift_months(index, first), shift_months(index, last)),
+                 (28 if first >= 0 else 31) * first - 4, (31 if last >= 0 else 28) * last + 4)

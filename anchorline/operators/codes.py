@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.functions.text import code_prefix, strip_filler
-from anchorline.operators.joins import spread_join
+from anchorline.operators.joins import salted_join, spread_join
 
 #: A list of at most so many codes becomes a literal set.
 LITERAL_CODES = 10_000
@@ -67,21 +67,26 @@ def any_code_prefix(df: DataFrame, columns: Sequence[str], prefixes: Sequence[st
                           for c in columns for p in prefixes]))
 
 
-def code_in(df: DataFrame, column: str, codes: CodeList) -> DataFrame:
-    """Single-column restriction; semi join, so repeated codes do no harm."""
+def code_in(df: DataFrame, column: str, codes: CodeList, measured: bool = False) -> DataFrame:
+    """Single-column restriction; semi join, so repeated codes do no harm (``measured``: see ``map_codes``)."""
     if not isinstance(codes, DataFrame):
         return df.where(F.col(column).isin(sorted(set(codes))))
     listed = codes.select(F.col(codes.columns[0]).alias(column))
+    if measured:
+        return salted_join(df, listed, column, "left_semi").select(*df.columns)
     return spread_join(df, listed, [column], "left_semi").select(*df.columns)
 
 
 def map_codes(df: DataFrame, lookup: DataFrame, column: str, lookup_code: str,
-              *carry: str) -> DataFrame:
+              *carry: str, measured: bool = False) -> DataFrame:
     """Bring lookup columns to each row by code; unmapped rows keep NULLs.
 
-    A code the lookup lists several times yields one row per listing.
+    A code the lookup lists several times yields one row per listing.  With ``measured`` the rows are read
+    once more to find codes that own a large share of them, and these are dealt over salted copies.
     """
     side = lookup.select(F.col(lookup_code).cast("string").alias(column), *carry)
+    if measured:
+        return salted_join(df, side, column, "left")
     return spread_join(df, side, [column], "left")
 
 

@@ -14,11 +14,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from anchorline.functions.dates import Bounds
+from anchorline.functions.dates import Bounds, Reach
 from anchorline.schema import INDEX, PERSON, TIME, require
 
 
-_HASH = "__key_hash"
+_HASH, _BIN, _SALT = "__key_hash", "__time_bin", "__salt"
 
 
 def bucketed_on(df: DataFrame, on: Sequence[str]) -> bool:
@@ -68,16 +68,65 @@ def exclude(df: DataFrame, drop: DataFrame, key: str = PERSON) -> DataFrame:
 
 
 def anchored_window(events: DataFrame, cohort: DataFrame, bounds: Bounds,
-                    time: str = TIME, carry: Sequence[str] = ()) -> DataFrame:
+                    time: str = TIME, carry: Sequence[str] = (), year_column: str | None = None,
+                    bin_days: int | None = None) -> DataFrame:
     """Events inside a window around their person's index date.
 
     Inner join on the person, so the cohort restriction and the date filter
     happen in one step.  Adds the index date and the ``carry`` cohort columns.
+
+    With ``year_column``, the events' partition column that holds their year, only years that the cohort's
+    earliest and latest index dates can reach are read.  With ``bin_days`` the join key is (person,
+    bin of so many days): a cohort row is laid out once per bin its window touches, and a person's events are dealt out by
+    time whatever the settings of adaptive execution.  Both need ``bounds`` that know their reach.
     """
     require(events, PERSON, time)
     require(cohort, PERSON, INDEX, *carry)
     anchors = cohort.select(PERSON, INDEX, *carry)
-    return spread_join(events, anchors, [PERSON]).where(bounds(F.col(time), F.col(INDEX)))
+    first, last = (bounds.first, bounds.last) if isinstance(bounds, Reach) else (None, None)
+    if year_column is not None:
+        for edge, days, within in ((F.min, first, lambda year, end: year >= end), (F.max, last, lambda year, end: year <= end)):
+            if days is not None:
+                end = cohort.agg(F.year(F.date_add(F.to_date(edge(INDEX)), days)).alias("year"))
+                events = events.where(within(F.col(year_column), end.scalar()))
+    on = [PERSON]
+    if bin_days is not None:
+        if first is None or last is None:
+            raise ValueError("bins need bounds that reach a known number of days both ways")
+
+        def bin_of(day: Column) -> Column:
+            return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / bin_days).cast("int")
+        index_day = F.to_date(INDEX)
+        touched = F.sequence(bin_of(F.date_add(index_day, first)), bin_of(F.date_add(index_day, last)))
+        anchors = anchors.where(F.col(INDEX).isNotNull()).withColumn(_BIN, F.explode(touched))
+        events = events.withColumn(_BIN, bin_of(F.to_date(time)))
+        on = [PERSON, _BIN]
+    return spread_join(events, anchors, on).where(bounds(F.col(time), F.col(INDEX))).drop(_BIN)
+
+
+def hot_keys(rows: DataFrame, key: str, share: float = 1 / 64) -> DataFrame:
+    """One row with one array: keys that own at least ``share`` of the rows, by a frequent-items sketch.
+
+    The sketch overstates no key, so nothing else is listed; a key just above the share may be missing.
+    """
+    most = int(1 / share)
+    sketch = F.expr(f"approx_top_k(`{key}`, {most}, {64 * most})").alias("top")
+    counted = rows.agg(F.count(F.col(key)).alias("n"), sketch)
+    hot = F.filter("top", lambda x: x["count"] >= F.col("n") * share)
+    return counted.select(F.transform(hot, lambda x: x["item"]).alias("hot"))
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join rows to a look-up on one key, measured hot keys dealt over ``salts`` copies of their look-up rows.
+
+    Reads the rows once more to find the hot keys; all other keys are joined as they are.  Does not rely on
+    adaptive execution.  Rows that agree in every column stay together.  ``how`` must preserve the rows: inner, left, left_semi or left_anti.
+    """
+    hot = hot_keys(rows, key).scalar()
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    dealt = rows.withColumn(_SALT, F.when(F.array_contains(hot, F.col(key)), spread).otherwise(0))
+    copies = F.when(F.array_contains(hot, F.col(key)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(lookup.withColumn(_SALT, F.explode(copies)), [key, _SALT], how).drop(_SALT)
 
 
 def attach(cohort: DataFrame, facts: DataFrame, on: Sequence[str] = (PERSON,),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from anchorline.catalogue import QUERIES
 from anchorline.functions.dates import after
-from anchorline.operators.codes import any_code_in, any_code_joined, code_in
+from anchorline.functions import dates as d
+from anchorline.operators.codes import any_code_in, any_code_joined, code_in, map_codes
 from anchorline.operators import joins as j, select as s, tabulate as t
 from anchorline.operators.joins import anchored_window
 from anchorline.plans import outcome as o
@@ -168,3 +169,71 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP DATABASE scale CASCADE")
+
+
+@pytest.fixture
+def plain(spark):
+    """No adaptive execution, no broadcasts, eight tasks."""
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    old = {n: spark.conf.get(n) for n in names}
+    for n, value in names.items():
+        spark.conf.set(n, value)
+    yield
+    for n, value in old.items():
+        spark.conf.set(n, value)
+
+
+def largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_hot_person_is_dealt_out_by_time(spark, plain, skewed):
+    events, cohort = skewed
+    for bounds in (after(365), d.before(200), d.around(30), d.month_range(-3, 2), d.years_before(0)):
+        whole = anchored_window(events, cohort, bounds)
+        binned = anchored_window(events, cohort, bounds, bin_days=7)
+        assert binned.columns == whole.columns
+        assert binned.groupBy("person_id", "event_time").count().exceptAll(whole.groupBy("person_id", "event_time").count()).isEmpty()
+        assert binned.count() == whole.count() > 0
+    assert largest_share(anchored_window(events, cohort, after(365))) > 0.33
+    assert largest_share(anchored_window(events, cohort, after(365), bin_days=7)) < 0.25
+    with pytest.raises(ValueError):
+        anchored_window(events, cohort, d.ever_before(), bin_days=7)
+    with pytest.raises(ValueError):
+        anchored_window(events, cohort, lambda t, i: t > i, bin_days=7)
+
+
+def test_only_years_in_reach_are_read(spark, tmp_path, frame):
+    rows_ = [(p, f"{y}-06-01") for y in range(2010, 2021) for p in (1, 2)]
+    events = frame("person_id long, event_time timestamp_ntz", *rows_).withColumn("year", F.year("event_time"))
+    events.write.partitionBy("year").parquet(f"{tmp_path}/events")
+    for year in (2010, 2013, 2019, 2020):   # unreadable: a scan of them would fail
+        for part in (tmp_path / "events" / f"year={year}").glob("*.parquet"):
+            part.write_bytes(b"broken")
+            crc = part.with_name(f".{part.name}.crc")
+            if crc.exists():
+                crc.unlink()
+    stored = spark.read.schema(events.schema).parquet(f"{tmp_path}/events")
+    cohort = frame("person_id long, index_date date", (1, "2016-03-01"), (2, "2017-09-01"))
+    met = anchored_window(stored, cohort, after(365), year_column="year")
+    assert rows(met.select("person_id", "event_time")) == [(1, "2016-06-01 00:00:00"), (2, "2018-06-01 00:00:00")]
+    met = anchored_window(stored, cohort, d.years_before(1), year_column="year")
+    assert rows(met.select("person_id", "event_time")) == [
+        (1, "2015-06-01 00:00:00"), (2, "2016-06-01 00:00:00"), (2, "2017-06-01 00:00:00")]
+    with pytest.raises(Exception):
+        anchored_window(stored, cohort, after(365)).collect()
+
+
+def test_hot_code_is_split_without_adaptive_execution(spark, plain):
+    rows_ = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("c"), (F.col("id") % 2000).cast("string"))).alias("code"))
+    lookup = spark.range(2000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("listed"), F.col("id").alias("chapter"))
+    lookup = lookup.unionByName(spark.createDataFrame([("hot", -1)], "listed string, chapter long"))
+    assert j.hot_keys(rows_, "code").first()["hot"] == ["hot"]
+    mapped, whole = (map_codes(rows_, lookup, "code", "listed", "chapter", measured=m) for m in (True, False))
+    assert mapped.exceptAll(whole).isEmpty() and mapped.count() == 60_000
+    assert largest_share(whole) > 0.33 and largest_share(mapped) < 0.25
+    wanted = code_frame(spark, ["hot", "hot", "c7"])
+    assert code_in(rows_, "code", wanted, measured=True).count() == code_in(rows_, "code", wanted).count() == 20_000 + 20
+    assert map_codes(rows_.limit(0), lookup, "code", "listed", "chapter", measured=True).count() == 0
