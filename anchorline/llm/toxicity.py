@@ -22,7 +22,7 @@ from anchorline.llm.words import LETTERS, NOT_SPACE, Words, text_slices
 
 BEGINNINGS = (None, 4, 5, 6)
 #: Bytes of text whose features a task holds at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SIGNS = NOT_SPACE & ~LETTERS & ~np.isin(np.arange(256), list(b"0123456789"))
 
 
