@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -111,12 +111,15 @@ class Automaton:
             out.append(token)
         return out[::-1]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         return " ".join([self.labels[i] for i in ids])
 
 
 class WordCoder(dict):
-    """word -> (its ids as little-endian uint32 bytes, its labels), filled as words are met."""
+    """word -> its ids as little-endian uint32 bytes, filled as words are met.
+
+    Labels are looked up by text, not kept by word: of rare words a worker holds no more than the ids.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -125,19 +128,17 @@ class WordCoder(dict):
         self.automaton = Automaton(merges)
         self.symbols = byte_symbols()
         self.words = regex.compile(SPLIT)
-        self.specials = {s: (np.array([i], "<u4").tobytes(), self.automaton.decode([i]))
-                         for s, i in merges.specials.items()}
+        self.specials = {s: np.array([i], "<u4").tobytes() for s, i in merges.specials.items()}
         self.split = (regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))
                                     + ")") if self.specials else None)
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        ids = self.automaton.encode("".join([self.symbols[b] for b in word.encode()]))
-        found = self[word] = (array("I", ids).tobytes(), self.automaton.decode(ids))
+        found = self[word] = array("I", self.automaton.encode("".join([self.symbols[b] for b in word.encode()]))).tobytes()
         return found
 
-    def _plain(self, text: str) -> list[tuple[bytes, str]]:
+    def _plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
@@ -151,7 +152,8 @@ class WordCoder(dict):
             found = self._plain(text)
         else:
             found = [x for p in parts for x in ([self.specials[p]] if p in self.specials else self._plain(p))]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        ids = b"".join(found)
+        return ids, self.automaton.decode(array("I", ids))
 
 
 def _code(path: str):

@@ -58,11 +58,10 @@ def _smaller(counts: DataFrame) -> DataFrame:
                      .sortWithinPartitions("rank", "second")
                      .mapInArrow(_running, "rank long, second long, n long, before long, part int"))
     totals = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    offset, sums = 0, []
-    for part, n in totals:
-        sums.append((part, offset))
-        offset += n
-    offsets = counts.sparkSession.createDataFrame(sums or [(0, 0)], "part int, offset long")
+    sums = np.cumsum([0, *[n for _, n in totals]], dtype=np.int64)[:-1]
+    # as an Arrow table: plain rows would go through Python workers of their own kind, which stay beside the others
+    offsets = counts.sparkSession.createDataFrame(pa.table(
+        {"part": pa.array([part for part, _ in totals], pa.int32()), "offset": pa.array(sums, pa.int64())}))
     return (ranged.join(F.broadcast(offsets), "part")   # one row per partition
             .select("rank", "second", "n", (F.col("before") + F.col("offset")).alias("before")))
 

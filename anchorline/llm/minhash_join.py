@@ -30,9 +30,8 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from anchorline.llm.common import connected_components, one_row_per_id, written
 from anchorline.session import discard
@@ -124,12 +123,16 @@ def _sketch(k: int):
     return run
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(1).astype("int32"))
+def _agreeing(least: int):
+    """Rows (a, b, mins_a, mins_b) whose minwise values agree ``least`` times, as (a, b, agree)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
+            agree = (x == y).sum(1).astype(np.int32)
+            enough = pa.array(agree >= least)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).filter(enough) for i in (0, 1)], pa.array(agree).filter(enough)],
+                                             names=["a", "b", "agree"])
+    return run
 
 
 def _mins(sets: list[np.ndarray], odds: np.ndarray | None = None) -> np.ndarray:
@@ -329,8 +332,8 @@ def _with_mins(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
         F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("mins").alias(f"mins_{x}"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .withColumn("agree", _agreeing("mins_a", "mins_b")).where(F.col("agree") >= _least_agreeing(percent))
-            .select("a", "b", "agree"))
+            # a filter on a column of its own would have Spark work it out twice, in two Python workers a task
+            .select("a", "b", "mins_a", "mins_b").mapInArrow(_agreeing(_least_agreeing(percent)), "a long, b long, agree int"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -475,7 +478,8 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
              .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
              .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     stars = written(_with_mins(stars, one, percent))
-    packed = docs.mapInArrow(pack, PACKED).withColumnRenamed("doc_id", "doc")
+    # packed once; a step on texts that are packed in the same stage would keep two Python workers a task
+    packed = written(docs.mapInArrow(pack, PACKED).withColumnRenamed("doc_id", "doc"))
     # each document with its two closest hubs; what that leaves apart is compared further down
     tried = written(_closest(stars, 2))
     links = written(_confirmed(_star_blocks(tried), packed, shingle, percent))
@@ -506,6 +510,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
         more = written(_confirmed(rest, packed, shingle, percent))
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
+    discard(packed)
     member = (sketches.join(classes.select(*key, "first_id"), key, "left")
               .select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id")))
     if labels is None:

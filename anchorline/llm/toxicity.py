@@ -58,8 +58,7 @@ def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-    """Weights and, last, the bias of a logistic regression by Newton steps."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+    """Weights and, last, the bias of a logistic regression by Newton steps; the last column of ``x`` is ones."""
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     weights = np.zeros(x.shape[1])
@@ -95,11 +94,14 @@ class Chain:
         self.models: list[np.ndarray] = []
 
     def fit(self, x: np.ndarray, own: np.ndarray, labels: np.ndarray, fold: np.ndarray, penalty: float) -> Chain:
-        """``x`` rows by features, ``own`` categories by features: which ones a category's model sees."""
-        earlier = np.zeros((len(x), 0), x.dtype)
+        """``x`` rows by features, true or false, ``own`` categories by features: which ones a category's model sees."""
+        earlier = np.zeros((len(x), 0), np.float32)
         for k in range(len(self.categories)):
             y = labels[:, k].astype(float)
-            seen = np.concatenate([x[:, own[k]], earlier], axis=1)
+            seen = np.empty((len(x), own[k].sum() + k + 1), np.float32)     # the one matrix of numbers that is held
+            seen[:, :own[k].sum()] = x[:, own[k]]
+            seen[:, own[k].sum():-1] = earlier
+            seen[:, -1] = 1
             fitted = _fit(seen, y, penalty)
             weights = np.zeros(x.shape[1] + k + 1)
             weights[np.flatnonzero(np.r_[own[k], np.ones(k + 1, bool)])] = fitted
@@ -109,8 +111,8 @@ class Chain:
                 for f in np.unique(fold):
                     rest, left_out = fold != f, fold == f
                     without = _fit(seen[rest], y[rest], penalty) if rest.any() else fitted
-                    out_of_fold[left_out] = seen[left_out] @ without[:-1] + without[-1]
-                earlier = np.concatenate([earlier, _logit(out_of_fold)[:, None].astype(x.dtype)], axis=1)
+                    out_of_fold[left_out] = seen[left_out, :-1] @ without[:-1] + without[-1]
+                earlier = np.concatenate([earlier, _logit(out_of_fold)[:, None].astype(np.float32)], axis=1)
         return self
 
     def probabilities(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -176,9 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str],
     few = rows.select("doc_id", *categories, F.array_intersect("features", wanted).alias("features")
                       ).orderBy("doc_id").toArrow()
     lists = few["features"].combine_chunks()
-    x = np.zeros((few.num_rows, len(kept)), np.float32)
+    x = np.zeros((few.num_rows, len(kept)), bool)
     of = np.repeat(np.arange(few.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-    x[of, np.searchsorted(kept, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))] = 1
+    x[of, np.searchsorted(kept, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))] = True
     y = np.stack([few[c].to_numpy() for c in categories], axis=1)
     return Chain(categories, kept).fit(x, own, y, np.arange(few.num_rows) % folds, penalty)
 
