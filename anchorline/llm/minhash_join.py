@@ -382,7 +382,8 @@ def _forest(nodes: DataFrame, labels: DataFrame | None, packed: DataFrame, k: in
     first, (always, _) = 2 * (trees - TREES), _children(percent)
     docs = wide.select("doc", "n").distinct()
     each = trees * (always + 1)
-    fresh = written(packed.join(docs.select("doc"), "doc").select("doc", "size", "packed").mapInArrow(
+    # merged, as a broadcast would have texts packed and read by two Python workers a task
+    fresh = written(docs.select("doc").hint("merge").join(packed, "doc").select("doc", "size", "packed").mapInArrow(
         _fresh(k, first, depth, each), "doc long, fresh binary, level int"), partition_by=["level"])
     if trees == TREES:
         return nodes, fresh, depth
@@ -478,8 +479,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
              .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
              .select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct())
     stars = written(_with_mins(stars, one, percent))
-    # packed once; a step on texts that are packed in the same stage would keep two Python workers a task
-    packed = written(docs.mapInArrow(pack, PACKED).withColumnRenamed("doc_id", "doc"))
+    packed = docs.mapInArrow(pack, PACKED).withColumnRenamed("doc_id", "doc")
     # each document with its two closest hubs; what that leaves apart is compared further down
     tried = written(_closest(stars, 2))
     links = written(_confirmed(_star_blocks(tried), packed, shingle, percent))
@@ -510,7 +510,6 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80,
         more = written(_confirmed(rest, packed, shingle, percent))
         if not more.isEmpty():
             labels = connected_components(links.unionByName(more))
-    discard(packed)
     member = (sketches.join(classes.select(*key, "first_id"), key, "left")
               .select("doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("first_id")))
     if labels is None:
